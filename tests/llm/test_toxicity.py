@@ -1,0 +1,62 @@
+import numpy as np
+import pytest
+
+from tidewright.llm import toxicity as tx
+from tidewright.llm.queries import op4_toxicity
+
+
+def sentences(spark):
+    """Group names stand mostly in toxic sentences: a plain classifier would blame the names."""
+    rows, n = [], 0
+    for term in ("muslim", "gay", "black", "women"):
+        for i in range(30):
+            rows.append((n, f"the {term} idiot number{i % 5} said so", 1))
+            n += 1
+        for i in range(6):
+            rows.append((n, f"the {term} neighbour number{i % 5} said so", 0))
+            n += 1
+    for i in range(60):
+        rows.append((n, f"the kind neighbour number{i % 5} of town{i} said so", 0))
+        n += 1
+    docs = spark.createDataFrame([(a, f"{b} {a}") for a, b, _ in rows], "doc_id long, text string")
+    return docs, spark.createDataFrame([(a, c) for a, _, c in rows], "doc_id long, toxic int")
+
+
+def test_swaps_take_the_weight_from_group_names(spark):
+    docs, labels = sentences(spark)
+    fair = tx.train(docs, labels)
+    plain = tx.train(docs, labels, counterfactual=0.0)
+    gap = lambda m: abs(m.score({b"the", b"muslim", b"man"}) - m.score({b"the", b"christian", b"man"}))
+    assert gap(fair) < 0.02 and gap(fair) <= gap(plain)
+    neutral = [tx_words.encode().split() for tx_words in ("a gay neighbour", "the black neighbour said", "neighbour of muslim women", "the kind neighbour")]
+    assert all(fair.score(set(w)) < 0.5 for w in neutral)
+    assert fair.score({b"an", b"idiot"}) > 0.5
+    hurt = [(w, s) for w, s in fair.weights.items() if w in {b"muslim", b"gay", b"black", b"women"}]
+    assert all(abs(s) < 0.3 for _, s in hurt)
+
+
+def test_held_out_accuracy(spark):
+    sf = "/root/testdata/sf0.01"
+    got = op4_toxicity(spark, sf).filter("held_out").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").collect()
+    y, s = np.array([r.toxic for r in got]), np.array([r.score for r in got])
+    auc = (s[y == 1][:, None] > s[y == 0]).mean() + (s[y == 1][:, None] == s[y == 0]).mean() / 2
+    assert auc > 0.8 and np.mean((s >= 0.5) == y) > 0.9
+
+
+def test_held_out_labels_do_not_matter(spark, sf_dir):
+    docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    flipped = labels.selectExpr("doc_id", "case when crc32(cast(cast(doc_id as string) as binary)) % 5 = 0 then 1 - toxic else toxic end as toxic")
+    a, b = (tx.train(docs, x, usable=~tx.held_out()) for x in (labels, flipped))
+    assert a == b
+
+
+def test_defined_cases(spark, rough, empty):
+    labels = spark.createDataFrame([(8, 1), (8, 0), (9, 0), (10, None), (999, 1), (None, 1)], "doc_id long, toxic int")
+    model = tx.train(rough, labels, least_texts=1)
+    rows = rough.select("doc_id", tx.score(rough, model).alias("s")).collect()
+    assert len(rows) == rough.count() and all(0 <= r.s <= 1 for r in rows)
+    base = {r.doc_id: r.s for r in rows}
+    assert base[0] == base[1] == pytest.approx(model.score(set()))
+    assert tx.keep_civil(rough, model).columns == rough.columns
+    assert tx.train(rough, labels.filter("toxic = 0")).score(set()) < 0.01 and tx.train(empty, labels).score(set()) < 0.01
+    assert empty.select(tx.score(empty, model)).count() == 0
