@@ -1,6 +1,8 @@
 """Toxicity: a counterfactually regularised linear classifier on word presence.
 
-L1-regularised logistic regression. For every labelled text that names an identity
+L1-regularised logistic regression; a word is penalised the less, the more its
+presence depends on the label (chi-squared), so that chance companions of a few
+labelled texts stay out. For every labelled text that names an identity
 group, copies are made with the term swapped for each other term of its kind, and
 the squared change of the score between text and copy is part of the loss: a group's
 name then gains no weight of its own, so neutral mentions are not called toxic.
@@ -49,10 +51,11 @@ class Model:
         return 1 / (1 + math.exp(-max(-500.0, min(500.0, z))))
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, swaps: list[tuple[np.ndarray, np.ndarray]], n_features: int, l1: float, counterfactual: float, steps: int = 400) -> tuple[np.ndarray, float]:
+def fit(rows: list[np.ndarray], labels: np.ndarray, swaps: list[tuple[np.ndarray, np.ndarray]], n_features: int, l1: np.ndarray, counterfactual: float, steps: int = 400) -> tuple[np.ndarray, float]:
     """Weights and bias, by accelerated proximal gradient descent.
 
-    rows: features of each text; swaps: features that a swap adds and takes away.
+    rows: features of each text; swaps: features that a swap adds and takes away;
+    l1: the penalty on each weight.
     Classes weigh the same in the loss.
     """
     flat = np.concatenate([*rows, np.zeros(0, np.int64)]).astype(np.int64)
@@ -93,7 +96,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, swaps: list[tuple[np.ndarray
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", usable: Column | None = None,
-          identity: tuple[tuple[str, ...], ...] = IDENTITY_TERMS, sample: int = 5000, features: int = 20_000, least_texts: int = 4, l1: float = 2e-4, counterfactual: float = 10.0) -> Model:
+          identity: tuple[tuple[str, ...], ...] = IDENTITY_TERMS, sample: int = 5000, features: int = 20_000, least_texts: int = 4, l1: float = 5e-5, counterfactual: float = 10.0) -> Model:
     """Fits the model on at most `sample` labelled texts of each class (those whose id hashes lowest) and `features` words.
 
     usable: which rows of labels may be learned from. What reaches the driver is
@@ -118,7 +121,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         df = texts.select("y", F.explode("words").alias("w")).groupBy("w").agg(F.sum("y").alias("bad"), F.count(F.lit(1)).alias("all"))
         odds = F.abs(F.log((F.col("bad") + 0.5) / (n[1] + 1)) - F.log((F.col("all") - F.col("bad") + 0.5) / (n[0] + 1))) * F.sqrt("all")
         chosen = df.filter(F.col("all") >= least_texts).orderBy(odds.desc(), "w").limit(features).union(df.filter(F.col("w").isin(named)))
-        words = sorted({bytes(r.w) for r in chosen.collect()})
+        counted = {bytes(r.w): (r.bad, r.all) for r in chosen.collect()}
+        words = sorted(counted)
         at = {w: i for i, w in enumerate(words)}
         kinds = {t.encode(): [o.encode() for o in kind if o != t] for kind in identity for t in kind}
         known = docs.sparkSession.sparkContext.broadcast(at)
@@ -140,7 +144,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         have = set(own)
         for w in own:
             swaps += [(np.array([] if o in have else [at[o]], np.int64), np.array([at[w]], np.int64)) for o in kinds[w]]
-    weights, bias = fit(rows, np.array(got["y"].to_pylist(), float), swaps, len(at), l1, counterfactual)
+    # dependence on the label: chi-squared of the two-by-two table, as a share of the largest
+    total = n[0] + n[1]
+    a, k = np.array([counted.get(w, (0, 0)) for w in at], float).T
+    lean = np.abs(a * total - k * n[1]) / np.sqrt(np.maximum(k * (total - k), 1.0))
+    penalty = l1 / np.maximum(lean / max(float(lean.max()), 1e-12), 0.02)
+    weights, bias = fit(rows, np.array(got["y"].to_pylist(), float), swaps, len(at), penalty, counterfactual)
     return Model({w: float(weights[i]) for w, i in at.items() if abs(weights[i]) > 1e-6}, float(bias))
 
 
