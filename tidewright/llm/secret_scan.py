@@ -3,7 +3,7 @@
 One first-order model is trained on random strings (what the patterns found in
 labelled sample texts), the other on ordinary identifiers and words (of sample texts
 without a find). A long token is a secret when its characters are likelier by a margin
-under the first. DataFrame functions only, no shuffle: every text is read once.
+under the first. DataFrame functions only; the scan itself needs no shuffle.
 
 Defined cases: a null text counts as empty; a text without finds gets zero counts,
 the digest of the empty string and empty spans; repeated rows are each scanned;
@@ -18,6 +18,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
+
 #: Patterns by kind, in the order of ties: fixed values of the contract. The second: least characters of the whole find; the third: of group 2.
 BASE = (
     ("assign", r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 0, 6),
@@ -74,12 +76,14 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
     flat: weight of the uniform model mixed into both, so that a kind of random
     string that the sample lacks keeps some likelihood.
     """
-    texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("t"), F.xxhash64(id_col).alias("h"), F.col(id_col).alias("id"))
+    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     # every find has one of these
-    finds = F.col("t").rlike("|".join(f"(?:{p})" for _, p, _, _ in BASE))
-    lowest = lambda df: df.orderBy("h", "id").limit(sample)
-    random = _bigrams(_base_secrets(lowest(texts.filter(finds))))
-    words = lowest(texts.filter(~finds)).select(F.explode(F.regexp_extract_all("t", F.lit(f"{TOKEN}+"), F.lit(0))).alias("w")).filter(F.length("w") >= 4).distinct()
+    marked = cut(texts.select("id", F.xxhash64("id").alias("h"), F.col("t").rlike("|".join(f"(?:{p})" for _, p, _, _ in BASE)).alias("found")))
+    lowest = [marked.filter(F.col("found") == x).orderBy("h", "id").limit(sample) for x in (True, False)]
+    # 2 * sample ids at most; their texts come by a join, not through the sort
+    picked = texts.join(F.broadcast(lowest[0].union(lowest[1]).select(F.col("id").alias("picked"), "found").distinct()), F.col("id").eqNullSafe(F.col("picked")))
+    random = _bigrams(_base_secrets(picked.filter("found")))
+    words = picked.filter(~F.col("found")).select(F.explode(F.regexp_extract_all("t", F.lit(f"{TOKEN}+"), F.lit(0))).alias("w")).filter(F.length("w") >= 4).distinct()
     ordinary = _bigrams(words)
     size = len(ALPHABET)
 
