@@ -147,7 +147,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     groups = linked.groupBy("root").agg(F.min("least").alias("group_id"))
     ends = links.select(F.explode(F.array("a", "b")).alias("fp")).groupBy("fp").agg(F.count(F.lit(1)).alias("n_links"))
     named = linked.join(groups, "root").select("fp", "group_id").join(ends, "fp", "left")
-    labels = nodes.join(named, "fp", "left").select("fp", F.coalesce("group_id", "least").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    # written out, so that both sides of the last join are plain shuffles: Spark can then split a fingerprint that many rows share
+    labels = cut(nodes.join(named, "fp", "left").select("fp", F.coalesce("group_id", "least").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")))
     return fps.join(labels, "fp").select(F.col("id").alias(id_col), hex64("fp").alias("fingerprint"), "component_id", "n_links")
 
 
