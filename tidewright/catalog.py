@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .operators import audit, changes, documents, hierarchy, relational, scalar_queries  # noqa: F401
+from .plans import migration  # noqa: F401
 from .plans.registry import QUERIES, SQL, Query
 from .streaming import capture  # noqa: F401
 

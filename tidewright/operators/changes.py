@@ -14,6 +14,35 @@ LOG_OPERATIONS = {1: "DELETE", 2: "INSERT", 3: "UPDATE", 4: "UPDATE"}
 #: Names that a change time may have, in order of preference: fixed values.
 TIME_NAMES = ("updated_at", "modified_at", "last_modified", "modifieddate", "modified_date", "updateddate", "updated_date", "timestamp", "created_at", "createddate", "created_date")
 
+#: Names that a key column may have, in order of preference: fixed values.
+KEY_NAMES = ("id", "businessentityid", "productid", "salesorderid", "customerid")
+#: Operations by the name that a document server's change stream has for them: fixed values; others are no row changes.
+STREAM_OPERATIONS = {"insert": "INSERT", "update": "UPDATE", "replace": "UPDATE", "delete": "DELETE"}
+
+
+def key_columns(schema: T.StructType, declared: tuple[str, ...] = ()) -> list[str]:
+    """The columns that tell rows apart: the declared key, else the first known name, in any case of letters."""
+    named = {f.name.lower(): f.name for f in schema}
+    if declared:
+        return [named[d.lower()] for d in declared]
+    if found := next((named[n] for n in KEY_NAMES if n in named), None):
+        return [found]
+    raise ValueError("no key is declared, and no column has a key's name")
+
+
+def document_changes(events: DataFrame, column: str, fields: str, after: str | None = None) -> DataFrame:
+    """(seq, op, table_name, key, data): row changes from JSON events of a change stream, those up to the token `after` left out.
+
+    fields: DDL of the documents' fields. A replaced document is an update; a delete
+    has a key and no data; drops, creates and broken events are no row changes.
+    """
+    kind = f"_id struct<_data:string>, operationType string, ns struct<coll:string>, documentKey struct<_id:string>, fullDocument struct<{fields}>"
+    read = events.select(F.from_json(column, kind).alias("e"))
+    op = F.element_at(F.create_map(*[F.lit(x) for kv in STREAM_OPERATIONS.items() for x in kv]), F.col("e.operationType"))
+    rows = read.select(F.col("e._id._data").alias("seq"), op.alias("op"), F.col("e.ns.coll").alias("table_name"), F.col("e.documentKey._id").alias("key"), F.when(op != "DELETE", F.col("e.fullDocument")).alias("data"))
+    rows = rows.filter(F.col("op").isNotNull())
+    return rows if after is None else rows.filter(F.col("seq") > after)
+
 
 def log_changes(log: DataFrame, after: bytes | None = None) -> DataFrame:
     """Rows of a log-based changelog as changes: op and seq in place of the meta columns; positions up to `after` are done already."""
@@ -97,3 +126,22 @@ def cdc_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many versions each key has had."""
     order = Window.partitionBy("event_type", "user_id").orderBy("ts", "event_id")
     return table(spark, sf_dir, "events").withColumn("n", F.row_number().over(order)).groupBy("event_type", "user_id").agg(F.max("n").cast("long").alias("versions"))
+
+
+@query(f"""SELECT {OP_SQL} AS op, event_type AS table_name, count(*) AS n, count(DISTINCT user_id) AS n_keys, sum(CASE WHEN event_type <> 'error' THEN event_id END)::BIGINT AS ids FROM events WHERE event_id >= 50 GROUP BY 1, 2""")
+def cdc_document_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as a document server's change stream tells them, read again from a resume token on."""
+    name = F.when(F.col("event_type") == "error", "delete").when(F.col("event_type") == "signup", "insert").when(F.col("event_id") % 2 == 0, "replace").otherwise("update")
+    token = F.lpad(F.col("event_id").cast("string"), 19, "0")
+    told = F.struct(F.struct(token.alias("_data")).alias("_id"), name.alias("operationType"), F.struct(F.col("event_type").alias("coll")).alias("ns"), F.struct(F.col("user_id").cast("string").alias("_id")).alias("documentKey"), F.struct("event_id", "value").alias("fullDocument"))
+    read = document_changes(table(spark, sf_dir, "events").select(F.to_json(told).alias("event")), "event", "event_id:long,value:double", after=f"{49:019d}")
+    return read.groupBy("op", "table_name").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("key").alias("n_keys"), F.sum("data.event_id").alias("ids"))
+
+
+@query("""SELECT c_custkey, CASE WHEN n > 0 THEN 'ACTIVE' ELSE c_mktsegment END AS c_mktsegment, c_acctbal + coalesce(spent, 0) AS c_acctbal
+FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n, CAST(count(*) AS DOUBLE) AS spent FROM orders WHERE o_orderstatus = 'O' GROUP BY 1) ON o_custkey = c_custkey""")
+def update_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An update of rows that another table names, as a new table: the rest stays as it is."""
+    named = table(spark, sf_dir, "orders").filter("o_orderstatus = 'O'").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"))
+    joined = table(spark, sf_dir, "customer").join(named, F.col("o_custkey") == F.col("c_custkey"), "left")
+    return joined.select("c_custkey", F.when(F.col("n") > 0, "ACTIVE").otherwise(F.col("c_mktsegment")).alias("c_mktsegment"), (F.col("c_acctbal") + F.coalesce("n", F.lit(0)).cast("double")).alias("c_acctbal"))

@@ -156,9 +156,13 @@ def lateral_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words.groupBy("conv_id", "turn", "word").agg(F.count(F.lit(1)).alias("n")).filter("n > 2")
 
 
-def changes_after(df: DataFrame, at: str, key: str, checkpoint: Column, most: int) -> DataFrame:
-    """The oldest changes after the checkpoint; those of one time come in the order of the key, so that the next poll can go on from (time, key)."""
-    return df.filter(F.col(at) > checkpoint).orderBy(at, key).limit(most)
+def changes_after(df: DataFrame, at: str, key: str, checkpoint: Column, most: int, last_key: Column | None = None) -> DataFrame:
+    """The oldest changes after the checkpoint; those of one time come in the order of the key. With the key of the last row seen at the checkpoint's time, rows of that time that are still unseen come too."""
+    later = F.col(at) > checkpoint
+    if last_key is not None:
+        # the plain bound is what a scan can skip files by
+        later = (F.col(at) >= checkpoint) & (later | (F.col(key) > last_key))
+    return df.filter(later).orderBy(at, key).limit(most)
 
 
 @query("SELECT event_id, ts, user_id, event_type FROM events WHERE ts > TIMESTAMP '2024-01-10' ORDER BY ts, event_id LIMIT 1000")
@@ -172,3 +176,28 @@ def poll_topk_per_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = Window.partitionBy("event_type").orderBy("ts", "event_id")
     new = table(spark, sf_dir, "events").filter("ts > timestamp_ntz'2024-01-05'").select("event_type", "event_id", "ts")
     return new.withColumn("n", F.row_number().over(order)).filter("n <= 100").drop("n")
+
+
+@query("SELECT event_id, day, event_type FROM (SELECT event_id, date_trunc('day', ts) AS day, event_type FROM events WHERE ts > TIMESTAMP '2024-01-10') ORDER BY day, event_id LIMIT 500 OFFSET 500")
+def poll_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second poll goes on from the last row of the first, though many rows share its time."""
+    events = table(spark, sf_dir, "events").filter("ts > timestamp_ntz'2024-01-10'").select("event_id", F.date_trunc("day", "ts").cast("timestamp_ntz").alias("day"), "event_type")
+    seen = changes_after(events, "day", "event_id", F.lit("2000-01-01").cast("timestamp_ntz"), 500).agg(F.max(F.struct("day", "event_id")).alias("m")).first().m
+    if seen is None:
+        return events.limit(0)
+    return changes_after(events, "day", "event_id", F.lit(seen.day).cast("timestamp_ntz"), 500, F.lit(seen.event_id))
+
+
+@query("SELECT conv_id, turn, word FROM conversations LEFT JOIN LATERAL (SELECT DISTINCT w AS word FROM (SELECT unnest(string_split(text, ' ')) AS w) WHERE length(w) > 11) ON true")
+def outer_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows multiplied by the elements of a value of theirs; a row without elements stays."""
+    long_words = F.array_distinct(F.filter(F.split("text", " "), lambda w: F.length(w) > 11))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.explode_outer(long_words).alias("word"))
+
+
+@query("SELECT l_orderkey, l_linenumber, count(*) OVER (PARTITION BY l_partkey, l_suppkey, l_returnflag) AS n_same FROM lineitem")
+def composite_key_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines with the lines of the same part, supplier and flag: the other side is counted by key before it is joined."""
+    lines, keys = table(spark, sf_dir, "lineitem"), ["l_partkey", "l_suppkey", "l_returnflag"]
+    counts = lines.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_same"))
+    return lines.select("l_orderkey", "l_linenumber", *keys).join(counts, keys).select("l_orderkey", "l_linenumber", "n_same")

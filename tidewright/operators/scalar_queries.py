@@ -61,3 +61,25 @@ def fulltext_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = F.filter(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)), lambda w: w.isin(wanted))
     words = table(spark, sf_dir, "documents").select("doc_id", found.alias("w")).filter(F.size("w") > 0)
     return words.select("doc_id", F.size("w").cast("long").alias("hits"), F.size(F.array_distinct("w")).cast("long").alias("terms"))
+
+
+#: Status texts, padded numbers and accounting dates as SQL functions; the texts are fixed values.
+SQL_FUNCTIONS = {
+    "document_status_text": "(status BIGINT) RETURNS STRING RETURN CASE status WHEN 1 THEN 'Pending approval' WHEN 2 THEN 'Approved' WHEN 3 THEN 'Obsolete' ELSE '** Invalid **' END",
+    "leading_zeros": "(value BIGINT) RETURNS STRING RETURN lpad(CAST(value AS STRING), 8, '0')",
+    "accounting_start_date": "(y INT) RETURNS TIMESTAMP_NTZ RETURN CAST(make_date(y, 7, 1) AS TIMESTAMP_NTZ)",
+}
+
+
+def register_functions(spark: SparkSession) -> list[str]:
+    """Makes the SQL functions known to the session; Catalyst puts their bodies into the plan of a query that calls them."""
+    for name, body in SQL_FUNCTIONS.items():
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}{body}")
+    return sorted(SQL_FUNCTIONS)
+
+
+@query("""SELECT o_orderkey, CASE o_orderkey % 4 WHEN 1 THEN 'Pending approval' WHEN 2 THEN 'Approved' WHEN 3 THEN 'Obsolete' ELSE '** Invalid **' END AS status, lpad(CAST(o_custkey AS VARCHAR), 8, '0') AS account,
+make_timestamp(year(o_orderdate), 7, 1, 0, 0, 0) AS starts FROM orders""")
+def sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    register_functions(spark)
+    return table(spark, sf_dir, "orders").selectExpr("o_orderkey", "document_status_text(o_orderkey % 4) AS status", "leading_zeros(o_custkey) AS account", "accounting_start_date(year(o_orderdate)) AS starts")
