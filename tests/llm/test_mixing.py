@@ -70,3 +70,10 @@ def test_defined_cases(rough, empty):
     last = [i for i, s in enumerate(order) if s in ("s0", "s1")][-1]
     assert all(s not in ("s0", "s1") for s in order[last + 1 :]) and None in order
     assert mx.mix(empty).count() == 0 and mx.in_mix_order(empty).count() == 0
+
+
+def test_columns_named_like_the_schedule(spark):
+    names = ["start", "first", "n", "slots", "period", "places", "before", "block", "slot", "nth"]
+    docs = spark.createDataFrame([(i, "ab"[i % 2], *[i] * len(names)) for i in range(40)], "doc_id long, source string, " + ", ".join(f"{n} int" for n in names))
+    got = mx.in_mix_order(docs, block_rows=4)
+    assert got.columns == docs.columns and sorted(map(tuple, got.collect())) == sorted(map(tuple, docs.collect()))

@@ -94,18 +94,18 @@ def _placed(docs: DataFrame, id_col: str, source_col: str, weights: dict[str | N
     bucket = F.pmod(F.xxhash64(F.col(id_col)), F.lit(buckets))
     keyed = docs.select(*[F.col(f"`{c}`") for c in keep], name.alias("__src"), bucket.alias("__bucket"), F.xxhash64(F.col(id_col), F.lit(7)).alias("__h"))
     counts = cut(keyed.groupBy("__src", "__bucket").agg(F.count(F.lit(1)).alias("n")))
-    before = counts.withColumn("before", F.sum("n").over(Window.partitionBy("__src").orderBy("__bucket")) - F.col("n")).drop("n")
+    before = counts.withColumn("before", F.sum("n").over(Window.partitionBy("__src").orderBy("__bucket")) - F.col("n")).drop("n").withColumnRenamed("before", "__before")
     rows = {r["__src"]: r["n"] for r in counts.groupBy("__src").agg(F.sum("n").alias("n")).collect()}  # one row for each source
     given = {("n" if s is None else f"s{s}"): float(w) for s, w in weights.items()} if weights is not None else {s: n**temperature for s, n in rows.items()}
     plan = phases({s: -(-n // block_rows) for s, n in rows.items()}, given, period)
-    table = spark.createDataFrame([(p["source"], p["start"], p["first"], p["n"], p["slots"], p["period"], p["places"]) for p in plan], "__src string, start long, first long, n long, slots int, period int, places array<int>")
+    table = spark.createDataFrame([(p["source"], p["start"], p["first"], p["n"], p["slots"], p["period"], p["places"]) for p in plan], "__src string, start long, first long, n long, slots int, period int, places array<int>").alias("p")
     inner = Window.partitionBy("__src", "__bucket").orderBy("__h", id_col)
-    numbered = keyed.withColumn("__i", F.row_number().over(inner)).join(before, ["__src", "__bucket"]).withColumn("__i", F.col("__i") - 1 + F.col("before"))
+    numbered = keyed.withColumn("__i", F.row_number().over(inner)).join(before, ["__src", "__bucket"]).withColumn("__i", F.col("__i") - 1 + F.col("__before"))
     numbered = numbered.withColumn("__b", F.floor(F.col("__i") / block_rows)).withColumn("__nth", (F.col("__i") % block_rows).cast("int"))
-    step = F.col("__b") - F.col("first")
-    slot = F.col("start") + F.floor(step / F.col("slots")) * F.col("period") + F.element_at("places", (step % F.col("slots") + 1).cast("int"))
+    step = F.col("__b") - F.col("p.first")
+    slot = F.col("p.start") + F.floor(step / F.col("p.slots")) * F.col("p.period") + F.element_at("p.places", (step % F.col("p.slots") + 1).cast("int"))
     # sources x phases: at most the square of the number of sources; Spark decides by its size how to join
-    met = numbered.alias("d").join(table.alias("p"), (F.col("d.__src") == F.col("p.__src")) & (F.col("__b") >= F.col("first")) & (F.col("__b") < F.col("first") + F.col("n")))
+    met = numbered.alias("d").join(table, (F.col("d.__src") == F.col("p.__src")) & (F.col("__b") >= F.col("p.first")) & (F.col("__b") < F.col("p.first") + F.col("p.n")))
     return met.select(*[F.col(f"d.`{c}`") for c in keep], F.col("__b").alias("__block"), slot.alias("__slot"), "__nth")
 
 
