@@ -84,7 +84,7 @@ def phases(blocks: dict[str, int], weights: dict[str, float], period: int) -> li
     return out
 
 
-def _placed(docs: DataFrame, id_col: str, source_col: str, weights: dict[str | None, float] | None, block_rows: int, period: int, temperature: float, keep: list[str], rows_in_bucket: int = 20_000) -> DataFrame:
+def _placed(docs: DataFrame, id_col: str, source_col: str, weights: dict[str | None, float] | None, block_rows: int, period: int, temperature: float, keep: list[str], rows_in_bucket: int = 2000) -> DataFrame:
     """keep's columns with __slot and __nth (place in the block)."""
     spark = docs.sparkSession
     name = F.when(F.col(source_col).isNull(), "n").otherwise(F.concat(F.lit("s"), F.col(source_col).cast("string")))
@@ -94,7 +94,13 @@ def _placed(docs: DataFrame, id_col: str, source_col: str, weights: dict[str | N
     bucket = F.pmod(F.xxhash64(F.col(id_col)), F.lit(buckets))
     keyed = docs.select(*[F.col(f"`{c}`") for c in keep], name.alias("__src"), bucket.alias("__bucket"), F.xxhash64(F.col(id_col), F.lit(7)).alias("__h"))
     counts = cut(keyed.groupBy("__src", "__bucket").agg(F.count(F.lit(1)).alias("n")))
-    before = counts.withColumn("before", F.sum("n").over(Window.partitionBy("__src").orderBy("__bucket")) - F.col("n")).drop("n").withColumnRenamed("before", "__before")
+    # rows before each bucket, summed in two levels: a window holds a thousand buckets, or a source's thousands of buckets
+    group = F.floor(F.col("__bucket") / 1000)
+    inside = Window.partitionBy("__src", "__group").orderBy("__bucket")
+    small = counts.withColumn("__group", group).withColumn("__inside", F.sum("n").over(inside) - F.col("n"))
+    large = counts.groupBy("__src", group.alias("__group")).agg(F.sum("n").alias("n"))
+    large = large.select("__src", "__group", (F.sum("n").over(Window.partitionBy("__src").orderBy("__group")) - F.col("n")).alias("__outside"))
+    before = small.join(large, ["__src", "__group"]).select("__src", "__bucket", (F.col("__inside") + F.col("__outside")).alias("__before"))
     rows = {r["__src"]: r["n"] for r in counts.groupBy("__src").agg(F.sum("n").alias("n")).collect()}  # one row for each source
     given = {("n" if s is None else f"s{s}"): float(w) for s, w in weights.items()} if weights is not None else {s: n**temperature for s, n in rows.items()}
     plan = phases({s: -(-n // block_rows) for s, n in rows.items()}, given, period)
