@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from tidewright.llm import common, decontaminate, simhash_dedup, toxicity
 
@@ -32,3 +34,40 @@ def test_stages_take_an_empty_table(spark, empty, sf_dir):
     docs = empty.select("doc_id", "text", "lang", "source", "n_chars")
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, sf_dir).count() == 0
+
+
+def test_stages_take_rough_rows(spark, rough, sf_dir, tmp_path):
+    """Nulls, empty and very long texts, ties, repeated rows and columns named like the operators' own, through every stage."""
+    rough.write.parquet(f"{tmp_path}/documents")
+    docs = spark.read.parquet(f"{tmp_path}/documents")
+    bench = common.table(spark, sf_dir, "benchmark")
+    passage = bench.orderBy("item_id").first().text
+    planted = docs.limit(1).withColumn("doc_id", F.lit(9001).cast("long")).withColumn("text", F.lit(passage))
+    planted.write.parquet(f"{tmp_path}/planted")
+    docs = docs.union(spark.read.parquet(f"{tmp_path}/planted").select(*docs.columns))
+    every = docs.select("doc_id", "text").collect()
+    stages = dict(corpus_pipeline.STAGES)
+
+    civil = stages["toxicity"](spark, docs, sf_dir)
+    assert civil.schema.names == docs.columns and civil.count() <= len(every)
+
+    distinct = stages["near duplicates"](spark, docs, sf_dir)
+    kept = distinct.select("doc_id", "text").collect()
+    found = simhash_dedup.near_duplicates(docs).collect()
+    assert distinct.schema.names == docs.columns
+    assert {r.doc_id for r in kept if r.doc_id is not None} == {r.component_id for r in found if r.component_id is not None}
+    assert sum(r.doc_id is None for r in kept) == sum(r.doc_id is None for r in every) == 1
+    assert len({r.doc_id for r in kept}) == len(kept)
+
+    unseen = stages["benchmark"](spark, docs, sf_dir)
+    left = unseen.select("doc_id").collect()
+    assert unseen.schema.names == docs.columns and 9001 not in {r.doc_id for r in left} and len(left) == len(every) - 1
+
+    mixed = stages["mixture"](spark, docs, sf_dir)
+    assert mixed.schema.names == docs.columns and sorted(map(str, mixed.collect())) == sorted(map(str, docs.collect()))
+
+    placed = stages["shards"](spark, docs, sf_dir).collect()
+    assert len(placed) == len(every)
+    loads = [sum(r.shard == s for r in placed) for s in range(16)]
+    assert max(loads) - min(loads) <= 1
+    assert all(sorted(r.slot for r in placed if r.shard == s) == list(range(loads[s])) for s in range(16))
