@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewright.llm import decontaminate, mixing, sharding, simhash_dedup, toxicity
+from tidewright.llm import decontaminate, mixing, near_copies, sharding, toxicity
 from tidewright.llm.common import shared_path, table
 
 
@@ -19,8 +19,8 @@ def civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of smallest id of each SimHash group."""
-    return simhash_dedup.keep_one_of_each(docs)
+    """Keeps the document of smallest id of each group of near copies: similarity 0.8 or more of five-word shingles."""
+    return near_copies.keep_one_of_each(docs)
 
 
 def unseen(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,0 +1,124 @@
+"""Near-copy groups by word-shingle similarity: MinHash bands find candidates, the shingle sets decide.
+
+Texts of one word sequence are one node. A node's shingles have `bands` x `rows`
+MinHash values; nodes that agree in a whole band meet in a bucket. Of a bucket of up
+to `few` nodes all pairs are compared. In a larger one some members, drawn by hash
+for each band anew, lead: all others are compared with each leader, those similar to
+one are linked and leave, and the rest draw four times as many leaders, until nobody
+is left. Every link is verified on the whole shingle sets.
+
+Defined cases: a null text counts as empty; texts without words are copies of one
+another; fewer words than the shingle length make one shingle; null ids are allowed
+and never the smallest; rows that repeat an id are all returned; columns other than
+id and text are ignored.
+"""
+
+from __future__ import annotations
+
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import cut, space_words, utf8
+from .simhash_dedup import connected_components, keep_least, shingle_hashes
+
+#: Shingles hashed at once.
+CHUNK = 1 << 10
+
+
+def band_keys(hashes: list[int], bands: int, rows: int, seed: int) -> list[int]:
+    """One key for each band of the MinHash values; none for no hashes."""
+    if not hashes:
+        return []
+    r = np.random.default_rng(seed)
+    times, plus = (r.integers(0, 1 << 64, (bands * rows, 1), np.uint64) for _ in range(2))
+    times |= np.uint64(1)
+    all_hashes, least = np.array(hashes, np.uint64), np.full(bands * rows, (1 << 64) - 1, np.uint64)
+    for at in range(0, len(all_hashes), CHUNK):
+        np.minimum(least, (times * all_hashes[at : at + CHUNK] + plus).min(axis=1), out=least)
+    keys = [xxhash.xxh64_intdigest(least[i : i + rows].tobytes()) for i in range(0, bands * rows, rows)]
+    return np.array(keys, np.uint64).view(np.int64).tolist()
+
+
+def sketches(docs: DataFrame, id_col: str, text_col: str, k: int, bands: int, rows: int, seed: int) -> DataFrame:
+    """(id, raw, node, bands): node, the digest of the words; raw, a hash of the text as it is."""
+
+    @F.arrow_udf("struct<node:binary,bands:array<long>>")
+    def sketch(texts: pa.Array) -> pa.Array:
+        nodes, keys = [], []
+        for t in texts.to_pylist():
+            words = space_words(t)
+            nodes.append(xxhash.xxh3_128_digest(b" ".join(words)))
+            keys.append(band_keys(shingle_hashes(words, k, seed), bands, rows, seed))
+        return pa.StructArray.from_arrays([pa.array(nodes, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["node", "bands"])
+
+    text = utf8(text_col)
+    return docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("raw"), sketch(text).alias("s")).select("id", "raw", "s.node", "s.bands")
+
+
+def shingle_sets(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, k: int, seed: int) -> DataFrame:
+    """(node, s): the distinct shingle hashes of each of nodes (node, pick)."""
+
+    @F.arrow_udf("array<long>")
+    def hashed(texts: pa.Array) -> pa.Array:
+        return pa.array([np.unique(np.array(shingle_hashes(space_words(t), k, seed), np.uint64)).view(np.int64) for t in texts.to_pylist()], pa.list_(pa.int64()))
+
+    texts = docs.select(F.col(id_col).alias("id"), utf8(text_col).alias("t")).withColumn("raw", F.xxhash64("t"))
+    wanted = nodes.select("node", F.col("pick.id").alias("pid"), F.col("pick.raw").alias("praw"))
+    met = texts.join(wanted, texts["id"].eqNullSafe(F.col("pid")) & (F.col("raw") == F.col("praw")))
+    return met.dropDuplicates(["node"]).select("node", hashed("t").alias("s"))
+
+
+def similar(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): the pairs whose shingle sets have the similarity."""
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
+    common, total = F.size(F.array_intersect("sa", "sb")), F.size("sa") + F.size("sb")
+    fits = F.least(F.size("sa"), F.size("sb")) >= threshold * F.greatest(F.size("sa"), F.size("sb")) - 1
+    return both.filter(fits).filter(common / (total - common) >= threshold).select("a", "b")
+
+
+def similar_links(met: DataFrame, sets: DataFrame, threshold: float, few: int) -> DataFrame:
+    """(a, b), a > b: verified links. met: (node, t, key, n), n the size of the bucket."""
+    small = met.filter(F.col("n") <= few).groupBy("t", "key").agg(F.collect_list("node").alias("nodes"))
+    pairs = small.select("nodes", F.explode("nodes").alias("a")).select("a", F.explode("nodes").alias("b")).filter("a > b").distinct()
+    links = [cut(similar(cut(pairs), sets, threshold))]
+    left, leaders = cut(met.filter(F.col("n") > few).select("node", "t", "key")), 1
+    while not left.isEmpty():
+        drawn = F.xxhash64("node", "t", F.lit(leaders))
+        lead = left.groupBy("t", "key", F.pmod(drawn, F.lit(leaders)).alias("j")).agg(F.min(F.struct(drawn.alias("h"), "node"))["node"].alias("leader"))
+        faced = cut(left.join(cut(lead.select("t", "key", "leader")), ["t", "key"]).select("node", "t", "key", "leader", F.greatest("node", "leader").alias("a"), F.least("node", "leader").alias("b")))
+        good = cut(similar(cut(faced.filter("a > b").select("a", "b").distinct()), sets, threshold))
+        links.append(good)
+        gone = faced.join(good.withColumn("linked", F.lit(True)), ["a", "b"], "left").filter("linked or a = b").select("node", "t", "key").distinct()
+        left, leaders = cut(left.join(gone, ["node", "t", "key"], "left_anti")), 4 * leaders
+    return reduce(DataFrame.union, links).distinct()
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, threshold: float = 0.8, bands: int = 20, rows: int = 5, few: int = 8, seed: int = 42) -> DataFrame:
+    """(id_col, component_id): the group of each row; component_id is the smallest id reachable over links of the similarity.
+
+    A pair of similarity s meets in a band with probability 1 - (1 - s^rows)^bands: 0.9996 at 0.8.
+    """
+    made = cut(sketches(docs, id_col, text_col, k, bands, rows, seed))
+    nodes = cut(made.groupBy("node").agg(F.min("id").alias("least"), F.min(F.struct("id", "raw")).alias("pick"), F.first("bands").alias("bands")))
+    placed = nodes.select("node", F.posexplode("bands").alias("t", "key"))
+    shared = placed.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    met = cut(placed.join(shared, ["t", "key"]))
+    wanted = nodes.select("node", "pick").join(met.select("node").distinct(), "node", "left_semi")
+    sets = cut(shingle_sets(docs, wanted, id_col, text_col, k, seed))
+    roots = connected_components(similar_links(met, sets, threshold, few))
+    linked = nodes.select("node", "least").join(roots, "node").select("node", "least", "root")
+    groups = linked.groupBy("root").agg(F.min("least").alias("group_id"))
+    named = linked.join(groups, "root").select("node", "group_id")
+    # written out, as in simhash_dedup: Spark can then split a node that many rows share
+    labels = cut(nodes.select("node", "least").join(named, "node", "left").select("node", F.coalesce("group_id", "least").alias("component_id")))
+    return made.select("id", "node").join(labels, "node").select(F.col("id").alias(id_col), "component_id")
+
+
+def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """The rows of docs whose id is their group's smallest, as simhash_dedup.keep_least has it."""
+    return keep_least(docs, near_copies(docs, id_col, text_col, **how), id_col)

@@ -153,11 +153,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The rows of docs whose id is their group's smallest; of rows that repeat an id, one.
+    """keep_least() by SimHash groups."""
+    return keep_least(docs, near_duplicates(docs, id_col, text_col, **how), id_col)
+
+
+def keep_least(docs: DataFrame, found: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows of docs whose id is their group's smallest (found: id_col, component_id); of rows that repeat an id, one.
 
     Nothing tells rows with a null id apart, so all of them stay.
     """
-    found = near_duplicates(docs, id_col, text_col, **how)
     keep = cut(found.filter(F.col(id_col) == F.col("component_id")).groupBy(F.col(id_col).alias("__keep")).agg(F.count(F.lit(1)).alias("n")))
     kept = docs.join(keep.select("__keep"), docs[id_col] == F.col("__keep"), "left_semi")
     if not keep.filter("n > 1").isEmpty():
