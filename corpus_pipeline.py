@@ -11,6 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from tidewright.llm import decontaminate, mixing, near_copies, sharding, toxicity
 from tidewright.llm.common import shared_path, table
 
+#: Target weights of the sources in the mixture; None: the square roots of their sizes.
+WEIGHTS: dict[str | None, float] | None = None
+
 
 def civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the toxicity model rejects. It learns from the table `labels`, held-out rows apart."""
@@ -29,13 +32,14 @@ def unseen(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Puts all documents in the order of the mixture: target weights are the square roots of the sources' sizes."""
-    return mixing.in_mix_order(docs)
+    """Puts all documents in the order of the mixture."""
+    return mixing.in_mix_order(docs, WEIGHTS)
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The shard of each document and its place there."""
-    return sharding.assign_shards(docs)
+    """The shard of each document and its place there: a shard's slots follow the mixture, found again from source and id."""
+    assigned = mixing.with_places(sharding.assign_shards(docs, keep=("source",)), WEIGHTS)
+    return sharding.slots_in_order(assigned).drop("source")
 
 
 STAGES = [("toxicity", civil), ("near duplicates", distinct), ("benchmark", unseen), ("mixture", mixed), ("shards", sharded)]

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Bytes of UTF-8 text: A-Z become a-z; a-z, 0-9 and whatever is outside ASCII stay; the rest parts words.
@@ -55,3 +55,16 @@ def cut(df: DataFrame) -> DataFrame:
     path = shared_path(df.sparkSession, "cut")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def rows_before(counts: DataFrame, of: str) -> DataFrame:
+    """(of, __bucket, __before): the rows of the same `of` in smaller buckets. counts: (of, __bucket, n), written out.
+
+    Summed in two levels: a window holds a thousand buckets, or the thousands of buckets of one `of`.
+    """
+    group = F.floor(F.col("__bucket") / 1000)
+    inside = Window.partitionBy(of, "__group").orderBy("__bucket")
+    small = counts.withColumn("__group", group).withColumn("__inside", F.sum("n").over(inside) - F.col("n"))
+    large = counts.groupBy(of, group.alias("__group")).agg(F.sum("n").alias("n"))
+    large = large.select(of, "__group", (F.sum("n").over(Window.partitionBy(of).orderBy("__group")) - F.col("n")).alias("__outside"))
+    return small.join(large, [of, "__group"]).select(of, "__bucket", (F.col("__inside") + F.col("__outside")).alias("__before"))

@@ -22,7 +22,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, rows_before
 
 
 def shares(weights: dict[str, float], period: int) -> dict[str, int]:
@@ -94,13 +94,7 @@ def _placed(docs: DataFrame, id_col: str, source_col: str, weights: dict[str | N
     bucket = F.pmod(F.xxhash64(F.col(id_col)), F.lit(buckets))
     keyed = docs.select(*[F.col(f"`{c}`") for c in keep], name.alias("__src"), bucket.alias("__bucket"), F.xxhash64(F.col(id_col), F.lit(7)).alias("__h"))
     counts = cut(keyed.groupBy("__src", "__bucket").agg(F.count(F.lit(1)).alias("n")))
-    # rows before each bucket, summed in two levels: a window holds a thousand buckets, or a source's thousands of buckets
-    group = F.floor(F.col("__bucket") / 1000)
-    inside = Window.partitionBy("__src", "__group").orderBy("__bucket")
-    small = counts.withColumn("__group", group).withColumn("__inside", F.sum("n").over(inside) - F.col("n"))
-    large = counts.groupBy("__src", group.alias("__group")).agg(F.sum("n").alias("n"))
-    large = large.select("__src", "__group", (F.sum("n").over(Window.partitionBy("__src").orderBy("__group")) - F.col("n")).alias("__outside"))
-    before = small.join(large, ["__src", "__group"]).select("__src", "__bucket", (F.col("__inside") + F.col("__outside")).alias("__before"))
+    before = rows_before(counts, "__src")
     rows = {r["__src"]: r["n"] for r in counts.groupBy("__src").agg(F.sum("n").alias("n")).collect()}  # one row for each source
     given = {("n" if s is None else f"s{s}"): float(w) for s, w in weights.items()} if weights is not None else {s: n**temperature for s, n in rows.items()}
     plan = phases({s: -(-n // block_rows) for s, n in rows.items()}, given, period)
@@ -125,3 +119,8 @@ def in_mix_order(docs: DataFrame, weights: dict[str | None, float] | None = None
     """All rows and columns of docs in the order of the mixture: a reader that takes them in turn gets the target shares."""
     placed = _placed(docs, id_col, source_col, weights, block_rows, period, temperature, docs.columns)
     return placed.orderBy("__slot", "__nth").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def with_places(docs: DataFrame, weights: dict[str | None, float] | None = None, id_col: str = "doc_id", source_col: str = "source", block_rows: int = 16, period: int = 1000, temperature: float = 0.5) -> DataFrame:
+    """All rows and columns of docs, with __slot and __nth: where each comes in the order of the mixture."""
+    return _placed(docs, id_col, source_col, weights, block_rows, period, temperature, docs.columns).drop("__block")

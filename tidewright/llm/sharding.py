@@ -23,7 +23,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import utf8
+from .common import cut, rows_before, utf8
 
 
 def _point(name: str, size: int) -> int:
@@ -63,10 +63,10 @@ def flows(counts: dict[int, int], shards: int, cells: int, vnodes: int, slack: f
     return out
 
 
-def assign_shards(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text", slack: float = 0.0, cells: int = 4096, vnodes: int = 64) -> DataFrame:
-    """(id_col, size, text_crc32, shard, slot): one row for each of docs; slot counts a shard's rows from 0 without gaps."""
+def assign_shards(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text", slack: float = 0.0, cells: int = 4096, vnodes: int = 64, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id_col, size, text_crc32, shard, slot) and the columns `keep` of docs: one row for each of docs; slot counts a shard's rows from 0 without gaps."""
     text = utf8(text_col)
-    rows = docs.select(F.col(id_col).alias("id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
+    rows = docs.select(F.col(id_col).alias("id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), *[F.col(f"`{c}`").alias(f"__keep{n}") for n, c in enumerate(keep)])
     where = F.when(F.col("id").isNull(), F.xxhash64("text_crc32", "size")).otherwise(F.xxhash64("id"))
     rows = rows.withColumn("h", where).withColumn("cell", F.pmod(F.shiftrightunsigned("h", 20), F.lit(cells)).cast("int"))
     ids_only = docs.filter(F.col(id_col).isNotNull()).select(F.pmod(F.shiftrightunsigned(F.xxhash64(id_col), 20), F.lit(cells)).cast("int").alias("cell"))
@@ -76,4 +76,14 @@ def assign_shards(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", tex
     numbered = rows.withColumn("nth", nth)
     # at most one stretch for each cell and one more for each shard
     met = numbered.join(F.broadcast(table), (numbered["cell"] == table["cell"]) & (F.col("nth") >= F.col("lo")) & (F.col("nth") < F.col("hi")))
-    return met.select(F.col("id").alias(id_col), "size", "text_crc32", "shard", (F.col("at") + F.col("nth") - F.col("lo")).cast("long").alias("slot"))
+    return met.select(F.col("id").alias(id_col), "size", "text_crc32", "shard", (F.col("at") + F.col("nth") - F.col("lo")).cast("long").alias("slot"), *[F.col(f"__keep{n}").alias(c) for n, c in enumerate(keep)])
+
+
+def slots_in_order(assigned: DataFrame, slots_in_bucket: int = 125) -> DataFrame:
+    """assigned (shard, slot and others, with __slot and __nth of mixing.with_places), without these two: a shard's slots follow them, from 0 without gaps."""
+    columns = [c for c in assigned.columns if c not in ("__slot", "__nth")]
+    placed = cut(assigned.withColumn("__bucket", F.floor(F.col("__slot") / slots_in_bucket)))
+    before = rows_before(cut(placed.groupBy("shard", "__bucket").agg(F.count(F.lit(1)).alias("n"))), "shard")
+    nth = F.row_number().over(Window.partitionBy("shard", "__bucket").orderBy("__slot", "__nth")) - 1
+    numbered = placed.withColumn("__at", nth).join(before, ["shard", "__bucket"])
+    return numbered.withColumn("slot", (F.col("__at") + F.col("__before")).cast("long")).select(*columns)
