@@ -102,20 +102,21 @@ FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN found USING (doc_id)
 """
 
 
-def line_dedup_sql(min_lines: int = 3, min_words: int = 50, deepest: int = 12) -> str:
-    """Windows of lines compared as lists; levels up to 2^deepest lines."""
-    levels = ", ".join(f"({2**k})" for k in range(deepest + 1))
+def line_dedup_sql(min_lines: int = 3, min_words: int = 50) -> str:
+    """Runs of l lines, l one more each round; a run's later copies are numbered from 2."""
     return rf"""
-WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
-pos AS (SELECT doc_id, ls, unnest(generate_series(1, len(ls))) AS i FROM d),
-win AS (SELECT doc_id, i, md5(array_to_string(ls[i:i + {min_lines} - 1], chr(10))) AS w FROM pos WHERE i + {min_lines} - 1 <= len(ls)),
-runs AS (SELECT doc_id, i, row_number() OVER (PARTITION BY w ORDER BY doc_id, i) AS nth FROM win),
-one AS (SELECT doc_id, i, row_number() OVER (PARTITION BY ls[i] ORDER BY doc_id, i) AS nth, len(regexp_extract_all(ls[i], '\S+')) AS words FROM pos),
-gone AS (SELECT doc_id, unnest(generate_series(i, i + {min_lines} - 1)) AS i FROM runs WHERE nth > 1 UNION SELECT doc_id, i FROM one WHERE nth > 1 AND words >= {min_words}),
-h AS (SELECT * FROM (VALUES {levels}) AS t(h)),
-deep AS (SELECT doc_id, h, count(*) OVER (PARTITION BY h, md5(array_to_string(ls[i:i + h - 1], chr(10)))) AS n FROM pos, h WHERE i + h - 1 <= len(ls)),
-longest AS (SELECT doc_id, max(h) AS longest FROM deep WHERE n > 1 GROUP BY 1),
-kept AS (SELECT p.doc_id, string_agg(p.ls[p.i], chr(10) ORDER BY p.i) AS kept FROM pos p LEFT JOIN gone g ON p.doc_id = g.doc_id AND p.i = g.i WHERE g.i IS NULL GROUP BY 1),
+WITH RECURSIVE d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+pos AS (SELECT doc_id, i, ls[i] AS line, len(regexp_extract_all(ls[i], '\S+')) AS words FROM (SELECT doc_id, ls, unnest(generate_series(1, len(ls))) AS i FROM d)),
+run AS (
+    SELECT doc_id, i, 1 AS l, w, nth FROM (SELECT doc_id, i, md5(line) AS w, count(*) OVER (PARTITION BY line) AS n, row_number() OVER (PARTITION BY line ORDER BY doc_id, i) AS nth FROM pos) WHERE n > 1
+    UNION ALL
+    SELECT doc_id, i, l, w, nth FROM (SELECT doc_id, i, l, w, count(*) OVER (PARTITION BY w) AS n, row_number() OVER (PARTITION BY w ORDER BY doc_id, i) AS nth
+        FROM (SELECT r.doc_id, r.i, r.l + 1 AS l, md5(r.w || md5(p.line)) AS w FROM run r JOIN pos p ON p.doc_id = r.doc_id AND p.i = r.i + r.l)) WHERE n > 1
+),
+sized AS (SELECT r.doc_id, r.i, r.l, sum(p.words) AS words FROM run r JOIN pos p ON p.doc_id = r.doc_id AND p.i BETWEEN r.i AND r.i + r.l - 1 WHERE r.nth > 1 AND r.l <= {min_lines} GROUP BY 1, 2, 3),
+gone AS (SELECT DISTINCT doc_id, unnest(generate_series(i, i + l - 1)) AS i FROM sized WHERE l = {min_lines} OR words >= {min_words}),
+longest AS (SELECT doc_id, max(l) AS longest FROM run WHERE nth > 1 GROUP BY 1),
+kept AS (SELECT p.doc_id, string_agg(p.line, chr(10) ORDER BY p.i) AS kept FROM pos p LEFT JOIN gone g ON p.doc_id = g.doc_id AND p.i = g.i WHERE g.i IS NULL GROUP BY 1),
 n_gone AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY 1)
 SELECT d.doc_id, CAST(len(ls) AS BIGINT) AS n_lines, coalesce(n, 0) AS n_deleted, CAST(coalesce(longest, 0) AS BIGINT) AS longest, sha256(coalesce(kept, '')) AS kept_sha256
 FROM d LEFT JOIN n_gone USING (doc_id) LEFT JOIN longest USING (doc_id) LEFT JOIN kept USING (doc_id)
