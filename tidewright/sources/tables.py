@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,19 +17,40 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that spark.checkpoint.dir names; in a folder of our own only where that is unset."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    """A new path in the folder that spark.checkpoint.dir names. Where that is unset, a local session gets a folder of its own; a cluster's executors would not share one, so there it is an error."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", "") or ""
+        if not named and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return f"{spark._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared file system; nothing happens where there is none."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+#: Paths that cut() has written, in order.
+WRITTEN: list[str] = []
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """df as a table written to the shared folder: its lineage ends there."""
+    """df as a table written to the shared folder: its lineage ends there, a lost executor costs no recomputation, and nothing is computed twice."""
     path = shared_path(df.sparkSession, "cut")
+    WRITTEN.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def clear(spark: SparkSession, since: int) -> None:
+    """Deletes what cut() wrote after the first `since` tables. Only for tables that nothing will read again."""
+    while len(WRITTEN) > since:
+        remove(spark, WRITTEN.pop())
+
+
 def ordered_scan(df: DataFrame, order: list[str] | None = None, as_text: tuple[str, ...] = ()) -> DataFrame:
     """The columns in ordinal order under lower-case names; those of types that a target lacks as text."""
     return df.select(*[(F.col(f"`{c}`").cast("string") if c in as_text else F.col(f"`{c}`")).alias(c.lower()) for c in order or df.columns])
@@ -73,15 +94,25 @@ def jdbc_options(kind: str, host: str, database: str, user: str | None = None, p
 
 
 def copy_table(df: DataFrame, target: str, mode: str = "overwrite", binary_as_hex: bool = False) -> dict:
-    """Writes df as a catalog table, names in lower case; the result row of the copy. A table is committed whole or not at all."""
-    name = target.split(".")[-1]
+    """Writes df as a catalog table, names in lower case; the result row of the copy.
+
+    overwrite: the rows are written under a new name, and the table is swapped for them
+    when all are there: a copy that fails leaves the table as it was.
+    """
+    spark, name, made = df.sparkSession, target.split(".")[-1], f"{target}__{uuid.uuid4().hex[:8]}"
     try:
         columns = [(F.hex(f"`{f.name}`") if binary_as_hex and isinstance(f.dataType, T.BinaryType) else F.col(f"`{f.name}`")).alias(f.name.lower()) for f in df.schema]
-        seen = F.count(F.lit(1)).alias("rows")
-        from pyspark.sql import Observation
-
         observed = Observation()
-        df.select(*columns).observe(observed, seen).write.mode(mode).saveAsTable(target)
+        rows = df.select(*columns).observe(observed, F.count(F.lit(1)).alias("rows"))
+        if mode == "overwrite" and spark.catalog.tableExists(target):
+            try:
+                rows.write.saveAsTable(made)
+                spark.sql(f"DROP TABLE {target}")
+                spark.sql(f"ALTER TABLE {made} RENAME TO {target}")
+            finally:
+                spark.sql(f"DROP TABLE IF EXISTS {made}")
+        else:
+            rows.write.mode(mode).saveAsTable(target)
         return {"table_name": name, "status": "success", "rows_migrated": observed.get["rows"], "error": None}
     except Exception as e:  # one table's failure is a row of the report
         return {"table_name": name, "status": "failed", "rows_migrated": 0, "error": str(e)[:500]}
