@@ -3,124 +3,128 @@
 Block k of a source with share w may not start before slot floor(k/w) and must have
 run by slot ceil((k+1)/w); in each slot the released block with the earliest deadline
 goes next (Baruah et al., Algorithmica 1996). No source is ever a whole block ahead
-of, or behind, its share. Shares are whole numbers of slots in a period, so the order
-repeats: the driver schedules one period, and Spark places every block by arithmetic.
-When a source runs out, a new phase starts with the shares of those that are left, so
-every row is placed once.
+of, or behind, its share: of the weights as given, with no rounding to a period. When a
+source runs out, a new phase starts with the shares of those that are left, so every row
+is placed once.
+
+The driver schedules blocks, never rows: a block is the least number of rows with which
+all sources together have at most `blocks` of them, besides a last short one each. So
+the schedule is bounded at every size of the input, and its steps go with `blocks` and
+the number of sources. Spark numbers the rows of each source and looks their blocks up.
 
 Defined cases: null is a source of its own; sources without a weight, or with weight
 0, follow after all others; a source's last block may be short; rows that repeat an
-id are all placed; an empty table gives an empty result; extra columns are ignored
-by mix() and kept by in_mix_order().
+id are all placed, in any order among those that agree in all columns; an empty table
+gives an empty result; extra columns are ignored by mix() and kept by in_mix_order().
 """
 
 from __future__ import annotations
 
 import heapq
-import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, rows_before
 
+#: Weights are scheduled as whole numbers of this many parts.
+PARTS = 1 << 40
+
+
+def phase(order: list[tuple[int, str]], left: dict[str, int]) -> list[str]:
+    """The sources of the slots until one source is used up; left is counted down.
+
+    order: (weight, source) of all sources with blocks left, largest weights first.
+    Weights are whole numbers, so that releases and deadlines are exact.
+    """
+    total, out, ready, waiting = sum(w for w, _ in order), [], [], []
+    fresh, done = 0, {}
+    for slot in range(sum(left.values())):
+        while waiting and waiting[0][0] <= slot:
+            heapq.heappush(ready, heapq.heappop(waiting)[1:])
+        # first blocks are all released at the start, the largest weight's deadline first
+        if fresh < len(order) and (not ready or (-(-total // order[fresh][0]), fresh) < ready[0][:2]):
+            (weight, source), rank = order[fresh], fresh
+            fresh += 1
+        else:
+            _, rank = heapq.heappop(ready)
+            weight, source = order[rank]
+        done[source] = k = done.get(source, 0) + 1
+        out.append(source)
+        left[source] -= 1
+        if not left[source]:
+            return out
+        heapq.heappush(waiting, (k * total // weight, -(-(k + 1) * total // weight), rank))
+    return out
+
 
-def shares(weights: dict[str, float], period: int) -> dict[str, int]:
-    """Whole slots of a period in proportion to the weights, at least one each: the largest remainders are rounded up."""
-    period = max(period, len(weights))
-    total = math.fsum(weights.values())
-    free = period - len(weights)
-    exact = {s: 1 + max(0.0, w / total * period - 1) for s, w in weights.items()}
-    scale = free / max(1e-12, math.fsum(exact.values()) - len(weights))
-    exact = {s: 1 + (x - 1) * scale for s, x in exact.items()}
-    got = {s: math.floor(x) for s, x in exact.items()}
-    rest = period - sum(got.values())
-    for s in sorted(exact, key=lambda s: (got[s] - exact[s], s))[:rest]:
-        got[s] += 1
-    return got
-
-
-def period_order(slots: dict[str, int]) -> list[str]:
-    """The source of each slot of one period: earliest deadline first among released blocks; ties go to the smaller name."""
-    period = sum(slots.values())
-    released = [[] for _ in range(period)]
-    for s, c in slots.items():
-        for k in range(c):
-            released[k * period // c].append((-(-(k + 1) * period // c), s))
-    ready: list[tuple[int, str]] = []
-    order = []
-    for t in range(period):
-        for block in released[t]:
-            heapq.heappush(ready, block)
-        deadline, s = heapq.heappop(ready)
-        if deadline <= t:
-            raise AssertionError("a deadline passed")
-        order.append(s)
-    return order
-
-
-def phases(blocks: dict[str, int], weights: dict[str, float], period: int) -> list[dict]:
-    """Phases until every source is used up: start slot, and by source the first block, number of blocks, slots and places in the period."""
-    left, done, out, start = {s: n for s, n in blocks.items() if n}, dict.fromkeys(blocks, 0), [], 0
+def schedule(blocks: dict[str, int], weights: dict[str, float]) -> list[str]:
+    """The source of every slot. Its n-th slot takes the source's n-th block."""
+    out: list[str] = []
+    left = {s: n for s, n in blocks.items() if n}
     while left:
         active = {s: weights.get(s) or 0.0 for s in left}
         active = {s: w for s, w in active.items() if w > 0} or {s: float(n) for s, n in left.items()}
-        slots = shares(active, period)
-        order = period_order(slots)
-        places: dict[str, list[int]] = {s: [] for s in slots}
-        for t, s in enumerate(order):
-            places[s].append(t)
-        size = len(order)
-        end = min((left[s] - 1) // slots[s] * size + places[s][(left[s] - 1) % slots[s]] + 1 for s in slots)
-        for s in slots:
-            n = end // size * slots[s] + sum(p < end % size for p in places[s])
-            if n:
-                out.append({"source": s, "start": start, "first": done[s], "n": n, "slots": slots[s], "period": size, "places": places[s]})
-            done[s] += n
-            left[s] -= n
-            if not left[s]:
-                del left[s]
-        start += end
+        most = max(active.values())
+        order = sorted(((max(1, round(w / most * PARTS)), s) for s, w in active.items()), key=lambda x: (-x[0], x[1]))
+        still = {s: left[s] for _, s in order}
+        while still:
+            ran = phase(order, still)
+            out += ran
+            order = [x for x in order if x[1] != ran[-1]]
+            del still[ran[-1]]
+        left = {s: n for s, n in left.items() if s not in active}
     return out
 
 
-def _placed(docs: DataFrame, id_col: str, source_col: str, weights: dict[str | None, float] | None, block_rows: int, period: int, temperature: float, keep: list[str], rows_in_bucket: int = 2000) -> DataFrame:
-    """keep's columns with __slot and __nth (place in the block)."""
+def content(docs: DataFrame) -> Column:
+    """A hash of all columns that have one: it tells rows that repeat an id apart."""
+    return F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema if not any(x in f.dataType.simpleString() for x in ("map<", "variant"))])
+
+
+def _placed(docs: DataFrame, id_col: str, source_col: str, weights: dict[str | None, float] | None, blocks: int, temperature: float, tie: Column, rows_in_bucket: int = 2000) -> DataFrame:
+    """docs with __block, __slot and __nth (place in the block). tie: tells rows that repeat an id apart, the same whenever docs is read."""
     spark = docs.sparkSession
     name = F.when(F.col(source_col).isNull(), "n").otherwise(F.concat(F.lit("s"), F.col(source_col).cast("string")))
-    total = docs.count()
-    buckets = 1 + total // rows_in_bucket
-    # a source's rows in buckets by hash: each bucket is numbered by itself, after those before it
-    bucket = F.pmod(F.xxhash64(F.col(id_col)), F.lit(buckets))
-    keyed = docs.select(*[F.col(f"`{c}`") for c in keep], name.alias("__src"), bucket.alias("__bucket"), F.xxhash64(F.col(id_col), F.lit(7)).alias("__h"))
-    counts = cut(keyed.groupBy("__src", "__bucket").agg(F.count(F.lit(1)).alias("n")))
-    before = rows_before(counts, "__src")
-    rows = {r["__src"]: r["n"] for r in counts.groupBy("__src").agg(F.sum("n").alias("n")).collect()}  # one row for each source
+    keyed = docs.select(*[F.col(f"`{c}`") for c in docs.columns], name.alias("__src"), F.xxhash64(F.col(id_col), tie).alias("__h"))
+    counted = keyed.groupBy("__src").agg(F.count(F.lit(1)).alias("n")).collect()  # one row for each source
+    rows = {r["__src"]: r["n"] for r in counted}
+    total = sum(rows.values())
+    buckets, block_rows = 1 + total // rows_in_bucket, max(1, -(-total // blocks))
+    # a source's rows in buckets by a hash of id and tie: each bucket is numbered by itself, after those before it
+    keyed = keyed.withColumn("__bucket", F.pmod("__h", F.lit(buckets)))
+    before = rows_before(cut(keyed.groupBy("__src", "__bucket").agg(F.count(F.lit(1)).alias("n"))), "__src")
     given = {("n" if s is None else f"s{s}"): float(w) for s, w in weights.items()} if weights is not None else {s: n**temperature for s, n in rows.items()}
-    plan = phases({s: -(-n // block_rows) for s, n in rows.items()}, given, period)
-    table = spark.createDataFrame([(p["source"], p["start"], p["first"], p["n"], p["slots"], p["period"], p["places"]) for p in plan], "__src string, start long, first long, n long, slots int, period int, places array<int>").alias("p")
-    inner = Window.partitionBy("__src", "__bucket").orderBy("__h", id_col)
+    taken: dict[str, int] = {}
+    plan = []
+    for slot, s in enumerate(schedule({s: -(-n // block_rows) for s, n in rows.items()}, given)):
+        plan.append((s, taken.get(s, 0), slot))
+        taken[s] = taken.get(s, 0) + 1
+    # at most `blocks` rows and one more for each source
+    table = spark.createDataFrame(plan, "__src string, __block long, __slot long")
+    inner = Window.partitionBy("__src", "__bucket").orderBy("__h")
     numbered = keyed.withColumn("__i", F.row_number().over(inner)).join(before, ["__src", "__bucket"]).withColumn("__i", F.col("__i") - 1 + F.col("__before"))
-    numbered = numbered.withColumn("__b", F.floor(F.col("__i") / block_rows)).withColumn("__nth", (F.col("__i") % block_rows).cast("int"))
-    step = F.col("__b") - F.col("p.first")
-    slot = F.col("p.start") + F.floor(step / F.col("p.slots")) * F.col("p.period") + F.element_at("p.places", (step % F.col("p.slots") + 1).cast("int"))
-    # sources x phases: at most the square of the number of sources; Spark decides by its size how to join
-    met = numbered.alias("d").join(table, (F.col("d.__src") == F.col("p.__src")) & (F.col("__b") >= F.col("p.first")) & (F.col("__b") < F.col("p.first") + F.col("p.n")))
-    return met.select(*[F.col(f"d.`{c}`") for c in keep], F.col("__b").alias("__block"), slot.alias("__slot"), "__nth")
+    numbered = numbered.withColumn("__block", F.floor(F.col("__i") / block_rows)).withColumn("__nth", (F.col("__i") % block_rows).cast("int"))
+    return numbered.join(F.broadcast(table), ["__src", "__block"]).select(*[F.col(f"`{c}`") for c in docs.columns], "__block", "__slot", "__nth")
 
 
-def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, id_col: str = "doc_id", source_col: str = "source", block_rows: int = 16, period: int = 1000, temperature: float = 0.5) -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, id_col: str = "doc_id", source_col: str = "source", blocks: int = 100_000, temperature: float = 0.5) -> DataFrame:
     """(id_col, source_col, block, slot, nth): where each row comes in the mixture. Without weights: each source's size to the power `temperature`."""
-    placed = _placed(docs, id_col, source_col, weights, block_rows, period, temperature, [id_col, source_col])
+    # rows that agree in both are alike here; written out, since what spreads them must stay the same
+    light = cut(docs.select(F.col(id_col), F.col(source_col), F.monotonically_increasing_id().alias("__tie")))
+    placed = _placed(light, id_col, source_col, weights, blocks, temperature, F.col("__tie"))
     return placed.select(id_col, source_col, F.col("__block").alias("block"), F.col("__slot").alias("slot"), F.col("__nth").alias("nth"))
 
 
-def in_mix_order(docs: DataFrame, weights: dict[str | None, float] | None = None, id_col: str = "doc_id", source_col: str = "source", block_rows: int = 16, period: int = 1000, temperature: float = 0.5) -> DataFrame:
+def in_mix_order(docs: DataFrame, weights: dict[str | None, float] | None = None, id_col: str = "doc_id", source_col: str = "source", blocks: int = 100_000, temperature: float = 0.5) -> DataFrame:
     """All rows and columns of docs in the order of the mixture: a reader that takes them in turn gets the target shares."""
-    placed = _placed(docs, id_col, source_col, weights, block_rows, period, temperature, docs.columns)
+    placed = _placed(docs, id_col, source_col, weights, blocks, temperature, content(docs))
     return placed.orderBy("__slot", "__nth").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
-def with_places(docs: DataFrame, weights: dict[str | None, float] | None = None, id_col: str = "doc_id", source_col: str = "source", block_rows: int = 16, period: int = 1000, temperature: float = 0.5) -> DataFrame:
-    """All rows and columns of docs, with __slot and __nth: where each comes in the order of the mixture."""
-    return _placed(docs, id_col, source_col, weights, block_rows, period, temperature, docs.columns).drop("__block")
+def with_places(docs: DataFrame, weights: dict[str | None, float] | None = None, id_col: str = "doc_id", source_col: str = "source", blocks: int = 100_000, temperature: float = 0.5, tie: str | None = None) -> DataFrame:
+    """All rows and columns of docs, with __slot and __nth: where each comes in the order of the mixture.
+
+    tie: a column that holds content() of the rows as in_mix_order() sees them.
+    """
+    return _placed(docs, id_col, source_col, weights, blocks, temperature, content(docs) if tie is None else F.col(tie)).drop("__block")
