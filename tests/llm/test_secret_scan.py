@@ -1,5 +1,9 @@
 import hashlib
+import random
 import re
+import time
+
+from pyspark.sql import functions as F
 
 from tidewright.llm import secret_scan as ss
 from tidewright.llm.queries import op10_secret_scan
@@ -49,3 +53,33 @@ def test_spans_and_models(spark, rough, empty):
     assert [x[2] for x in by_id[4]] == ["markov"] and by_id[4][0][0] == 4
     assert ss.scan_secrets(empty).count() == 0
     assert len(ss.train(empty)) == len(ss.ALPHABET) ** 2
+
+
+def test_free_of_is_overlap_pair_by_pair(spark):
+    r = random.Random(4)
+    rows = []
+    for _ in range(300):
+        cuts = sorted(r.sample(range(400), 2 * r.randrange(0, 30)))
+        found = [(a, 3, "markov", b, "x") for a, b in zip(cuts[::2], cuts[1::2], strict=True)]
+        base = [(a, r.randrange(3), "hex", a + r.randrange(1, 40), "y") for a in (r.randrange(400) for _ in range(r.randrange(0, 8)))]
+        rows.append((found, base))
+    df = spark.createDataFrame(rows, f"f array<{ss.FOUND}>, b array<{ss.FOUND}>")
+    for row, (found, base) in zip(df.select(ss.free_of(F.col("f"), F.col("b")).alias("x")).collect(), rows, strict=True):
+        assert [tuple(x) for x in row.x] == [x for x in found if not any(x[0] < y[3] and y[0] < x[3] for y in base)]
+
+
+def test_running(spark):
+    got = spark.createDataFrame([(list(range(n)),) for n in (0, 1, 2, 3, 7, 8, 9, 100)], "a array<int>").select(ss.running(F.col("a"), lambda x, y: x + y, 0).alias("s")).collect()
+    assert [len(r.s) for r in got] == [0, 1, 2, 3, 7, 8, 9, 100] and all(r.s == [sum(range(i + 1)) for i in range(len(r.s))] for r in got)
+
+
+def test_many_finds_and_very_long_tokens(spark):
+    """Steps grow with the text: 32,000 finds of every kind, and one token of two million characters."""
+    ratios = [0.1] * len(ss.ALPHABET) ** 2
+    text = " ".join(f"token={i:06d}x {hashlib.sha1(str(i).encode()).hexdigest()} Abcdefghijklmnopqrstuvwxyz{i:05d}" for i in range(32_000))
+    docs = spark.createDataFrame([(1, text), (2, "Z" * 2_000_000), (3, None)], "doc_id long, text string")
+    began = time.monotonic()
+    got = {r.doc_id: r for r in ss.scan_secrets(docs, ratios=ratios, margin=1.0).collect()}
+    assert time.monotonic() - began < 60
+    assert [tuple(x) for x in got[1].base] == base(text) and len(got[1].spans) == 3 * 32_000
+    assert [tuple(x) for x in got[2].spans] == [(0, 3, "markov", 2_000_000)] and got[3].spans == []

@@ -3,7 +3,8 @@
 One first-order model is trained on random strings (what the patterns found in
 labelled sample texts), the other on ordinary identifiers and words (of sample texts
 without a find). A long token is a secret when its characters are likelier by a margin
-under the first. DataFrame functions only; the scan itself needs no shuffle.
+under the first. DataFrame functions only; the scan itself needs no shuffle, and its
+steps grow with the characters of a text and, but for a logarithm, with its finds.
 
 Defined cases: a null text counts as empty; a text without finds gets zero counts,
 the digest of the empty string and empty spans; repeated rows are each scanned;
@@ -30,6 +31,21 @@ BASE = (
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 TOKEN = r"[A-Za-z0-9+/_=-]"
 SPAN = "struct<start:int,kind_no:int,kind:string,stop:int>"
+FOUND = "struct<start:int,kind_no:int,kind:string,stop:int,find:string>"
+#: Behind the end of any text.
+END = (1 << 31) - 1
+
+
+def running(values: Column, step, neutral) -> Column:
+    """For each element of an array what `step` makes of it and all before it, by doublings: in n log n steps for n elements."""
+    size = F.size(values)
+    doublings = F.sequence(F.lit(0), F.ceil(F.log2(size)).cast("int") - 1)
+
+    def doubled(acc: Column, k: Column) -> Column:
+        shift = F.pow(F.lit(2), k).cast("int")
+        return F.zip_with(F.slice(F.concat(F.array_repeat(F.lit(neutral), shift), acc), 1, size), acc, step)
+
+    return F.when(size > 1, F.aggregate(doublings, values, doubled)).otherwise(values)
 
 
 def found_spans(df: DataFrame, kind_no: int, kind: str, pattern: str, least: int = 0, group_least: int = 0) -> DataFrame:
@@ -37,22 +53,27 @@ def found_spans(df: DataFrame, kind_no: int, kind: str, pattern: str, least: int
 
     A find's place is the length of the stretches between finds and of the finds before it, in code points.
     """
-    m, g, gaps = f"__{kind}_m", f"__{kind}_g", f"__{kind}_gaps"
+    m, g, at = f"__{kind}_m", f"__{kind}_g", f"__{kind}_at"
     df = df.withColumn(m, F.regexp_extract_all("t", F.lit(pattern), F.lit(0)))
     some = F.size(m) > 0
     df = df.withColumn(g, F.when(some, F.regexp_extract_all("t", F.lit(pattern), F.lit(2)) if group_least else F.col(m)))
-    df = df.withColumn(gaps, F.when(some, F.transform(F.split("t", pattern, -1), lambda x: F.length(x))))
-    pieces = F.arrays_zip(F.slice(gaps, 1, F.size(m)).alias("gap"), F.transform(m, lambda x: F.length(x)).alias("len"), F.transform(g, lambda x: F.length(x)).alias("group"))
-    start = lambda acc, x: acc["at"] + x["gap"]
+    gaps = F.transform(F.split("t", pattern, -1), lambda x: F.length(x))
+    steps = F.zip_with(F.slice(gaps, 1, F.size(m)), F.concat(F.array(F.lit(0)), F.transform(F.slice(m, 1, F.size(m) - 1), lambda x: F.length(x))), lambda gap, before: gap + before)
+    df = df.withColumn(at, F.when(some, running(steps, lambda a, b: a + b, 0)))
+    pieces = F.filter(F.arrays_zip(F.col(at).alias("at"), F.col(m).alias("m"), F.col(g).alias("g")), lambda x: (F.length(x["m"]) >= least) & (F.length(x["g"]) >= group_least))
+    spans = F.transform(pieces, lambda x: F.struct(x["at"].alias("start"), F.lit(kind_no).alias("kind_no"), F.lit(kind).alias("kind"), (x["at"] + F.length(x["m"])).alias("stop"), x["m"].alias("find")))
+    return df.withColumn(kind, F.when(some, spans).otherwise(F.array().cast(f"array<{FOUND}>"))).drop(m, g, at)
 
-    def step(acc: Column, x: Column) -> Column:
-        one = F.struct(start(acc, x).alias("start"), F.lit(kind_no).alias("kind_no"), F.lit(kind).alias("kind"), (start(acc, x) + x["len"]).alias("stop"))
-        good = (x["len"] >= least) & (x["group"] >= group_least)
-        return F.struct((start(acc, x) + x["len"]).alias("at"), F.when(good, F.array_append(acc["spans"], one)).otherwise(acc["spans"]).alias("spans"))
 
-    nothing = F.array().cast(f"array<{SPAN}>")
-    spans = F.aggregate(pieces, F.struct(F.lit(0).alias("at"), nothing.alias("spans")), step, lambda acc: acc["spans"])
-    return df.withColumn(kind, F.when(some, spans).otherwise(nothing)).drop(m, g, gaps)
+def free_of(found: Column, base: Column) -> Column:
+    """The elements of `found` that overlap none of `base`: beside each, how far the base finds before it reach and where the next one starts."""
+    every = F.array_sort(F.concat(base, found))
+    own = lambda x: x["kind_no"] == len(BASE)
+    reach = running(F.transform(every, lambda x: F.when(own(x), 0).otherwise(x["stop"])), lambda a, b: F.greatest(a, b), 0)
+    following = F.reverse(running(F.transform(F.reverse(every), lambda x: F.when(own(x), END).otherwise(x["start"])), lambda a, b: F.least(a, b), END))
+    beside = F.arrays_zip(every.alias("x"), reach.alias("reach"), following.alias("following"))
+    free = F.filter(beside, lambda y: own(y["x"]) & (y["reach"] <= y["x"]["start"]) & (y["following"] >= y["x"]["stop"]))
+    return F.transform(free, lambda y: y["x"])
 
 
 def _base_secrets(texts: DataFrame) -> DataFrame:
@@ -62,9 +83,14 @@ def _base_secrets(texts: DataFrame) -> DataFrame:
     return listed.select(F.explode(F.regexp_extract_all("w", F.lit(f"{TOKEN}+"), F.lit(0))).alias("w")).filter(F.length("w") >= 6).distinct()
 
 
+def characters(word: Column) -> Column:
+    return F.filter(F.split(word, ""), lambda c: c != "")
+
+
 def _bigrams(words: DataFrame) -> dict[str, int]:
     """Counts of neighbouring characters: at most the square of the alphabet."""
-    pairs = words.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("w") - 1), lambda i: F.substring(F.col("w"), i, F.lit(2)))).alias("p"))
+    apart = words.select(characters(F.col("w")).alias("c"))
+    pairs = apart.select(F.explode(F.zip_with(F.slice("c", 1, F.size("c") - 1), F.slice("c", 2, F.size("c") - 1), lambda a, b: F.concat(a, b))).alias("p"))
     return {r.p: r.n for r in pairs.groupBy("p").agg(F.count(F.lit(1)).alias("n")).collect()}
 
 
@@ -100,9 +126,12 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
 def likelihood_ratio(token: Column, ratios: list[float]) -> Column:
     """The sum of the ratios of the token's character pairs."""
     table = F.array(*[F.lit(round(x, 6)) for x in ratios])
-    place = lambda i: F.instr(F.lit(ALPHABET), F.substring(token, i, F.lit(1)))
-    pair = lambda i: F.element_at(table, (place(i) - 1) * len(ALPHABET) + place(i + 1))
-    return F.aggregate(F.sequence(F.lit(1), F.length(token) - 1), F.lit(0.0), lambda acc, i: acc + pair(i))
+    # the place of each character with that of the one before it (0: none)
+    pair = lambda acc, c: F.struct(
+        (acc["sum"] + F.when(acc["last"] > 0, F.element_at(table, F.greatest(F.lit(1), (acc["last"] - 1) * len(ALPHABET) + F.instr(F.lit(ALPHABET), c)))).otherwise(0.0)).alias("sum"),
+        F.instr(F.lit(ALPHABET), c).alias("last"),
+    )
+    return F.aggregate(characters(token), F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("last")), pair, lambda acc: acc["sum"])
 
 
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ratios: list[float] | None = None, least: int = 20, margin: float = 12.0) -> DataFrame:
@@ -115,10 +144,11 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     for n, (kind, pattern, whole, group) in enumerate(BASE):
         df = found_spans(df, n, kind, pattern, whole, group)
     df = found_spans(df, len(BASE), "markov", f"{TOKEN}{{{least},}}", least)
-    df = df.withColumn("base", F.array_sort(F.concat(*[k for k, _, _, _ in BASE])))
-    free = F.filter("markov", lambda x: ~F.exists("base", lambda y: (x["start"] < y["stop"]) & (y["start"] < x["stop"])))
-    likely = F.filter(free, lambda x: likelihood_ratio(F.substring(F.col("t"), x["start"] + 1, x["stop"] - x["start"]), ratios) >= margin)
-    return df.select(F.col("id").alias(id_col), "base", F.when(F.size("markov") > 0, F.array_sort(F.concat("base", likely))).otherwise(F.col("base")).alias("spans"))
+    df = df.withColumn("listed", F.array_sort(F.concat(*[k for k, _, _, _ in BASE])))
+    likely = F.filter(free_of(F.col("markov"), F.col("listed")), lambda x: likelihood_ratio(x["find"], ratios) >= margin)
+    spans = F.when(F.size("markov") > 0, F.array_sort(F.concat("listed", likely))).otherwise(F.col("listed"))
+    plain = lambda found: F.transform(found, lambda x: F.struct(*[x[f].alias(f) for f in ("start", "kind_no", "kind", "stop")]))
+    return df.select(F.col("id").alias(id_col), plain(F.col("listed")).alias("base"), plain(spans).alias("spans"))
 
 
 def listed(spans: str) -> Column:
