@@ -60,3 +60,13 @@ def test_defined_cases(spark, rough, empty):
     assert tx.keep_civil(rough, model).columns == rough.columns
     assert tx.train(rough, labels.filter("toxic = 0")).score(set()) < 0.01 and tx.train(empty, labels).score(set()) < 0.01
     assert empty.select(tx.score(empty, model)).count() == 0
+
+
+def test_equal_texts_labelled_differently_count_as_toxic(spark):
+    """One model whatever the partitions."""
+    rows = [(i, f"word{i % 40} common tide") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 7 == 0 or i % 40 < 8)) for i in range(400)], "doc_id long, toxic int")
+    models = [tx.train(docs.repartition(n), labels.repartition(n)) for n in (1, 3, 8)]
+    assert models[0] == models[1] == models[2]
+    assert models[0].score({b"word3", b"common", b"tide"}) > models[0].score({b"word30", b"common", b"tide"}) or len(models[0].weights) == 0

@@ -9,8 +9,9 @@ name then gains no weight of its own, so neutral mentions are not called toxic.
 
 Defined cases: a null text counts as empty and gets the model's base score; labels
 that are null, or whose document is missing, are not used; a document labelled more
-than once counts with its highest label; without both classes the score is the
-share of the one there is (0.0 without labels). Only the text enters a score.
+than once, or equal texts labelled differently, count with the highest label; without
+both classes the score is the share of the one there is (0.0 without labels). Only the
+text enters a score.
 """
 
 from __future__ import annotations
@@ -111,7 +112,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     def distinct(texts: pa.Array) -> pa.Array:
         return pa.array([sorted(set(alnum_words(t))) for t in texts.to_pylist()], pa.list_(pa.binary()))
 
-    texts = docs.select(F.col(id_col).alias("id"), utf8(text_col).alias("t")).join(ids, "id").dropDuplicates(["t"]).select("y", distinct("t").alias("words")).persist()
+    texts = docs.select(F.col(id_col).alias("id"), utf8(text_col).alias("t")).join(ids, "id").groupBy("t").agg(F.max("y").alias("y")).select("y", distinct("t").alias("words")).persist()
     try:
         n = dict(texts.groupBy("y").count().collect())
         if not n.get(0) or not n.get(1):
