@@ -4,13 +4,13 @@ from tidewright.llm import mixing
 
 def test_weights_reach_the_result(spark, sf_dir, monkeypatch):
     """A shard's slots follow the mixture, so other weights give run() another result."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     found = []
     for weights in (None, {"src0": 50.0, "src1": 1.0, "src2": 1.0}):
         monkeypatch.setattr(corpus_pipeline, "WEIGHTS", weights)
         rows = corpus_pipeline.run(spark, sf_dir).collect()
-        kept = docs.join(spark.createDataFrame([(r.doc_id,) for r in rows], "doc_id long"), "doc_id")
-        place = {r.doc_id: (r.slot, r.nth) for r in mixing.mix(kept, weights).collect()}
+        kept = docs.join(spark.createDataFrame([(r.doc_id,) for r in rows], "doc_id long"), "doc_id", "left_semi")
+        place = {r.doc_id: (r["__slot"], r["__nth"]) for r in mixing.with_places(kept, weights).collect()}
         for shard in {r.shard for r in rows}:
             ids = [r.doc_id for r in sorted(rows, key=lambda r: r.slot) if r.shard == shard]
             assert ids == sorted(ids, key=place.get)

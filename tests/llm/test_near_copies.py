@@ -2,7 +2,7 @@ import random
 from itertools import combinations
 
 import corpus_pipeline
-from tidewright.llm import near_copies as nc
+from tidewright.llm import simhash_dedup as nc
 
 
 def shingles(text):
@@ -32,7 +32,7 @@ def groups(rows, threshold=0.8):
 def check(docs, **how):
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
     want = sorted(zip((i for i, _ in rows), groups(rows), strict=True), key=str)
-    assert sorted(map(tuple, nc.near_copies(docs, **how).collect()), key=str) == want
+    assert sorted(map(tuple, nc.similar_groups(docs, **how).collect()), key=str) == want
     return {g for _, g in want}
 
 
@@ -60,4 +60,4 @@ def test_small_edits_and_buckets_of_many(spark):
 
 
 def test_empty(empty):
-    assert nc.near_copies(empty).count() == 0 and nc.keep_one_of_each(empty).count() == 0
+    assert nc.similar_groups(empty).count() == 0 and nc.keep_one_of_each(empty).count() == 0

@@ -1,3 +1,5 @@
+import glob
+
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -17,7 +19,7 @@ def test_stages(spark, sf_dir, tmp_path):
             model = toxicity.train(before, labels, usable=~toxicity.held_out())
             assert ids[name] == {r.doc_id for r in before.collect() if model.score(set(common.alnum_words((r.text or "").encode()))) < 0.5}
         elif name == "near duplicates":
-            found = simhash_dedup.near_duplicates(before).collect()
+            found = simhash_dedup.similar_groups(before).collect()
             assert ids[name] == {r.component_id for r in found} < {r.doc_id for r in found}
         elif name == "benchmark":
             assert ids[name] == {r.doc_id for r in decontaminate.contamination(before, bench).collect() if not r.contaminated} < {r.doc_id for r in before.collect()}
@@ -28,6 +30,16 @@ def test_stages(spark, sf_dir, tmp_path):
     assert len(corpus_pipeline.STAGES) == 5
     whole = corpus_pipeline.run(spark, sf_dir)
     assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, docs.collect()))
+    assert whole.columns == ["doc_id", "text", "lang", "source", "n_chars", "size", "text_crc32", "shard", "slot"]
+
+
+def test_intermediate_folders_go(spark, sf_dir):
+    folder = spark.conf.get("spark.checkpoint.dir")
+    held = lambda: {p for p in glob.glob(f"{folder}/*/*") if "rdd-" not in p}
+    before = held()
+    out = corpus_pipeline.run(spark, sf_dir)
+    new = held() - before
+    assert len(new) == 1 and out.count() > 0 and [p.rsplit("/", 1)[1] for p in glob.glob(f"{new.pop()}/*")] == ["4"]
 
 
 def test_stages_take_an_empty_table(spark, empty, sf_dir):
@@ -53,11 +65,11 @@ def test_stages_take_rough_rows(spark, rough, sf_dir, tmp_path):
 
     distinct = stages["near duplicates"](spark, docs, sf_dir)
     kept = distinct.select("doc_id", "text").collect()
-    found = simhash_dedup.near_duplicates(docs).collect()
+    found = simhash_dedup.similar_groups(docs).collect()
     assert distinct.schema.names == docs.columns
     assert {r.doc_id for r in kept if r.doc_id is not None} == {r.component_id for r in found if r.component_id is not None}
     assert sum(r.doc_id is None for r in kept) == sum(r.doc_id is None for r in every) == 1
-    assert len({r.doc_id for r in kept}) == len(kept)
+    assert len({(r.doc_id, r.text) for r in kept}) == len(kept)
 
     unseen = stages["benchmark"](spark, docs, sf_dir)
     left = unseen.select("doc_id").collect()

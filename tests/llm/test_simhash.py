@@ -87,8 +87,19 @@ def test_defined_cases(rough, empty):
     fps = [brute(r.text) for r in rows]
     want = sorted(((r.doc_id, f"{f:016x}", g) for r, f, g in zip(rows, fps, groups([r.doc_id for r in rows], fps), strict=True)), key=str)
     assert sorted(((r.doc_id, r.fingerprint, r.component_id) for r in got), key=str) == want
-    kept = sd.keep_one_of_each(rough)
+    kept = sd.keep_one_of_each(rough, threshold=None)
     assert kept.columns == rough.columns
     ids = [r.doc_id for r in kept.collect()]
     assert len(ids) == len(set(ids)) and set(ids) == {g for _, _, g in want} | {None}
     assert sd.near_duplicates(empty).count() == 0 and sd.keep_one_of_each(empty).count() == 0
+
+
+@pytest.mark.parametrize("threshold", [0.8, None])
+def test_one_row_of_each_group_stays(spark, threshold):
+    """Rows are told apart by id and text: of rows that share an id, only copies go; a repeated row stays once; a null id comes last."""
+    a, b, c = (" ".join(f"{x}{n}" for n in range(30)) for x in "abc")
+    rows = [(3, b), (5, b), (5, a), (5, a), (7, a), (None, c), (None, b), (None, c), (9, None), (9, "")]
+    for parts in (1, 4):
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+        got = sorted(map(tuple, sd.keep_one_of_each(docs, threshold=threshold).collect()), key=str)
+        assert len(got) == 4 and got[:2] == [(3, b), (5, a)] and got[3] == (None, c) and got[2] in [(9, None), (9, "")]

@@ -1,13 +1,14 @@
-"""What the corpus operators share: word splitting, checkpoints, table reading."""
+"""What the corpus operators share: word splitting and numbering; tables and the shared folder come from sources."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import WRITTEN, clear, cut, remove, shared_path, table
+
+__all__ = ["WORD_BYTES", "WRITTEN", "alnum_words", "clear", "cut", "hex64", "remove", "rows_before", "shared_path", "space_words", "table", "utf8"]
+
 #: Bytes of UTF-8 text: A-Z become a-z; a-z, 0-9 and whatever is outside ASCII stay; the rest parts words.
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -22,10 +23,6 @@ def space_words(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def utf8(column: str | Column) -> Column:
     """The text as bytes; null counts as the empty text."""
     column = F.col(column) if isinstance(column, str) else column
@@ -37,26 +34,6 @@ def hex64(column: str | Column) -> Column:
     return F.lpad(F.lower(F.hex(column)), 16, "0")
 
 
-def use_checkpoint_dir(spark: SparkSession) -> None:
-    """The cluster's spark.checkpoint.dir; a folder of our own only where that is unset."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", "") or ""
-        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared checkpoint folder."""
-    use_checkpoint_dir(spark)
-    return f"{spark._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """df as a table written to the shared checkpoint folder: a lost executor costs no recomputation, and nothing is computed twice."""
-    path = shared_path(df.sparkSession, "cut")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def rows_before(counts: DataFrame, of: str) -> DataFrame:
     """(of, __bucket, __before): the rows of the same `of` in smaller buckets. counts: (of, __bucket, n), written out.
 

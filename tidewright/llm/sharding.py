@@ -10,9 +10,10 @@ The capacity is (1 + slack) times the mean; with slack 0 the shards' capacities
 to the number of rows, so counts differ by one at most. More slack moves fewer rows when
 a shard is added.
 
-Defined cases: null ids are spread by their texts; rows that repeat an id are rows of
-their own; a null text has size 1 and the checksum of the empty text; an empty table
-gives an empty result; columns other than id and text are ignored.
+Defined cases: a key is an id with its text, so rows that repeat an id or have none are
+spread by their texts, and rows that agree in both are keys of one cell; a null text has
+size 1 and the checksum of the empty text; an empty table gives an empty result; columns
+other than id and text are ignored.
 """
 
 from __future__ import annotations
@@ -67,10 +68,9 @@ def assign_shards(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", tex
     """(id_col, size, text_crc32, shard, slot) and the columns `keep` of docs: one row for each of docs; slot counts a shard's rows from 0 without gaps."""
     text = utf8(text_col)
     rows = docs.select(F.col(id_col).alias("id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), *[F.col(f"`{c}`").alias(f"__keep{n}") for n, c in enumerate(keep)])
-    where = F.when(F.col("id").isNull(), F.xxhash64("text_crc32", "size")).otherwise(F.xxhash64("id"))
-    rows = rows.withColumn("h", where).withColumn("cell", F.pmod(F.shiftrightunsigned("h", 20), F.lit(cells)).cast("int"))
-    ids_only = docs.filter(F.col(id_col).isNotNull()).select(F.pmod(F.shiftrightunsigned(F.xxhash64(id_col), 20), F.lit(cells)).cast("int").alias("cell"))
-    counts = {r.cell: r.n for r in ids_only.unionAll(rows.filter("id is null").select("cell")).groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}  # `cells` rows at most
+    rows = rows.withColumn("h", F.xxhash64("id", "text_crc32", "size")).withColumn("cell", F.pmod(F.shiftrightunsigned("h", 20), F.lit(cells)).cast("int"))
+    rows = cut(rows)  # without the texts, which are read once
+    counts = {r.cell: r.n for r in rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}  # `cells` rows at most
     table = docs.sparkSession.createDataFrame(flows(counts, shards, cells, vnodes, slack), "cell int, lo long, hi long, shard int, at long")
     nth = F.row_number().over(Window.partitionBy("cell").orderBy("h", "id", "size", "text_crc32")) - 1
     numbered = rows.withColumn("nth", nth)

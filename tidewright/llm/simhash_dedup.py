@@ -6,20 +6,27 @@ a table: it keeps the bits whose vector has an odd product with v. At most r
 differing positions span at most r dimensions, so some v is orthogonal to all of
 them and the pair collides in that table: no link can be missed.
 
+near_duplicates() links fingerprints within the radius. similar_groups() links texts
+whose shingle sets have a similarity: it finds them by covering tables of several
+fingerprints, voted by words, and compares the sets.
+
 Defined cases: a null text counts as empty; a text without words has fingerprint
-zero, linked like any other; fewer words than the shingle length make one shingle;
-equal fingerprints always link; null ids are allowed and never the smallest; rows
-that repeat an id are all returned; columns other than id and text are ignored.
+zero, linked like any other (by similarity: such texts are copies of one another);
+fewer words than the shingle length make one shingle; equal fingerprints, or word
+sequences, always link; null ids are allowed and never the smallest; rows that repeat
+an id are rows of their own; columns other than id and text are ignored.
 """
 
 from __future__ import annotations
 
 import random
+from collections import Counter
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, hex64, space_words, utf8
@@ -27,6 +34,8 @@ from .common import cut, hex64, space_words, utf8
 BITS = 64
 #: Shingles voted at once, so that a very long text needs bounded memory.
 CHUNK = 1 << 16
+#: Words whose vectors a task remembers.
+ROOM = 50_000
 
 
 def shingle_hashes(words: list[bytes], k: int, seed: int) -> list[int]:
@@ -50,14 +59,14 @@ def majority(hashes: list[int]) -> int:
     return int(np.packbits(2 * votes > len(hashes), bitorder="little").view(np.int64)[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, seed: int = 42) -> DataFrame:
-    """(id_col, fp): one row per row of docs."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, seed: int = 42, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id_col, fp) and the columns `keep`: one row per row of docs."""
 
     @F.arrow_udf("long")
     def fingerprint(texts: pa.Array) -> pa.Array:
         return pa.array([majority(shingle_hashes(space_words(t), k, seed)) for t in texts.to_pylist()], pa.int64())
 
-    return docs.select(F.col(id_col), fingerprint(utf8(text_col)).alias("fp"))
+    return docs.select(F.col(id_col), *keep, fingerprint(utf8(text_col)).alias("fp"))
 
 
 def covering_masks(radius: int, seed: int = 1) -> list[int]:
@@ -132,39 +141,178 @@ def connected_components(links: DataFrame, max_rounds: int = 64) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, radius: int = 2, seed: int = 42) -> DataFrame:
-    """(id_col, fingerprint, component_id, n_links): the near-duplicate group of each row.
+def _grouped(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """(id, raw, node, component_id, pick): the group of each of rows (id, raw, node); component_id is the group's smallest id.
 
-    component_id is the smallest id reachable over links of at most `radius`
-    differing bits; n_links counts the linked other fingerprints that the search
-    kept (a spanning set of the links, at least one for each linked fingerprint).
+    pick: the (id, raw) of the row that stands for the group: smallest id, nulls last,
+    then smallest hash of the text.
     """
-    fps = cut(fingerprints(docs, id_col, text_col, k, seed).withColumnRenamed(id_col, "id"))
-    nodes = cut(fps.groupBy("fp").agg(F.min("id").alias("least")))
-    links = cut(covering_links(nodes.select("fp"), radius))
+    nodes = cut(rows.groupBy("node").agg(F.min("id").alias("least"), F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "raw")).alias("pick")))
     roots = connected_components(links)
-    linked = nodes.join(roots, nodes["fp"] == roots["node"]).select("fp", "least", "root")
-    groups = linked.groupBy("root").agg(F.min("least").alias("group_id"))
-    ends = links.select(F.explode(F.array("a", "b")).alias("fp")).groupBy("fp").agg(F.count(F.lit(1)).alias("n_links"))
-    named = linked.join(groups, "root").select("fp", "group_id").join(ends, "fp", "left")
-    # written out, so that both sides of the last join are plain shuffles: Spark can then split a fingerprint that many rows share
-    labels = cut(nodes.join(named, "fp", "left").select("fp", F.coalesce("group_id", "least").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")))
-    return fps.join(labels, "fp").select(F.col("id").alias(id_col), hex64("fp").alias("fingerprint"), "component_id", "n_links")
+    linked = nodes.join(roots, "node")
+    groups = linked.groupBy("root").agg(F.min("least").alias("group_id"), F.min("pick").alias("group_pick"))
+    named = linked.join(groups, "root").select("node", "group_id", "group_pick")
+    # written out, so that both sides of the last join are plain shuffles: Spark can then split a node that many rows share
+    labels = cut(nodes.join(named, "node", "left").select("node", F.coalesce("group_id", "least").alias("component_id"), F.coalesce("group_pick", "pick").alias("pick")))
+    return rows.join(labels, "node").select("id", "raw", "node", "component_id", "pick")
+
+
+def _near_rows(docs: DataFrame, id_col: str, text_col: str, k: int, radius: int, seed: int) -> DataFrame:
+    """_grouped() by fingerprints within the radius."""
+    raw = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(utf8(text_col)).alias("raw"))
+    rows = cut(fingerprints(raw, "id", "text", k, seed, keep=("raw",)).withColumnRenamed("fp", "node"))
+    return _grouped(rows, cut(covering_links(rows.select(F.col("node").alias("fp")).distinct(), radius)))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, radius: int = 2, seed: int = 42) -> DataFrame:
+    """(id_col, fingerprint, component_id): the near-duplicate group of each row.
+
+    component_id is the smallest id reachable over links of at most `radius` differing bits.
+    """
+    found = _near_rows(docs, id_col, text_col, k, radius, seed)
+    return found.select(F.col("id").alias(id_col), hex64("node").alias("fingerprint"), "component_id")
 
 
-def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """keep_least() by SimHash groups."""
-    return keep_least(docs, near_duplicates(docs, id_col, text_col, **how), id_col)
+# ------------------------------------------------------------ by similarity
 
 
-def keep_least(docs: DataFrame, found: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of docs whose id is their group's smallest (found: id_col, component_id); of rows that repeat an id, one.
+def word_prints(docs: DataFrame, id_col: str, text_col: str, prints: int, seed: int) -> DataFrame:
+    """(id, raw, node, prints): node, a digest of the words; raw, a hash of the text as it is; prints, independent fingerprints voted by the words.
 
-    Nothing tells rows with a null id apart, so all of them stay.
+    A word votes by the square root of its count: an edit that leaves four of five
+    5-word shingles changes one word in fifty, and few of a fingerprint's bits.
     """
-    keep = cut(found.filter(F.col(id_col) == F.col("component_id")).groupBy(F.col(id_col).alias("__keep")).agg(F.count(F.lit(1)).alias("n")))
-    kept = docs.join(keep.select("__keep"), docs[id_col] == F.col("__keep"), "left_semi")
-    if not keep.filter("n > 1").isEmpty():
-        kept = kept.dropDuplicates([id_col])
-    unnamed = docs.filter(F.col(id_col).isNull())
-    return kept if unnamed.isEmpty() else kept.filter(F.col(id_col).isNotNull()).union(unnamed)
+    known: dict[bytes, np.ndarray] = {}
+
+    def vector(word: bytes) -> np.ndarray:
+        v = known.get(word)
+        if v is None:
+            digests = b"".join(xxhash.xxh3_64_digest(word, seed + n) for n in range(prints))
+            v = np.unpackbits(np.frombuffer(digests, np.uint8)).view(np.int8)
+            if len(known) < ROOM:
+                known[word] = v
+        return v
+
+    @F.arrow_udf("struct<node:binary,prints:array<long>>")
+    def made(texts: pa.Array) -> pa.Array:
+        nodes, found = [], []
+        for t in texts.to_pylist():
+            words = space_words(t)
+            nodes.append(xxhash.xxh3_128_digest(b" ".join(words)))
+            count = list(Counter(words).items())
+            votes = np.zeros(BITS * prints, np.float32)
+            for at in range(0, len(count), 1 << 12):
+                part = count[at : at + (1 << 12)]
+                weight = np.sqrt(np.array([n for _, n in part], np.float32))
+                votes += 2 * (weight @ np.array([vector(w) for w, _ in part]).astype(np.float32)) - weight.sum()
+            found.append(np.packbits(votes > 1e-3).view(np.int64))
+        return pa.StructArray.from_arrays([pa.array(nodes, pa.binary()), pa.array(found, pa.list_(pa.int64()))], ["node", "prints"])
+
+    text = utf8(text_col)
+    return docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("raw"), made(text).alias("s")).select("id", "raw", "s.node", "s.prints")
+
+
+def shingle_sets(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, k: int, seed: int) -> DataFrame:
+    """(node, s): the distinct shingle hashes of each of nodes (node, pick)."""
+
+    @F.arrow_udf("array<long>")
+    def hashed(texts: pa.Array) -> pa.Array:
+        return pa.array([np.unique(np.array(shingle_hashes(space_words(t), k, seed), np.uint64)).view(np.int64) for t in texts.to_pylist()], pa.list_(pa.int64()))
+
+    texts = docs.select(F.col(id_col).alias("id"), utf8(text_col).alias("t")).withColumn("raw", F.xxhash64("t"))
+    wanted = nodes.select("node", F.col("pick.id").alias("pid"), F.col("pick.raw").alias("praw"))
+    met = texts.join(wanted, texts["id"].eqNullSafe(F.col("pid")) & (F.col("raw") == F.col("praw")))
+    return met.dropDuplicates(["node"]).select("node", hashed("t").alias("s"))
+
+
+def similar(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): the pairs whose shingle sets have the similarity."""
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
+    common, total = F.size(F.array_intersect("sa", "sb")), F.size("sa") + F.size("sb")
+    fits = F.least(F.size("sa"), F.size("sb")) >= threshold * F.greatest(F.size("sa"), F.size("sb")) - 1
+    return both.filter(fits).filter(common / F.greatest(F.lit(1), total - common) >= threshold).select("a", "b")
+
+
+def table_keys(print_: Column) -> Column:
+    """array<long>: a fingerprint's key in each covering table of radius 2."""
+    return F.array(*[F.xxhash64(F.lit(n), print_.bitwiseAND(F.lit(_signed(m)))) for n, m in enumerate(covering_masks(2))])
+
+
+def similar_links(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, k: int, threshold: float, prints: int, few: int, seed: int) -> DataFrame:
+    """(a, b), a > b: verified links between nodes (node, pick, prints).
+
+    Nodes that agree in a covering table of one of their fingerprints share a bucket.
+    All pairs of up to `few` nodes are compared. In a larger bucket each node is
+    compared with one of them alone; those that are similar to it are linked and leave,
+    and the rest is split by the tables of the next fingerprint. What is still together
+    after all fingerprints is compared with more and more leaders, until nobody is left.
+    """
+    every = F.flatten(F.array(*[F.transform(table_keys(F.col("prints")[n]), lambda key, n=n: F.struct(F.lit(n).alias("print"), F.xxhash64(F.lit(n), key).alias("bucket"))) for n in range(prints)]))
+    rows = nodes.select("node", F.explode(every).alias("t")).select("node", "t.print", "t.bucket")
+    links, sets, depth = [], None, 0
+    while True:
+        shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+        met = cut(rows.join(shared, "bucket"))
+        if sets is None:
+            sets = cut(shingle_sets(docs, nodes.join(met.select("node").distinct(), "node", "left_semi"), id_col, text_col, k, seed))
+        small = met.filter(F.col("n") <= few).groupBy("bucket").agg(F.collect_list("node").alias("nodes"))
+        pairs = small.select("nodes", F.explode("nodes").alias("a")).select("a", F.explode("nodes").alias("b")).filter("a > b")
+        leaders = 4 ** max(0, depth - prints + 1)
+        drawn = F.xxhash64("node", "bucket", F.lit(depth))
+        large = met.filter(F.col("n") > few)
+        lead = large.groupBy("bucket", F.pmod(drawn, F.lit(leaders)).alias("j")).agg(F.min(F.struct(drawn.alias("h"), "node"))["node"].alias("leader"))
+        faced = cut(large.join(lead.select("bucket", "leader"), "bucket").select("node", "print", "bucket", F.greatest("node", "leader").alias("a"), F.least("node", "leader").alias("b")))
+        good = cut(similar(cut(pairs.union(faced.filter("a > b").select("a", "b")).distinct()), sets, threshold))
+        links.append(good)
+        gone = faced.join(good.withColumn("linked", F.lit(True)), ["a", "b"], "left").filter("linked or a = b").select("node", "bucket").distinct()
+        left = cut(large.join(gone, ["node", "bucket"], "left_anti").select("node", "print", "bucket"))
+        if left.isEmpty():
+            return reduce(DataFrame.union, links).distinct()
+        depth += 1
+        if depth < prints:
+            next_print = F.element_at("prints", F.pmod(F.col("print") + depth, F.lit(prints)) + 1)
+            split = left.join(nodes.select("node", "prints"), "node").select("node", "print", "bucket", F.explode(table_keys(next_print)).alias("key"))
+            rows = split.select("node", "print", F.xxhash64("bucket", "key").alias("bucket"))
+        else:
+            rows = left
+
+
+def similar_rows(docs: DataFrame, id_col: str, text_col: str, k: int, threshold: float, prints: int, few: int, seed: int) -> DataFrame:
+    """_grouped() by links of the similarity."""
+    rows = cut(word_prints(docs, id_col, text_col, prints, seed))
+    nodes = cut(rows.groupBy("node").agg(F.min(F.struct("id", "raw")).alias("pick"), F.first("prints").alias("prints")))
+    return _grouped(rows.select("id", "raw", "node"), similar_links(docs, nodes, id_col, text_col, k, threshold, prints, few, seed))
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, threshold: float = 0.8, prints: int = 8, few: int = 8, seed: int = 42) -> DataFrame:
+    """(id_col, component_id): the group of each row; component_id is the smallest id reachable over pairs whose k-word shingles have the similarity.
+
+    SimHash finds the pairs, the shingle sets decide. A pair is missed if it agrees in
+    no table of any of `prints` fingerprints.
+    """
+    return similar_rows(docs, id_col, text_col, k, threshold, prints, few, seed).select(F.col("id").alias(id_col), "component_id")
+
+
+# ------------------------------------------------------------ one of each group
+
+
+def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float | None = 0.8, k: int | None = None, radius: int = 2, prints: int = 8, few: int = 8, seed: int = 42) -> DataFrame:
+    """The rows of docs that stand for their groups, one of each: smallest id (nulls last), then smallest hash of the text.
+
+    Groups by similarity of k-word shingles (k is 5 if not given); without a threshold,
+    by fingerprints of k-word shingles (3) within the radius. Rows that agree in id and
+    text are one row.
+    """
+    if threshold is None:
+        found = _near_rows(docs, id_col, text_col, k or 3, radius, seed)
+    else:
+        found = similar_rows(docs, id_col, text_col, k or 5, threshold, prints, few, seed)
+    stands = F.col("id").eqNullSafe(F.col("pick.id")) & (F.col("raw") == F.col("pick.raw"))
+    keys = cut(found.filter(stands).groupBy("id", "raw").agg(F.count(F.lit(1)).alias("__n")).select(F.col("id").alias("__id"), F.col("raw").alias("__raw"), "__n"))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    same = docs[id_col].eqNullSafe(F.col("__id")) & (F.xxhash64(utf8(docs[text_col])) == F.col("__raw"))
+    kept = docs.join(keys.filter("__n = 1"), same, "left_semi")
+    if keys.filter("__n > 1").isEmpty():
+        return kept
+    repeated = docs.withColumn("__text", F.xxhash64(utf8(docs[text_col]))).join(keys.filter("__n > 1"), F.col(f"`{id_col}`").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__raw")), "left_semi")
+    return kept.union(repeated.dropDuplicates([id_col, "__text"]).select(*columns))
