@@ -7,9 +7,10 @@ read again as the next stage's docs. The first four return the columns of `docum
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidewright.llm import decontaminate, mixing, near_copies, sharding, toxicity
-from tidewright.llm.common import shared_path, table
+from tidewright.llm import decontaminate, mixing, sharding, simhash_dedup, toxicity
+from tidewright.llm.common import WRITTEN, clear, cut, remove, shared_path, table
 
 #: Target weights of the sources in the mixture; None: the square roots of their sizes.
 WEIGHTS: dict[str | None, float] | None = None
@@ -23,7 +24,7 @@ def civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of smallest id of each group of near copies: similarity 0.8 or more of five-word shingles."""
-    return near_copies.keep_one_of_each(docs)
+    return simhash_dedup.keep_one_of_each(docs)
 
 
 def unseen(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,9 +38,12 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The shard of each document and its place there: a shard's slots follow the mixture, found again from source and id."""
-    assigned = mixing.with_places(sharding.assign_shards(docs, keep=("source",)), WEIGHTS)
-    return sharding.slots_in_order(assigned).drop("source")
+    """The documents with their size, checksum, shard and place there: a shard's slots follow the mixture, found again from the same rows. These four take the place of columns that have their names."""
+    rows = cut(docs.withColumn("__row", F.monotonically_increasing_id()).withColumn("__tie", mixing.content(docs)))
+    assigned = sharding.assign_shards(rows, keep=("source", "__row", "__tie"))
+    placed = sharding.slots_in_order(mixing.with_places(assigned, WEIGHTS, tie="__tie"))
+    own = ("size", "text_crc32", "shard", "slot")
+    return rows.drop("__tie", *own).join(placed.select("__row", *own), "__row").drop("__row")
 
 
 STAGES = [("toxicity", civil), ("near duplicates", distinct), ("benchmark", unseen), ("mixture", mixed), ("shards", sharded)]
@@ -49,11 +53,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`. What a stage keeps is written to the shared checkpoint folder."""
-    folder = shared_path(spark, "pipeline")
+    """All stages over `documents`. What a stage keeps is written to the shared checkpoint folder, and deleted when the next stage is written."""
+    folder, written = shared_path(spark, "pipeline"), len(WRITTEN)
     docs = table(spark, sf_dir, "documents")
     for n, (_, stage) in enumerate(STAGES):
-        out = f"{folder}/{n}"
-        stage(spark, docs, sf_dir).write.parquet(out)
-        docs = spark.read.parquet(out)
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{n}")
+        clear(spark, written)
+        if n:
+            remove(spark, f"{folder}/{n - 1}")
+        docs = spark.read.parquet(f"{folder}/{n}")
     return docs
