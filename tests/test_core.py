@@ -1,3 +1,6 @@
+import random
+from datetime import datetime, timedelta
+
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
@@ -6,7 +9,7 @@ from pyspark.sql import types as T
 
 from tidewright.functions import naming, types
 from tidewright.functions import scalars as s
-from tidewright.operators import audit, changes, documents, hierarchy
+from tidewright.operators import audit, changes, documents, hierarchy, relational
 from tidewright.sources import tables
 from tidewright.streaming import capture
 
@@ -59,6 +62,7 @@ def test_scalars(spark):
         s.leading_zeros(F.lit(42)).alias("z"), s.status_text(F.lit(9), s.DOCUMENT_STATUS).alias("st"), s.visible_length(F.lit("ab  ")).alias("n"), s.path_parent(F.lit("/1/2/")).alias("p"),
         s.path_parent(F.lit("/")).alias("root"), s.accounting_start(F.lit(2003)).alias("a"), s.accounting_end(F.lit(2003)).alias("e"), s.fiscal_year(F.lit("2003-07-01").cast("date")).alias("fy"),
     ).first()
+    assert spark.range(1).select(s.leading_zeros(F.lit(123456789)).alias("z"), s.cut_text(F.lit("abcdef"), 4).alias("c")).first() == ("123456789", "abcd")
     assert (row.z, row.st, row.n, row.p, row.root, row.fy) == ("00000042", "** Invalid **", 2, "/1/", None, 2004)
     assert str(row.a) == "2003-07-01 00:00:00" and str(row.e) == "2004-06-30 23:59:59.998000"
 
@@ -93,7 +97,7 @@ def test_applying_changes(spark):
     assert sorted(map(tuple, changes.apply_changes(once, log, ["k"], ["seq"]).collect())) == [(1, 12), (3, 30)]
     raw = spark.createDataFrame([(1, b"\x01", b"\x01", 7), (3, b"\x02", b"\x01", 8), (4, b"\x02", b"\x02", 9), (2, b"\x03", b"\x01", 5)], "`__$operation` int, `__$start_lsn` binary, `__$seqval` binary, v int")
     assert [(r.op, r.v) for r in changes.log_changes(raw, b"\x01").orderBy("seq").collect()] == [("UPDATE", 9), ("INSERT", 5)]
-    assert changes.change_time(T.StructType.fromDDL("a date, ModifiedDate timestamp")) == "ModifiedDate" and changes.change_time(T.StructType.fromDDL("a int")) is None
+    assert changes.change_time(T.StructType.fromDDL("created date, Updated timestamp")) == "Updated" and changes.change_time(T.StructType.fromDDL("a int")) is None
 
 
 def test_audits(spark):
@@ -109,13 +113,19 @@ def test_copy(spark, sf_dir):
     assert tables.copy_table(nation, "copied.nation") == {"table_name": "nation", "status": "success", "rows_migrated": 25, "error": None}
     assert spark.table("copied.nation").count() == 25
     assert tables.copy_table(nation, "no_such_database.nation")["status"] == "failed"
+    # a copy that fails leaves what was there; one that succeeds replaces it
+    broken = nation.withColumn("x", F.raise_error(F.lit("no")).cast("int"))
+    assert tables.copy_table(broken, "copied.nation")["status"] == "failed" and spark.table("copied.nation").count() == 25
+    assert tables.copy_table(nation.limit(3), "copied.nation")["rows_migrated"] == 3 and spark.table("copied.nation").count() == 3
+    assert [t.name for t in spark.catalog.listTables("copied")] == ["nation"]
 
 
 def test_jdbc_round_trip(spark, sf_dir):
     nation = tables.table(spark, sf_dir, "nation")
     options = {"url": "jdbc:derby:memory:trip;create=true", "driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver", "dbtable": "nation"}
-    nation.write.format("jdbc").options(**options, batchsize="1000").mode("overwrite").save()
-    read = spark.read.format("jdbc").options(**options, partitionColumn="n_nationkey", lowerBound="0", upperBound="25", numPartitions="4").load()
+    options.pop("dbtable")
+    tables.write_jdbc(nation, options | {"batchsize": "1000"}, "nation", "overwrite")
+    read = tables.read_jdbc(spark, options, "nation", ("n_nationkey", 0, 25, 4))
     assert read.rdd.getNumPartitions() == 4
     assert sorted(map(tuple, read.filter("N_REGIONKEY = 1").collect())) == sorted(map(tuple, nation.filter("n_regionkey = 1").collect()))
 
@@ -134,3 +144,46 @@ def test_stream_goes_on_from_its_checkpoint(spark, tmp_path):
     assert run()["rows"] == 0 and seen == [(1, 1)]
     spark.createDataFrame([(3, '{"v": 3}')], schema).write.parquet(f"{tmp_path}/in/2")
     assert run()["rows"] == 1 and seen[-1] == (1, 0)
+
+
+def test_inferred_types_come_from_the_values(spark):
+    texts = ['{"zip": "02139", "ok": "true", "n": 12345678901234567890123, "o": {"a": {"b": 1}, "e": {}}, "l": [1], "m": 1}', '{"o": {"a": {"b": 2.5}}, "m": true, "_id": "x", "in": {"_id": 7}}', "[1]", "3", None, "{"]
+    docs = spark.createDataFrame([(t,) for t in texts], "d string")
+    got = {r.field: r.inferred for r in documents.infer_fields(docs, "d").collect()}
+    assert got == {"zip": "STRING", "ok": "STRING", "n": "DECIMAL(38,0)", "o_a_b": "DOUBLE", "l": "ARRAY", "m": "STRING", "_id": "STRING", "in__id": "BIGINT"}
+    fields = [(r.path, r.inferred) for r in documents.infer_fields(docs, "d").collect()]
+    rows = documents.document_rows(docs, "d", fields).collect()
+    assert len(rows) == 6 and rows[0].asDict() == {"_id": None, "in__id": None, "l": "[1]", "m": "1", "n": 12345678901234567890123, "o_a_b": 1.0, "ok": "true", "zip": "02139"}
+    assert (rows[1].m, rows[1]["_id"], rows[1].in__id, rows[1].o_a_b) == ("true", "x", 7, 2.5) and set(rows[3]) == {None}
+    assert documents.probe(docs, "d")[-1] == ("zip", "STRING")
+
+
+def test_as_of_is_valid_at(spark):
+    r = random.Random(3)
+    at = lambda d: datetime(2000, 1, 1) + timedelta(days=d)
+    periods = []
+    for k in (1, 2, None):
+        starts = sorted(r.sample(range(3000), 12))
+        periods += [(k, at(a), at(b - 1) if n % 3 else at(a + 1), n) for n, (a, b) in enumerate(zip(starts, [*starts[1:], 4000], strict=True))]
+        periods[-1] = (k, periods[-1][1], None, 99)
+    facts = [(r.choice([1, 2, 3, None]), at(r.randrange(-50, 4000)), n) for n in range(300)]
+    f, p = spark.createDataFrame(facts, "k int, t timestamp_ntz, n int"), spark.createDataFrame(periods, "k int, a timestamp_ntz, b timestamp_ntz, v int")
+    want = sorted((n, v) for k, t, n in facts for k2, a, b, v in periods if k == k2 and k is not None and a <= t and (b is None or t <= b))
+    for days in (30, 365, 100_000):
+        assert sorted((x.n, x.v) for x in relational.as_of(f, p, ["k"], "t", "a", "b", days).filter("k is not null").collect()) == want
+    assert sorted((x.n, x.v) for x in relational.valid_at(f, p, ["k"], "t", "a", "b").collect()) == want
+
+
+def test_null_keys_are_keys(spark):
+    target = spark.createDataFrame([(None, 1), (2, 2)], "k int, v int")
+    log = spark.createDataFrame([(None, 1, "UPDATE", 5), (2, 2, "DELETE", None)], "k int, seq int, op string, v int")
+    once = changes.apply_changes(target, log, ["k"], ["seq"])
+    assert [tuple(x) for x in once.collect()] == [(None, 5)] == [tuple(x) for x in changes.apply_changes(once, log, ["k"], ["seq"]).collect()]
+
+
+def test_sources_by_kind(spark):
+    assert [changes.source_kind(c) for c in (["__$start_lsn", "__$operation"], ["id", "operation", "row_data"], ["event"], ["a"])] == ["log", "trigger", "stream", "poll"]
+    polled = changes.captured(spark.createDataFrame([(1, datetime(2024, 1, 1)), (2, datetime(2024, 1, 2))], "k int, updated timestamp_ntz"), after="2024-01-01")
+    assert [(r.k, r.op) for r in polled.collect()] == [(2, "INSERT")]
+    with pytest.raises(ValueError):
+        changes.captured(spark.range(1))

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewright.functions.retry import retry
-from tidewright.operators import catalog_audit, changes, relational, scalar_queries
+from tidewright.operators import audit, catalog_audit, changes, documents, relational, scalar_queries
 from tidewright.plans import migration
 from tidewright.sources import tables
 
@@ -113,3 +113,45 @@ def test_retry():
     with pytest.raises(KeyError):
         sometimes(9, KeyError)
     assert len(calls) == 1
+
+
+def test_documents_move_with_skipped_and_failed(spark):
+    docs = lambda *texts: spark.createDataFrame([(t,) for t in texts], "document string")
+    report = migration.migrate_documents(spark, {"My-Things": docs('{"a": {"b": 1}}', '{"a": {"b": 2}, "c": [1]}'), "none": docs(), "bad": spark.range(1)}, "moved_d")
+    got = {r.collection_name: (r.table_name, r.status, r.rows, r.error and r.error[:16]) for r in report.collect()}
+    assert got["My-Things"] == ("my_things", "success", 2, None) and got["none"] == (None, "skipped", 0, "Empty collection") and got["bad"][1] == "failed"
+    assert sorted(map(tuple, spark.table("moved_d.my_things").collect())) == [(1, None), (2, "[1]")]
+
+
+def test_tables_become_collections(spark, source, tmp_path):
+    report = migration.export_documents(spark, source | {"odd": source["region"].select(F.raise_error(F.lit("no")).alias("x"))}, str(tmp_path), "Sales")
+    assert {r.table_name: (r.collection_name, r.status, r.documents) for r in report.collect()} == {"Sales.nation": ("sales_nation", "success", 25), "Sales.region": ("sales_region", "success", 5), "Sales.odd": ("", "failed", 0)}
+    assert documents.read_collection(spark, f"{tmp_path}/sales_region").count() == 5
+
+
+def test_audit_in_full(spark, source):
+    spark.sql("CREATE DATABASE IF NOT EXISTS audited")
+    spark.sql("CREATE TABLE IF NOT EXISTS audited.t (Id INT NOT NULL, Name VARCHAR(100), Price DECIMAL(10,2) DEFAULT 1.5) USING parquet")
+    parts = catalog_audit.run_audit(spark, "audited")
+    got = [(r.column_name.lower(), r.data_type, r.character_maximum_length, r.numeric_precision, r.numeric_scale, r.column_default) for r in parts["columns"].orderBy("ordinal_position").collect()]
+    assert got == [("id", "INTEGER", None, 32, 0, None), ("name", "VARCHAR", 100, None, None, None), ("price", "DECIMAL(10,2)", None, 10, 2, "1.5")]
+    assert {r.kind: r.total for r in parts["summary"].collect()} | {"total_routines": 0} == {"total_tables": 1, "total_columns": 3, "total_views": 0, "total_routines": 0}
+    docs = spark.createDataFrame([('{"_id": 1, "x": {"y": "z"}}',)], "document string")
+    parts = catalog_audit.run_audit(spark, "shop", {"things": docs})
+    assert {r.kind: r.total for r in parts["summary"].collect()} == {"total_tables": 1, "total_columns": 2, "total_primary_keys": 1}
+
+
+def test_index_audit(spark):
+    rows = [("s", "t", "PRIMARY", 0, "id", 1), ("s", "t", "i", 1, "b", 2), ("s", "t", "i", 1, "a", 1), ("s", "u", "u_pkey", 0, "id", 1), ("s", "u", "one", 0, "c", 1), ("sys", "x", "y", 0, "c", 1)]
+    found = catalog_audit.audit_indexes(spark.createDataFrame(rows, "table_schema string, table_name string, index_name string, non_unique int, column_name string, seq_in_index int"))
+    assert [tuple(r) for r in found.collect()] == [("s", "t", "i", False, "a, b"), ("s", "u", "one", True, "c")]
+
+
+def test_ddl_for_an_audit(spark):
+    rows = [("Sales", "Users", "id", 1, "int", None, 10, 0, "NO", None), ("Sales", "Users", "name", 2, "nvarchar", 100, None, None, "YES", None), ("dbo", "Orders", "order-id", 1, "decimal", None, 10, 2, "YES", None)]
+    columns = spark.createDataFrame(rows, audit.COLUMNS)
+    keys = spark.createDataFrame([("Sales", "Users", "id")], "schema_name string, table_name string, column_name string")
+    made = migration.schema_ddl(columns, keys, "mssql", "postgresql")
+    assert [m[:2] for m in made] == [("sales", None), ("Sales", "Users"), ("dbo", "Orders")]
+    assert made[0][2] == 'CREATE SCHEMA IF NOT EXISTS "sales"' and '"name" VARCHAR(100) NULL' in made[1][2] and 'PRIMARY KEY ("id")' in made[1][2] and '"order-id" NUMERIC(10,2) NULL' in made[2][2]
+    assert [m[:2] for m in migration.schema_ddl(columns, keys, "mssql", "mysql")] == [("Sales", "Users"), ("dbo", "Orders")]

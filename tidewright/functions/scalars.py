@@ -19,7 +19,9 @@ def status_text(code: Column, texts: dict[int, str], other: str = "** Invalid **
 
 
 def leading_zeros(number: Column, width: int = 8) -> Column:
-    return F.lpad(number.cast("string"), width, "0")
+    """At least `width` digits; a longer number keeps all of its own."""
+    text = number.cast("string")
+    return F.when(F.length(text) >= width, text).otherwise(F.lpad(text, width, "0"))
 
 
 def fiscal_year(date: Column) -> Column:
@@ -53,3 +55,18 @@ def accounting_start(year: Column) -> Column:
 
 def accounting_end(year: Column) -> Column:
     return accounting_start(year + 1) - F.expr("INTERVAL '0.002' SECOND")
+
+
+def cut_text(value: Column, n: int) -> Column:
+    """The first n characters of the value as text."""
+    return F.substring(value.cast("string"), 1, n)
+
+
+def day_112(text: Column) -> Column:
+    """The day that yyyymmdd names."""
+    return F.to_timestamp_ntz(text, F.lit("yyyyMMdd"))
+
+
+def day_101(text: Column) -> Column:
+    """The day that mm/dd/yyyy names."""
+    return F.to_timestamp_ntz(text, F.lit("MM/dd/yyyy"))

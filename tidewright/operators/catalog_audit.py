@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .audit import COLUMNS, audit_columns
+from .documents import infer_fields
+
 #: Databases that belong to a server, not to its users: fixed values.
 SYSTEM_DATABASES = ("information_schema", "sys", "master", "model", "msdb", "tempdb", "mysql", "performance_schema", "postgres", "template0", "template1", "admin", "local", "config")
 
@@ -48,3 +53,43 @@ def foreign_keys(usage: DataFrame, constraints: DataFrame) -> DataFrame:
     other = usage.select("constraint_schema", F.col("constraint_name").alias("unique_constraint_name"), F.col("table_name").alias("ref_table"), F.col("column_name").alias("ref_column"), "ordinal_position")
     joined = own.join(other, ["constraint_schema", "unique_constraint_name", "ordinal_position"])
     return joined.select(F.col("constraint_schema").alias("schema_name"), "table_name", "column_name", "constraint_name", "ref_table", "ref_column", "ordinal_position")
+
+
+def audit_indexes(statistics: DataFrame) -> DataFrame:
+    """(schema_name, table_name, index_name, is_unique, columns): the indexes besides primary keys, their columns in order.
+
+    statistics: (table_schema, table_name, index_name, non_unique, column_name, seq_in_index), as an information schema has them.
+    """
+    own = statistics.filter(~F.col("table_schema").isin(*SYSTEM_DATABASES) & (F.col("index_name") != "PRIMARY") & ~F.col("index_name").like("%\\_pkey"))
+    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq_in_index", "column_name"))), lambda x: x["column_name"]), ", ")
+    found = own.groupBy(F.col("table_schema").alias("schema_name"), "table_name", "index_name").agg((F.max("non_unique") == 0).alias("is_unique"), listed.alias("columns"))
+    return found.orderBy("schema_name", "table_name", "index_name")
+
+
+def audit_collections(spark: SparkSession, database: str, collections: dict[str, DataFrame], column: str = "document") -> dict[str, DataFrame]:
+    """The audit of a document database: collections with their counts, their fields with the types inferred from all documents, and the key that each has."""
+    tables = spark.createDataFrame([], "schema_name string, table_name string, row_count long")
+    columns = spark.createDataFrame([], COLUMNS)
+    for name, documents in sorted(collections.items()):
+        tables = tables.unionByName(documents.agg(F.count(F.lit(1)).alias("row_count")).select(F.lit(database).alias("schema_name"), F.lit(name).alias("table_name"), "row_count"))
+        fields = infer_fields(documents, column).select(F.lit(database).alias("schema_name"), F.lit(name).alias("table_name"), F.col("field").alias("column_name"), F.lit(0).alias("ordinal_position"), F.col("inferred").alias("data_type"), F.lit("YES").alias("is_nullable"))
+        columns = columns.unionByName(fields, allowMissingColumns=True)
+    keys = tables.select("schema_name", "table_name", F.lit("_id").alias("column_name"), F.lit("_id_").alias("constraint_name"))
+    return {"tables": tables, "columns": columns, "primary_keys": keys}
+
+
+def run_audit(spark: SparkSession, database: str, collections: dict[str, DataFrame] | None = None) -> dict[str, DataFrame]:
+    """The parts of an audit by name, and `summary`: (kind, total) of each part.
+
+    A database of the catalog has tables, columns, views and routines; with collections,
+    a document database has collections, fields and keys.
+    """
+    if collections is None:
+        names = sorted(x.name for x in spark.catalog.listTables(database) if x.tableType != "VIEW" and not x.isTemporary)
+        held = {t: spark.table(f"`{database}`.`{t}`") for t in names}
+        columns = audit_columns(held, database) if held else spark.createDataFrame([], COLUMNS)
+        parts = {"tables": audit_tables(spark, database), "columns": columns, "views": audit_views(spark, database), "routines": audit_functions(spark, database)}
+    else:
+        parts = audit_collections(spark, database, collections)
+    counted = [df.agg(F.count(F.lit(1)).alias("total")).select(F.lit(f"total_{kind}").alias("kind"), "total") for kind, df in parts.items()]
+    return parts | {"summary": reduce(DataFrame.unionByName, counted)}

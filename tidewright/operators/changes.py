@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -12,7 +14,11 @@ from ..sources.tables import TABLES, table
 #: Operations by the code of a log-based changelog: fixed values.
 LOG_OPERATIONS = {1: "DELETE", 2: "INSERT", 3: "UPDATE", 4: "UPDATE"}
 #: Names that a change time may have, in order of preference: fixed values.
-TIME_NAMES = ("updated_at", "modified_at", "last_modified", "modifieddate", "modified_date", "updateddate", "updated_date", "timestamp", "created_at", "createddate", "created_date")
+TIME_NAMES = (
+    "modifieddate", "modified_date", "updated_at", "updatedat",
+    "last_modified", "lastmodified", "modified", "updated",
+    "timestamp", "change_date", "changedate",
+)
 
 #: Names that a key column may have, in order of preference: fixed values.
 KEY_NAMES = ("id", "businessentityid", "productid", "salesorderid", "customerid")
@@ -69,10 +75,68 @@ def latest(changes: DataFrame, key: list[str], seq: list[str]) -> DataFrame:
 
 
 def apply_changes(target: DataFrame, changes: DataFrame, key: list[str], seq: list[str], op: str = "op") -> DataFrame:
-    """The target after all changes: of each key the last one counts; a delete removes, anything else puts the row. Applying twice changes nothing."""
+    """The target after all changes: of each key the last one counts; a delete removes, anything else puts the row. A null key is a key like any other. Applying twice changes nothing."""
     last = latest(changes, key, seq)
     put = last.filter(F.col(op) != "DELETE").select(*target.columns)
-    return target.join(last.select(*key), key, "left_anti").select(*target.columns).unionByName(put)
+    named = last.select(*[F.col(f"`{k}`").alias(f"__{k}") for k in key])
+    same = reduce(Column.__and__, [F.col(f"`{k}`").eqNullSafe(F.col(f"`__{k}`")) for k in key])
+    return target.join(named, same, "left_anti").select(*target.columns).unionByName(put)
+
+
+def with_audit(changes: DataFrame, at: str, op: str = "op") -> DataFrame:
+    """Changes as an append-only history: the data columns with _cdc_timestamp and _cdc_operation in place of their own time and operation. Nothing is folded: a repeated change is a row of its own."""
+    return changes.select(*[F.col(f"`{c}`") for c in changes.columns if c not in (at, op)], F.col(at).alias("_cdc_timestamp"), F.col(op).alias("_cdc_operation"))
+
+
+def row_filter(before: str | Column, after: str | Column) -> Column:
+    """What tells a changed row apart, as a map of lower-case names to values: from the image before the change, or else the one after (maps of texts).
+
+    The first known key name with a value; without one, the first two fields that have
+    a value; an empty map if there is none: such a change can only be appended.
+    """
+    image = F.coalesce(*[F.when(F.size(x) > 0, x) for x in (F.col(before) if isinstance(before, str) else before, F.col(after) if isinstance(after, str) else after)])
+    held = F.transform(F.filter(F.map_entries(image), lambda e: e["value"].isNotNull()), lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value")))
+    named = lambda n: F.filter(held, lambda e: e["key"] == n)
+    known = F.flatten(F.array(*[named(n) for n in KEY_NAMES]))
+    return F.coalesce(F.map_from_entries(F.when(F.size(known) > 0, F.slice(known, 1, 1)).otherwise(F.slice(held, 1, 2))), F.create_map().cast("map<string,string>"))
+
+
+def trigger_changes(log: DataFrame, fields: str, after: int = 0) -> DataFrame:
+    """(seq, op, schema_name, table_name, data, changed_at): row changes from the log that triggers fill (id, schema_name, table_name, operation, row_data, changed_at), those up to the id `after` left out.
+
+    row_data: the row as JSON, or a list of rows, of which the first counts. fields: DDL
+    of the data. Empty and broken payloads give null data.
+    """
+    payload = F.try_parse_json("row_data")
+    first = F.coalesce(F.try_variant_get(payload, "$[0]", "variant"), F.when(F.schema_of_variant(payload).startswith("OBJECT"), payload))
+    data = F.from_json(F.to_json(first), f"struct<{fields}>")
+    return log.filter(F.col("id") > after).select(F.col("id").alias("seq"), F.col("operation").alias("op"), "schema_name", "table_name", data.alias("data"), "changed_at")
+
+
+def source_kind(columns: list[str]) -> str:
+    """How a source tells its changes, by the columns that it has: log, trigger, stream or poll."""
+    names = {c.lower() for c in columns}
+    if {"__$start_lsn", "__$operation"} <= names:
+        return "log"
+    if {"id", "operation", "row_data"} <= names:
+        return "trigger"
+    return "stream" if "event" in names else "poll"
+
+
+def captured(source: DataFrame, fields: str = "", after: str | int | bytes | None = None) -> DataFrame:
+    """The changes of a source of any kind, from its checkpoint `after` on. A polled table has inserts only, ordered by its change time."""
+    kind = source_kind(source.columns)
+    if kind == "log":
+        return log_changes(source, after)
+    if kind == "trigger":
+        return trigger_changes(source, fields, after or 0)
+    if kind == "stream":
+        return document_changes(source, "event", fields, after)
+    at = change_time(source.schema)
+    if at is None:
+        raise ValueError("no column tells when a row changed")
+    rows = source if after is None else source.filter(F.col(f"`{at}`") > F.lit(after).cast(source.schema[at].dataType))
+    return rows.select("*", F.lit("INSERT").alias("op"), F.col(f"`{at}`").alias("seq"))
 
 
 def operation(event_type: Column) -> Column:
@@ -124,8 +188,45 @@ def sync_new_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT event_type, user_id, max(n) AS versions FROM (SELECT event_type, user_id, row_number() OVER (PARTITION BY event_type, user_id ORDER BY ts, event_id) AS n FROM events) GROUP BY 1, 2""")
 def cdc_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many versions each key has had."""
-    order = Window.partitionBy("event_type", "user_id").orderBy("ts", "event_id")
-    return table(spark, sf_dir, "events").withColumn("n", F.row_number().over(order)).groupBy("event_type", "user_id").agg(F.max("n").cast("long").alias("versions"))
+    return table(spark, sf_dir, "events").groupBy("event_type", "user_id").agg(F.count(F.lit(1)).alias("versions"))
+
+
+@query(f"""WITH k AS (SELECT CASE WHEN user_id % 10 = 0 THEN NULL ELSE user_id END AS k, event_id, ts, value, {OP_SQL} AS op FROM events),
+last AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY ts DESC, event_id DESC) AS n FROM k) WHERE n = 1),
+t AS (SELECT CASE WHEN c_custkey % 10 = 0 THEN NULL ELSE c_custkey END AS k, c_acctbal AS value FROM customer)
+SELECT k, value FROM t WHERE NOT EXISTS (SELECT 1 FROM last WHERE last.k IS NOT DISTINCT FROM t.k) UNION ALL SELECT k, value FROM last WHERE op <> 'DELETE'""")
+def cdc_apply_null_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changes applied twice to rows of which some have no key: no row comes again."""
+    named = lambda c: F.when(F.col(c) % 10 != 0, F.col(c))
+    target = table(spark, sf_dir, "customer").select(named("c_custkey").alias("k"), F.col("c_acctbal").alias("value"))
+    made = table(spark, sf_dir, "events").select(named("user_id").alias("k"), "value", "ts", "event_id", operation(F.col("event_type")).alias("op"))
+    return apply_changes(apply_changes(target, made, ["k"], ["ts", "event_id"]), made, ["k"], ["ts", "event_id"])
+
+
+@query(f"SELECT event_id, user_id, value, ts AS _cdc_timestamp, {OP_SQL} AS _cdc_operation FROM events")
+def cdc_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", "value", "ts", operation(F.col("event_type")).alias("op"))
+    return with_audit(events, "ts")
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'id=' || user_id WHEN event_id % 3 = 1 THEN 'customerid=' || (user_id + 1) ELSE 'kind=' || event_type || ',value=' || event_id END AS told FROM events""")
+def cdc_row_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By what a change finds its row: the image before it, a known key name, or the first two fields."""
+    pair = lambda *kv: F.create_map(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in kv])
+    user, number = F.col("user_id"), F.col("event_id")
+    before = F.when(number % 3 == 1, pair("Note", F.lit("x"), "CustomerID", user + 1))
+    after = F.when(number % 3 == 0, pair("Value", number, "Id", user)).when(number % 3 == 1, pair("Id", user)).otherwise(pair("Nothing", F.lit(None), "Kind", F.col("event_type"), "Value", number, "More", user))
+    found = table(spark, sf_dir, "events").select("event_id", F.map_entries(row_filter(before, after)).alias("f"))
+    return found.select("event_id", F.array_join(F.transform("f", lambda e: F.concat_ws("=", e["key"], e["value"])), ",").alias("told"))
+
+
+@query(f"""SELECT event_id AS seq, {OP_SQL} AS op, event_type AS table_name, CASE WHEN event_id % 7 = 0 THEN NULL ELSE user_id END AS user_id, CASE WHEN event_id % 7 = 0 THEN NULL ELSE event_id * 2 END AS twice FROM events WHERE event_id > 100""")
+def cdc_trigger_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as triggers log them: rows, lists of rows, and payloads that can't be read."""
+    row = F.to_json(F.struct("user_id", (F.col("event_id") * 2).alias("twice")))
+    payload = F.when(F.col("event_id") % 7 == 0, F.when(F.col("event_id") % 2 == 0, "{broken")).when(F.col("event_id") % 2 == 0, row).otherwise(F.concat(F.lit("["), row, F.lit(', {"user_id": -1}]')))
+    log = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.lit("dbo").alias("schema_name"), F.col("event_type").alias("table_name"), operation(F.col("event_type")).alias("operation"), payload.alias("row_data"), F.col("ts").alias("changed_at"))
+    return captured(log, "user_id:long,twice:long", 100).select("seq", "op", "table_name", "data.user_id", "data.twice")
 
 
 @query(f"""SELECT {OP_SQL} AS op, event_type AS table_name, count(*) AS n, count(DISTINCT user_id) AS n_keys, sum(CASE WHEN event_type <> 'error' THEN event_id END)::BIGINT AS ids FROM events WHERE event_id >= 50 GROUP BY 1, 2""")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,21 +30,87 @@ def flattened(df: DataFrame) -> DataFrame:
 
 
 def value_type(kind: Column) -> Column:
-    """The type of a document's field from the set of types it has: one type stands; whole and fractional numbers are double; other mixtures are text; only nulls are text."""
+    """The type of a document's field from the set of types it has: one type stands; numbers are as wide as the widest; other mixtures are text; only nulls are text."""
     some = F.array_except(kind, F.array(F.lit("VOID")))
-    numbers = F.size(F.array_except(some, F.array(F.lit("BIGINT"), F.lit("DOUBLE")))) == 0
-    return F.when(F.size(some) == 1, some[0]).when((F.size(some) > 1) & numbers, F.lit("DOUBLE")).otherwise(F.lit("STRING"))
+    only = lambda *types: F.size(F.array_except(some, F.array(*[F.lit(t) for t in types]))) == 0
+    mixed = F.when(only("BIGINT", WIDE), F.lit(WIDE)).when(only("BIGINT", WIDE, "DOUBLE"), F.lit("DOUBLE")).otherwise(F.lit("STRING"))
+    return F.when(F.size(some) == 1, some[0]).when(F.size(some) > 1, mixed).otherwise(F.lit("STRING"))
+
+
+#: The type of whole numbers beyond 64 bits.
+WIDE = "DECIMAL(38,0)"
+
+
+def json_type(value: Column) -> Column:
+    """The type of a JSON value, from the value itself: quoted numbers are text."""
+    shape = F.schema_of_variant(value)
+    whole = F.regexp_extract(shape, r"^DECIMAL\((\d+),0\)$", 1)
+    return (
+        F.when(shape.startswith("OBJECT"), "OBJECT")
+        .when(shape.startswith("ARRAY"), "ARRAY")
+        .when(whole != "", F.when(whole.cast("int") > 18, WIDE).otherwise("BIGINT"))
+        .when(shape.startswith("DECIMAL"), "DOUBLE")
+        .otherwise(shape)
+    )
 
 
 def infer_fields(documents: DataFrame, column: str) -> DataFrame:
-    """(field, inferred, n_documents): the top-level fields of JSON documents, by the set of types over all documents."""
-    variant = F.try_parse_json(column)
-    each = documents.select(F.explode(F.map_entries(F.from_json(column, "map<string,string>"))).alias("f"), variant.alias("v")).select("f.key", "f.value")
-    # a number, true, false or a list keeps its text in a map of strings; text that looks like one is told apart by its quotes
-    shape = F.schema_of_variant(F.try_parse_json("value"))
-    number = F.when(F.col("value").rlike(r"^-?\d+$"), "BIGINT").when(F.col("value").rlike(r"^-?\d+(\.\d+)?([eE][-+]?\d+)?$"), "DOUBLE")
-    kind = F.when(F.col("value").isNull(), "VOID").otherwise(F.coalesce(number, F.when(F.col("value").isin("true", "false"), "BOOLEAN"), F.when(shape.startswith("ARRAY"), "ARRAY"), F.lit("STRING")))
-    return each.groupBy(F.col("key").alias("field")).agg(F.collect_set(kind).alias("kinds"), F.count(F.lit(1)).alias("n_documents")).select("field", value_type(F.col("kinds")).alias("inferred"), "n_documents")
+    """(path, field, inferred, n_documents): the fields of JSON documents, at any depth, by the set of types over all documents.
+
+    field: the names of the path joined by underscores. Objects are walked into, level
+    by level, and are no fields themselves; an empty one leaves nothing.
+    """
+    level = documents.select(F.array().cast("array<string>").alias("path"), F.try_parse_json(column).alias("v")).filter(F.schema_of_variant("v").startswith("OBJECT"))
+    found = None
+    while True:
+        entries = level.select("path", F.explode(F.map_entries(F.try_variant_get("v", "$", "map<string,variant>"))).alias("e"))
+        typed = entries.select(F.array_append("path", F.col("e.key")).alias("path"), F.col("e.value").alias("v"), json_type(F.col("e.value")).alias("kind"))
+        typed = typed.withColumn("kind", F.coalesce("kind", F.lit("VOID")))
+        leaves = typed.filter("kind != 'OBJECT'").groupBy("path").agg(F.collect_set("kind").alias("kinds"), F.count(F.lit(1)).alias("n_documents"))
+        found = leaves if found is None else found.unionByName(leaves)
+        level = typed.filter("kind = 'OBJECT'").select("path", "v")
+        if level.isEmpty():
+            break
+    return found.select("path", F.array_join("path", "_").alias("field"), value_type(F.col("kinds")).alias("inferred"), "n_documents")
+
+
+def field_value(document: Column, path: list[str], kind: str) -> Column:
+    """The value of a field of a parsed document, as the inferred type; lists, and mixtures, as text; null where the document lacks it."""
+    here = document
+    for name in path:
+        here = F.try_variant_get(here, "$", "map<string,variant>")[F.lit(name)]
+    if kind in ("BIGINT", "DOUBLE", "BOOLEAN", WIDE):
+        return F.try_variant_get(here, "$", kind)
+    shape = F.schema_of_variant(here)
+    text = F.when(shape.startswith("ARRAY") | shape.startswith("OBJECT"), F.to_json(here)).otherwise(F.try_variant_get(here, "$", "string"))
+    return F.when(shape != "VOID", text)
+
+
+def document_rows(documents: DataFrame, column: str, fields: list[tuple[list[str], str]]) -> DataFrame:
+    """One row for each JSON document, one column for each of fields (path, type). Names are made safe and unique. Documents that are no objects are null rows."""
+    order = sorted(fields)
+    names = unique_names(["_".join(path) for path, _ in order])
+    parsed = documents.select(F.try_parse_json(column).alias("__v"))
+    return parsed.select(*[field_value(F.col("__v"), path, kind).alias(name) for name, (path, kind) in zip(names, order, strict=True)])
+
+
+def read_collection(spark: SparkSession, path: str) -> DataFrame:
+    """A collection that is kept as one JSON document a line: the column `document`."""
+    return spark.read.text(path).withColumnRenamed("value", "document").filter(F.length(F.trim("document")) > 0)
+
+
+def write_collection(df: DataFrame, path: str) -> int:
+    """Writes a table as a collection, in place of what was there; how many documents."""
+    seen = Observation()
+    to_documents(df).observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").text(path)
+    return seen.get["n"]
+
+
+def probe(documents: DataFrame, column: str) -> list[tuple[str, str]]:
+    """(field, type) of the top-level fields of one document, for a quick look."""
+    one = documents.filter(F.col(column).isNotNull()).limit(1)
+    entries = one.select(F.explode(F.map_entries(F.try_variant_get(F.try_parse_json(column), "$", "map<string,variant>"))).alias("e"))
+    return [(r[0], r[1] or "VOID") for r in entries.select("e.key", json_type(F.col("e.value"))).collect()]
 
 
 @query("SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer")
@@ -70,12 +136,16 @@ def document_array_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT 'k' AS field, 'BIGINT' AS inferred, count(*) AS n_documents FROM events WHERE json_extract(props, '$.k') IS NOT NULL
-UNION ALL SELECT 'kind', 'STRING', count(*) FROM events UNION ALL SELECT 'mixed', 'DOUBLE', count(*) FROM events""")
+UNION ALL SELECT unnest(['kind', 'mixed', 'zip', 'flag', 'wide', 'in_a', 'in_deep_b', 'list', 'nothing', 'either']), unnest(['STRING', 'DOUBLE', 'STRING', 'STRING', 'DECIMAL(38,0)', 'BIGINT', 'BOOLEAN', 'ARRAY', 'STRING', 'STRING']), count(*) FROM events""")
 def infer_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields at any depth; text that looks like a number or a truth value stays text."""
     events = table(spark, sf_dir, "events")
-    mixed = F.when(F.col("event_id") % 2 == 0, F.col("event_id").cast("string")).otherwise(F.concat(F.col("event_id").cast("string"), F.lit(".5")))
-    text = F.concat(F.rtrim(F.regexp_replace("props", r"\}\s*$", "")), F.lit(', "kind": "'), "event_type", F.lit('", "mixed": '), mixed, F.lit("}"))
-    return infer_fields(events.select(text.alias("d")), "d")
+    number = F.col("event_id").cast("string")
+    mixed = F.when(F.col("event_id") % 2 == 0, number).otherwise(F.concat(number, F.lit(".5")))
+    either = F.when(F.col("event_id") % 2 == 0, "1").otherwise('"one"')
+    parts = (', "kind": "', F.col("event_type"), '", "mixed": ', mixed, ', "zip": "0', number, '", "flag": "true", "wide": 1234567890123456789012, "in": {"a": 1, "deep": {"b": true, "none": {}}}, "list": [1, "x"], "nothing": null, "either": ', either, "}")
+    text = F.concat(F.rtrim(F.regexp_replace("props", r"\}\s*$", "")), *[F.lit(p) if isinstance(p, str) else p for p in parts])
+    return infer_fields(events.select(text.alias("d")), "d").select("field", "inferred", "n_documents")
 
 
 @query("SELECT p_partkey, p_name, p_brand, p_size FROM part")
@@ -93,3 +163,32 @@ def xml_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     xml = turns.select("conv_id", F.to_xml(F.struct("node"), {"rowTag": "conversation"}).alias("x"))
     nodes = xml.select("conv_id", F.explode(F.from_xml("x", "node array<struct<_turn:long,role:string>>")["node"]).alias("n"))
     return nodes.select("conv_id", F.col("n._turn").alias("turn"), F.col("n.role").alias("role"))
+
+
+@query("""SELECT conv_id, turn, word, count(*) AS n, role || string_agg(word, '' ORDER BY k) AS whole FROM (SELECT conv_id, turn, role, word, k FROM (SELECT conv_id, turn, role, unnest(string_split(text, ' ')[1:3]) AS word, unnest(generate_series(1, least(3, len(string_split(text, ' '))))) AS k FROM conversations) WHERE regexp_full_match(word, '[a-z]+')) GROUP BY conv_id, turn, role, word""")
+def xml_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of nodes of XML whose names have a prefix; the text of a node is that of all nodes below it."""
+    words = F.filter(F.slice(F.split("text", " "), 1, 3), lambda w: w.rlike("^[a-z]+$"))
+    turn = F.concat(F.lit('<c:turn n="'), F.col("turn").cast("string"), F.lit('"><c:role>'), "role", F.lit("</c:role>"), F.array_join(F.transform(words, lambda w: F.concat(F.lit("<c:word>"), w, F.lit("</c:word>"))), ""), F.lit("</c:turn>"))
+    docs = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_join(F.collect_list(turn), "").alias("x"))
+    xml = docs.select("conv_id", F.concat(F.lit('<c:conversation xmlns:c="urn:c">'), "x", F.lit("</c:conversation>")).alias("x"))
+    kind = "turn array<struct<_n:long,role:string,word:array<string>>>"
+    turns = xml.select("conv_id", F.explode(F.from_xml("x", kind, {"ignoreNamespace": "true"})["turn"]).alias("t"))
+    each = turns.select("conv_id", F.col("t._n").alias("turn"), "t.role", F.explode("t.word").alias("word"))
+    return each.groupBy("conv_id", "turn", "role", "word").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.collect_list("word"), "").alias("w")).select("conv_id", "turn", "word", "n", F.concat("role", "w").alias("whole"))
+
+
+@query("SELECT conv_id, turn, CASE WHEN length(text) > 200 THEN role END AS role FROM conversations")
+def xml_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows with the nodes of their XML; a row whose XML has none stays."""
+    some = F.when(F.length("text") > 200, F.concat(F.lit("<node><role>"), "role", F.lit("</role></node>"))).otherwise(F.lit(""))
+    xml = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(F.lit("<turn>"), some, F.lit("</turn>")).alias("x"))
+    nodes = xml.select("conv_id", "turn", F.explode_outer(F.from_xml("x", "node array<struct<role:string>>")["node"]).alias("n"))
+    return nodes.select("conv_id", "turn", "n.role")
+
+
+@query("SELECT p_partkey, p_name || p_brand AS whole FROM part")
+def xml_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text of a node with all nodes below it."""
+    xml = F.concat(F.lit("<part><a>"), F.regexp_replace("p_name", "[<&]", ""), F.lit("<b>"), "p_brand", F.lit("</b></a></part>"))
+    return table(spark, sf_dir, "part").select("p_partkey", F.xpath_string(xml, F.lit("/part/a")).alias("whole"))

@@ -61,9 +61,12 @@ FROM customer JOIN nation ON c_nationkey = n_nationkey LEFT JOIN orders ON c_cus
 def outer_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Inner, then left joins: customers without orders stay."""
     customers = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-    returned = table(spark, sf_dir, "lineitem").filter("l_returnflag = 'R'").select("l_orderkey", "l_linenumber")
-    joined = customers.join(table(spark, sf_dir, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left").join(returned, F.col("o_orderkey") == F.col("l_orderkey"), "left")
-    return joined.groupBy("c_custkey", "n_name").agg(F.count("o_orderkey").alias("n_orders"), F.count("l_linenumber").alias("n_returned"))
+    # (one row for a line, or for an order without any): counted by order, then by customer, before they meet the customers
+    lines = table(spark, sf_dir, "lineitem").filter("l_returnflag = 'R'").groupBy("l_orderkey").agg(F.count("l_linenumber").alias("n"))
+    orders = table(spark, sf_dir, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    sums = orders.groupBy("o_custkey").agg(F.sum(F.greatest(F.lit(1), F.coalesce("n", F.lit(0)))).alias("orders"), F.sum("n").alias("returned"))
+    joined = customers.join(sums, F.col("c_custkey") == F.col("o_custkey"), "left")
+    return joined.select("c_custkey", "n_name", F.coalesce("orders", F.lit(0)).alias("n_orders"), F.coalesce("returned", F.lit(0)).alias("n_returned"))
 
 
 @query("SELECT c_custkey, c_name FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT' AND o_orderdate >= TIMESTAMP '2000-01-01')")
@@ -85,6 +88,29 @@ def valid_at(facts: DataFrame, periods: DataFrame, key: list[str], at: str, star
     return facts.join(periods, key, "inner").filter(inside)
 
 
+def as_of(facts: DataFrame, periods: DataFrame, key: list[str], at: str, start: str, end: str, bucket_days: int = 365) -> DataFrame:
+    """valid_at() for periods of a key that do not overlap: each fact meets the last period that starts no later, if it has not ended.
+
+    Facts and periods are sorted together, so a key costs its rows, not their product. A
+    key is cut into buckets of time; what holds at a bucket's start is handed on to it.
+    """
+    own = [c for c in periods.columns if c not in key]
+    period = F.struct(F.col(start).alias("__at"), *[F.col(c).alias(f"__{c}") for c in own])
+    days = lambda c: F.floor(F.unix_timestamp(F.col(c).cast("timestamp")) / (86400 * bucket_days))
+    # an empty period holds at no time
+    begun = periods.filter(F.col(end).isNull() | (F.col(end) >= F.col(start))).select(*key, days(start).alias("__b"), F.col(start).alias("__t"), F.lit(0).alias("__kind"), period.alias("__p"))
+    asked = facts.select(*key, days(at).alias("__b"), F.col(at).alias("__t"), F.lit(1).alias("__kind"), F.struct(*[F.col(c) for c in facts.columns]).alias("__f"))
+    both = begun.unionByName(asked, allowMissingColumns=True)
+    inside = both.withColumn("__held", F.last("__p", ignorenulls=True).over(Window.partitionBy(*key, "__b").orderBy("__t", "__kind")))
+    last = begun.groupBy(*key, "__b").agg(F.max("__p").alias("__p"))
+    # the last period of all buckets before: one row for each bucket of a key that has any
+    marks = asked.select(*key, "__b").distinct().join(last, [*key, "__b"], "full")
+    before = marks.withColumn("__was", F.last("__p", ignorenulls=True).over(Window.partitionBy(*key).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1))).select(*key, "__b", "__was")
+    found = inside.filter("__kind = 1").join(before, [*key, "__b"]).withColumn("__held", F.coalesce("__held", "__was"))
+    holds = F.col("__held").isNotNull() & (F.col(f"__held.__{end}").isNull() | (F.col("__t") <= F.col(f"__held.__{end}")))
+    return found.filter(holds).select("__f.*", *[F.col(f"__held.__{c}").alias(c) for c in own])
+
+
 @query("""WITH h AS (SELECT o_custkey AS k, o_orderkey AS price_order, o_totalprice AS price, o_orderdate AS start_date, lead(o_orderdate) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - INTERVAL 1 SECOND AS end_date FROM orders)
 SELECT o_orderkey, price_order, price FROM orders JOIN h ON o_custkey = k AND o_orderdate + INTERVAL 10 DAY BETWEEN start_date AND coalesce(end_date, TIMESTAMP '9999-12-31')""")
 def temporal_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,7 +119,7 @@ def temporal_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
     history = orders.select(F.col("o_custkey"), F.col("o_orderkey").alias("price_order"), F.col("o_totalprice").alias("price"), F.col("o_orderdate").alias("start_date"), (F.lead("o_orderdate").over(order) - F.expr("INTERVAL 1 SECOND")).alias("end_date"))
     asked = orders.select("o_custkey", "o_orderkey", (F.col("o_orderdate") + F.expr("INTERVAL 10 DAY")).alias("at"))
-    return valid_at(asked, history, ["o_custkey"], "at", "start_date", "end_date").select("o_orderkey", "price_order", "price")
+    return as_of(asked, history, ["o_custkey"], "at", "start_date", "end_date").select("o_orderkey", "price_order", "price")
 
 
 @query("SELECT r_regionkey, r_name, (SELECT count(*) FROM nation JOIN customer ON c_nationkey = n_nationkey WHERE n_regionkey = r_regionkey) AS n_customers FROM region")

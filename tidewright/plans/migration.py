@@ -8,9 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.naming import DEFAULT_SCHEMAS, flat_name, quote, sanitized, table_name
+from ..functions.types import create_table as create_table_text
+from ..functions.types import spark_type
 from ..operators.catalog_audit import audit_tables
 from ..operators.changes import apply_changes
-from ..sources.tables import TABLES, copy_table, cut, table
+from ..operators.documents import document_rows, infer_fields, read_collection, write_collection
+from ..sources.tables import TABLES, copy_table, cut, shared_path, table
 from .registry import query
 
 REPORT = "step string, object_name string, status string, rows_migrated long, error string"
@@ -87,6 +91,61 @@ def sync(spark: SparkSession, source: dict[str, DataFrame], target: str, changes
     return spark.createDataFrame(rows, REPORT)
 
 
+def migrate_documents(spark: SparkSession, collections: dict[str, DataFrame], target: str, column: str = "document") -> DataFrame:
+    """(collection_name, table_name, status, rows, error): collections of JSON documents as tables of the database target.
+
+    Of each, the fields of all documents are inferred, nested ones side by side, and the
+    table is swapped in when it is whole. An empty collection is skipped; one that fails
+    is a row of the report, and the others go on.
+    """
+    create_database(spark, target)
+    rows = []
+    for name, documents in sorted(collections.items()):
+        held = sanitized(name)
+        try:
+            fields = [(r.path, r.inferred) for r in infer_fields(documents, column).collect()]  # one row a field
+        except Exception as e:  # one collection's failure is a row of the report
+            rows.append((name, held, "failed", 0, str(e)[:500]))
+            continue
+        if not fields:
+            rows.append((name, None, "skipped", 0, "Empty collection"))
+            continue
+        got = copy_table(document_rows(documents, column, fields), f"{target}.{held}")
+        rows.append((name, held, got["status"], got["rows_migrated"], got["error"]))
+    return spark.createDataFrame(rows, "collection_name string, table_name string, status string, rows long, error string")
+
+
+def export_documents(spark: SparkSession, tables: dict[str, DataFrame], folder: str, schema: str = "dbo") -> DataFrame:
+    """(table_name, collection_name, status, documents, error): tables as collections, one folder of JSON lines each."""
+    rows = []
+    for name, df in sorted(tables.items()):
+        held = flat_name(schema, name)
+        try:
+            rows.append((f"{schema}.{name}", held, "success", write_collection(df, f"{folder}/{held}"), None))
+        except Exception as e:  # one table's failure is a row of the report
+            rows.append((f"{schema}.{name}", "", "failed", 0, str(e)[:500]))
+    return spark.createDataFrame(rows, "table_name string, collection_name string, status string, documents long, error string")
+
+
+def schema_ddl(columns: DataFrame, keys: DataFrame, source: str, target: str) -> list[tuple[str | None, str | None, str]]:
+    """(schema_name, table_name, statement): namespaces first, sorted, then the tables that an audit found; tables without columns have none.
+
+    columns: as audit_columns() gives them, data types by the names of the source; keys:
+    (schema_name, table_name, column_name). What reaches the driver is one row a column.
+    """
+    made: list[tuple[str | None, str | None, str]] = []
+    if target != "mysql":
+        spaces = columns.select(F.lower("schema_name").alias("s")).distinct().orderBy("s").collect()
+        made += [(r.s, None, f"CREATE SCHEMA IF NOT EXISTS {quote(r.s, target)}") for r in spaces if r.s and r.s not in DEFAULT_SCHEMAS]
+    of = ["schema_name", "table_name"]
+    listed = columns.groupBy(*of).agg(F.array_sort(F.collect_list(F.struct("ordinal_position", "column_name", "data_type", "character_maximum_length", "numeric_precision", "numeric_scale", "is_nullable"))).alias("columns"))
+    keyed = keys.groupBy(*of).agg(F.collect_list("column_name").alias("keys"))
+    for r in listed.join(keyed, of, "left").orderBy(*of).collect():
+        fields = [T.StructField(c.column_name, spark_type(source, c.data_type, c.character_maximum_length, c.numeric_precision, c.numeric_scale), c.is_nullable != "NO") for c in r["columns"]]
+        made.append((r.schema_name, r.table_name, create_table_text(table_name(r.schema_name, r.table_name, target), T.StructType(fields), target, tuple(r["keys"] or ()))))
+    return made
+
+
 def totals(report: DataFrame) -> DataFrame:
     """(step, status, n, rows_migrated) of a report."""
     return report.groupBy("step", "status").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("rows_migrated"), F.lit(0)).alias("rows_migrated"))
@@ -134,3 +193,35 @@ def view_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     for v in [p + t for t in ("customer", "nation", "orders")] + list(views):
         spark.catalog.dropTempView(v)
     return out
+
+
+@query("""SELECT event_id AS id, event_type AS meta_kind, CASE WHEN event_id % 2 = 0 THEN user_id ELSE NULL END AS meta_who_user, value, '0' || user_id AS zip, '[' || event_id || ',"x"]' AS tags FROM events""")
+def documents_to_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events written as a collection of nested documents, moved into a table, and read there."""
+    who = F.when(F.col("event_id") % 2 == 0, F.struct(F.col("user_id").alias("user")))
+    made = table(spark, sf_dir, "events").select(
+        F.col("event_id").alias("id"), F.struct(F.col("event_type").alias("kind"), who.alias("who")).alias("meta"), "value", F.concat(F.lit("0"), F.col("user_id").cast("string")).alias("zip"),
+        F.concat(F.lit("["), F.col("event_id").cast("string"), F.lit(',"x"]')).alias("tags"),
+    )
+    # lists are given as text here, and put into the document as they are
+    text = F.concat(F.expr("substring(to_json(struct(id, meta, value, zip)), 1, length(to_json(struct(id, meta, value, zip))) - 1)"), F.lit(', "tags": '), "tags", F.lit("}"))
+    folder, target = shared_path(spark, "collection"), f"moved_{uuid.uuid4().hex}"
+    made.select(text.alias("value")).write.text(folder)
+    try:
+        report = migrate_documents(spark, {"events": read_collection(spark, folder)}, target)
+        if failed := report.filter("status != 'success'").collect():
+            raise RuntimeError(str(failed))
+        return cut(spark.table(f"{target}.events"))
+    finally:
+        spark.sql(f"DROP DATABASE IF EXISTS `{target}` CASCADE")
+
+
+@query("SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS o_orderdate, o_orderpriority FROM orders")
+def tables_to_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as a collection, and the collection as rows again."""
+    folder = shared_path(spark, "export")
+    orders = table(spark, sf_dir, "orders")
+    if failed := export_documents(spark, {"orders": orders}, folder).filter("status != 'success'").collect():
+        raise RuntimeError(str(failed))
+    read = read_collection(spark, f"{folder}/orders").select(F.from_json("document", orders.schema).alias("d")).select("d.*")
+    return read.withColumn("o_orderdate", F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss"))

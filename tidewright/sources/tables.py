@@ -5,10 +5,14 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.retry import retry
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
@@ -93,6 +97,21 @@ def jdbc_options(kind: str, host: str, database: str, user: str | None = None, p
     return {"url": url, "fetchsize": "10000", "batchsize": "1000"} | ({"user": user, "password": password or ""} if user else {})
 
 
+@retry(exceptions=(Py4JError, PySparkException))
+def read_jdbc(spark: SparkSession, options: dict[str, str], name: str, partition: tuple[str, int, int, int] | None = None) -> DataFrame:
+    """A server's table; partition: (column, lower, upper, parts) of a parallel read. The server is asked for the schema here, and asked again if it does not answer."""
+    reader = spark.read.format("jdbc").options(**options).option("dbtable", name)
+    if partition:
+        column, lower, upper, parts = partition
+        reader = reader.options(partitionColumn=column, lowerBound=str(lower), upperBound=str(upper), numPartitions=str(parts))
+    return reader.load()
+
+
+def write_jdbc(df: DataFrame, options: dict[str, str], name: str, mode: str = "append") -> None:
+    """Rows into a server's table, in batches of the options' batchsize."""
+    df.write.format("jdbc").options(**options).option("dbtable", name).mode(mode).save()
+
+
 def copy_table(df: DataFrame, target: str, mode: str = "overwrite", binary_as_hex: bool = False) -> dict:
     """Writes df as a catalog table, names in lower case; the result row of the copy.
 
