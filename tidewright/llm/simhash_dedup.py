@@ -247,7 +247,8 @@ def similar_links(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str,
     and the rest is split by the tables of the next fingerprint. What is still together
     after all fingerprints is compared with more and more leaders, until nobody is left.
     """
-    every = F.flatten(F.array(*[F.transform(table_keys(F.col("prints")[n]), lambda key, n=n: F.struct(F.lit(n).alias("print"), F.xxhash64(F.lit(n), key).alias("bucket"))) for n in range(prints)]))
+    buckets = lambda n: F.transform(table_keys(F.col("prints")[n]), lambda key: F.struct(F.lit(n).alias("print"), F.xxhash64(F.lit(n), key).alias("bucket")))
+    every = F.flatten(F.array(*[buckets(n) for n in range(prints)]))
     rows = nodes.select("node", F.explode(every).alias("t")).select("node", "t.print", "t.bucket")
     links, sets, depth = [], None, 0
     while True:
