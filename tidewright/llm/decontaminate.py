@@ -27,47 +27,61 @@ FOUND = "struct<n_words:long,cand:array<struct<p:int,key:long,around:array<int>>
 
 
 class Index:
-    """Windows of one block of items. Bounded by the block's words; larger benchmarks are taken in more blocks."""
-
-    def __init__(self, items: list[tuple], window: int, k: int):
-        self.window, self.k = window, k
-        self.vocabulary: dict[bytes, int] = {}
-        self.items = []
-        for item, text in items:
-            if ids := [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in alnum_words(text or b"")]:
-                self.items.append((item, ids))
-        self.keys: dict[int, list[int]] = {}
-        for _, ids in self.items:
-            j = min(k, len(ids))
-            self.keys.setdefault(j, []).extend(key_of(ids[i : i + j]) for i in range(len(ids) - j + 1))
-
-    def prefixes(self, count: dict[int, int]) -> list[tuple]:
-        """(key, item, offset, ids) of each distinct window of each item: the rarest shingle in it and where that stands; ties go to the smaller key."""
-        rows = set()
-        for item, ids in self.items:
-            j, w = min(self.k, len(ids)), min(self.window, len(ids))
-            order = [(count.get(g, 0), g) for g in (key_of(ids[i : i + j]) for i in range(len(ids) - j + 1))]
-            for i in range(len(ids) - w + 1):
-                (_, key), offset = min((order[i + o], o) for o in range(w - j + 1))
-                rows.add((key, item, offset, tuple(ids[i : i + w])))
-        return [(a, b, c, list(d)) for a, b, c, d in sorted(rows, key=lambda r: (r[0], str(r[1]), r[2], r[3]))]
-
-
-def item_blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple]]:
-    """The items in blocks of about block_bytes of text: the stated query set, never held whole."""
-    block, size = [], 0
-    for item, text in benchmark.select(item_col, utf8(text_col)).toLocalIterator():
-        block.append((item, bytes(text)))
-        size += len(text)
-        if size >= block_bytes:
-            yield block
-            block, size = [], 0
-    if block:
-        yield block
-
-
-def shingle_counts(docs: DataFrame, text_col: str, index: Index) -> dict[int, int]:
-    """How often each shingle of the block stands in all documents; as many entries as the block has shingles, at most."""
+    """What tasks need to find a block's shingles: the ids of its words, and the keys of its shingles by their length. As large as the block's words, at most."""
+
+    def __init__(self, items: DataFrame, window: int, k: int):
+        """items: (row, item, t)."""
+        spark, self.window, self.k = items.sparkSession, window, k
+
+        @F.arrow_udf("array<binary>")
+        def words(texts: pa.Array) -> pa.Array:
+            return pa.array([sorted(set(alnum_words(t))) for t in texts.to_pylist()], pa.list_(pa.binary()))
+
+        found = items.select(F.explode(words("t")).alias("w")).distinct().toArrow()["w"].to_pylist()
+        self.vocabulary = {w: n for n, w in enumerate(sorted(found), 1)}
+        known = spark.sparkContext.broadcast(self.vocabulary)
+
+        @F.arrow_udf("struct<ids:array<int>,keys:array<long>>")
+        def shingles(texts: pa.Array) -> pa.Array:
+            ids = [[known.value[w] for w in alnum_words(t)] for t in texts.to_pylist()]
+            keys = [[key_of(x[i : i + k]) for i in range(max(1, len(x) - k + 1))] if x else [] for x in ids]
+            return pa.StructArray.from_arrays([pa.array(ids, pa.list_(pa.int32())), pa.array(keys, pa.list_(pa.int64()))], ["ids", "keys"])
+
+        #: (row, item, ids, keys): the items that have words. An item of fewer words than a shingle is one.
+        self.items = cut(items.select("row", "item", shingles("t").alias("s")).select("row", "item", "s.ids", "s.keys").filter(F.size("ids") > 0))
+        self.keys = self._by_length(self.items.select(F.least(F.lit(k), F.size("ids")).alias("k"), F.explode("keys").alias("key")))
+
+    @staticmethod
+    def _by_length(keys: DataFrame) -> dict[int, np.ndarray]:
+        found = keys.distinct().toArrow()
+        of, key = found["k"].to_numpy(), found["key"].to_numpy()
+        return {int(j): np.sort(key[of == j]) for j in np.unique(of)}
+
+    def prefixes(self, counts: DataFrame) -> DataFrame:
+        """(key, item, offset, ids) of each distinct window of each item: the rarest shingle in it and where that stands; ties go to the smaller key. counts: (key, n)."""
+        window, k = self.window, self.k
+        each = self.items.select("row", F.posexplode("keys").alias("p", "key")).join(counts, "key", "left")
+        order = each.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("p", F.coalesce("n", F.lit(0)).alias("n"), "key"))).alias("o"))
+
+        @F.arrow_udf("array<struct<key:long,offset:int,ids:array<int>>>")
+        def windows(ids: pa.Array, n: pa.Array, keys: pa.Array) -> pa.Array:
+            out = []
+            for x, count, key in zip(ids.to_pylist(), n.to_pylist(), keys.to_pylist(), strict=True):
+                w, rank = min(window, len(x)), list(zip(count, key, strict=True))
+                span = w - min(k, len(x)) + 1
+                rows = set()
+                for i in range(len(x) - w + 1):
+                    (_, least), offset = min((rank[i + o], o) for o in range(span))
+                    rows.add((least, offset, tuple(x[i : i + w])))
+                out.append([{"key": a, "offset": b, "ids": c} for a, b, c in rows])
+            return pa.array(out, pa.list_(pa.struct([("key", pa.int64()), ("offset", pa.int32()), ("ids", pa.list_(pa.int32()))])))
+
+        found = self.items.join(order, "row").select("item", windows("ids", F.col("o.n"), "keys").alias("w"))
+        return cut(found.select("item", F.explode("w").alias("w")).select("w.key", "item", "w.offset", "w.ids").distinct())
+
+
+def shingle_counts(docs: DataFrame, text_col: str, index: Index) -> DataFrame:
+    """(key, n): how often each shingle of the block stands in all documents."""
     known = docs.sparkSession.sparkContext.broadcast((index.vocabulary, index.keys))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,16 +93,13 @@ def shingle_counts(docs: DataFrame, text_col: str, index: Index) -> dict[int, in
                     total[key] = total.get(key, 0) + n
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], ["key", "n"])
 
-    counted = docs.select(utf8(text_col).alias("t")).mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    return {r.key: r.n for r in counted.toLocalIterator()}
+    return docs.select(utf8(text_col).alias("t")).mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
-def candidates(docs: DataFrame, text_col: str, index: Index, prefixes: list[tuple]) -> DataFrame:
+def candidates(docs: DataFrame, index: Index, prefixes: DataFrame) -> DataFrame:
     """docs' row and id with n_words and the places of prefix shingles, each with the word ids around it (0: not the block's; -1: outside the text)."""
-    of = {min(index.k, len(ids)): set() for _, ids in index.items}
-    for key, _, _, ids in prefixes:
-        of[min(index.k, len(ids))].add(key)
-    known = docs.sparkSession.sparkContext.broadcast((index.vocabulary, {k: sorted(v) for k, v in of.items()}))
+    wanted = index._by_length(prefixes.select(F.least(F.lit(index.k), F.size("ids")).alias("k"), "key"))
+    known = docs.sparkSession.sparkContext.broadcast((index.vocabulary, wanted))
     before, width = index.window - 1, 2 * index.window - 1
     made: list[Scanner] = []
 
@@ -117,37 +128,44 @@ def candidates(docs: DataFrame, text_col: str, index: Index, prefixes: list[tupl
         cand = pa.StructArray.from_arrays([pa.array(join(places).astype(np.int32)), pa.array(join(found)), lists], ["p", "key", "around"])
         return pa.StructArray.from_arrays([pa.array(join(sizes_)), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), cand)], ["n_words", "cand"])
 
-    return docs.select("row", "id", scanned(F.col("__text")).alias("s")).select("row", "id", "s.n_words", "s.cand")
+    return docs.select("row", "id", F.xxhash64("__text").alias("raw"), scanned(F.col("__text")).alias("s")).select("row", "id", "raw", "s.n_words", "s.cand")
 
 
-def window_hits(found: DataFrame, index: Index, prefixes: list[tuple], item_type: str) -> DataFrame:
+def window_hits(found: DataFrame, index: Index, prefixes: DataFrame) -> DataFrame:
     """(row, item, first, stop): verified occurrences of windows."""
-    rows = found.sparkSession.createDataFrame(prefixes, f"key long, item {item_type}, offset int, ids array<int>")
     places = found.filter(F.size("cand") > 0).select("row", "n_words", F.explode("cand").alias("c")).select("row", "n_words", "c.*")
     first, length = F.col("p") - F.col("offset"), F.size("ids")
     fits = (first >= 0) & (first + length <= F.col("n_words"))
     same = F.slice("around", F.lit(index.window) - F.col("offset"), length) == F.col("ids")
-    return places.join(F.broadcast(rows), "key").filter(fits & same).select("row", "item", first.alias("first"), (first + length).alias("stop"))
+    return places.join(prefixes, "key").filter(fits & same).select("row", "item", first.alias("first"), (first + length).alias("stop"))
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = 13, k: int = 5, share: float = 0.05, block_bytes: int = 16 << 20) -> DataFrame:
-    """(id_col, n_words, n_hit, items, contaminated), one row for each of docs; items: sorted ids, as strings, of the items that occur."""
-    item_type = benchmark.schema[item_col].dataType.simpleString()
+def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = 13, k: int = 5, per: int = 20, block_bytes: int = 16 << 20) -> DataFrame:
+    """(id_col, n_words, n_hit, items, contaminated), one row for each of docs; items: sorted ids, as strings, of the items that occur.
+
+    contaminated: at least one in `per` words is hit. The benchmark is taken in blocks
+    of about block_bytes of text, each in two passes over docs; a block's words and
+    shingle keys are broadcast, its windows stay in Spark.
+    """
+    found = _found(docs, benchmark, id_col, text_col, item_col, item_text, window, k, per, block_bytes)
+    return found.select(F.col("id").alias(id_col), "n_words", "n_hit", "items", "contaminated")
+
+
+def _found(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, item_text: str, window: int, k: int, per: int, block_bytes: int) -> DataFrame:
+    """contamination() with `raw`, a hash of the text."""
+    items = cut(benchmark.select(F.monotonically_increasing_id().alias("row"), F.col(item_col).alias("item"), utf8(item_text).alias("t")))
+    blocks = max(1, -(-(items.agg(F.sum(F.octet_length("t"))).first()[0] or 0) // block_bytes))
     source = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), utf8(text_col).alias("__text"))
-    if (benchmark.agg(F.sum(F.octet_length(utf8(item_text)))).first()[0] or 0) > block_bytes:
+    if blocks > 1:
         source = cut(source)  # read once for each block: `row` must stay the same
     hits, read = None, None
-    for block in item_blocks(benchmark, item_col, item_text, block_bytes):
-        index = Index(block, window, k)
+    for block in range(blocks):
+        index = Index(items.filter(F.pmod(F.xxhash64("row"), F.lit(blocks)) == block), window, k)
         prefixes = index.prefixes(shingle_counts(docs, text_col, index))
-        found = cut(candidates(source, text_col, index, prefixes))
-        got = window_hits(found, index, prefixes, item_type)
+        found = cut(candidates(source, index, prefixes))
+        got = window_hits(found, index, prefixes)
         hits = got if hits is None else hits.union(got)
-        read = found.select("row", "id", "n_words") if read is None else read
-    if read is None:  # no items at all
-        none = Index([], window, k)
-        read = candidates(source, text_col, none, []).select("row", "id", "n_words")
-        hits = window_hits(candidates(source, text_col, none, []), none, [], item_type)
+        read = found.select("row", "id", "raw", "n_words") if read is None else read
     # the union of a row's occurrences: sorted by start, each adds what reaches beyond the furthest stop so far
     runs = F.array_sort(F.collect_set(F.struct("first", "stop")))
     step = lambda acc, x: F.struct((acc["n"] + F.greatest(F.lit(0), x["stop"] - F.greatest(acc["end"], x["first"]))).alias("n"), F.greatest(acc["end"], x["stop"]).alias("end"))
@@ -155,12 +173,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     by_row = hits.groupBy("row").agg(F.array_sort(F.collect_set(F.col("item").cast("string"))).alias("items"), runs.alias("runs")).select("row", "items", union.cast("long").alias("n_hit"))
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     return read.join(by_row, "row", "left").select(
-        F.col("id").alias(id_col), "n_words", n_hit.alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"),
-        ((n_hit > 0) & (n_hit * round(1 / share) >= F.col("n_words"))).alias("contaminated"),
+        "id", "raw", "n_words", n_hit.alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"),
+        ((n_hit > 0) & (n_hit * per >= F.col("n_words"))).alias("contaminated"),
     )
 
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
-    """The rows of docs that are not contaminated. Rows that share an id go if one of them is contaminated; a null id is an id like any other."""
-    bad = contamination(docs, benchmark, id_col, **how).filter("contaminated").select(F.col(id_col).alias("__bad")).distinct()
-    return docs.join(bad, docs[id_col].eqNullSafe(F.col("__bad")), "left_anti")
+def keep_clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = 13, k: int = 5, per: int = 20, block_bytes: int = 16 << 20) -> DataFrame:
+    """The rows of docs that are not contaminated. Of rows that share an id, or have none, those go whose own text is."""
+    bad = _found(docs, benchmark, id_col, text_col, item_col, item_text, window, k, per, block_bytes).filter("contaminated").select(F.col("id").alias("__bad"), F.col("raw").alias("__raw")).distinct()
+    return docs.join(bad, docs[id_col].eqNullSafe(F.col("__bad")) & (F.xxhash64(utf8(docs[text_col])) == F.col("__raw")), "left_anti")

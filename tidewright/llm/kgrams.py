@@ -26,9 +26,9 @@ class Scanner:
     A k-gram with a word outside the vocabulary cannot be known, so it gets no key.
     """
 
-    def __init__(self, vocabulary: dict[bytes, int], keys: dict[int, list[int]]):
+    def __init__(self, vocabulary: dict[bytes, int], keys: dict[int, list[int] | np.ndarray]):
         self.vocabulary = vocabulary
-        self.keys = {k: np.sort(np.array(sorted(set(v)), np.int64).view(np.uint64)) for k, v in keys.items() if v}
+        self.keys = {k: np.sort(np.unique(np.asarray(v, np.int64)).view(np.uint64)) for k, v in keys.items() if len(v)}
         self.widest = max(self.keys, default=1)
 
     def read(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
