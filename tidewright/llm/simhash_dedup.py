@@ -239,43 +239,87 @@ def table_keys(print_: Column) -> Column:
 
 
 def similar_links(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, k: int, threshold: float, prints: int, few: int, seed: int) -> DataFrame:
-    """(a, b), a > b: verified links between nodes (node, pick, prints).
+    """(a, b), a > b: verified links between nodes (node, pick, prints) that connect what all links between nodes of a bucket connect.
 
     Nodes that agree in a covering table of one of their fingerprints share a bucket.
     All pairs of up to `few` nodes are compared. In a larger bucket each node is
-    compared with one of them alone; those that are similar to it are linked and leave,
-    and the rest is split by the tables of the next fingerprint. What is still together
-    after all fingerprints is compared with more and more leaders, until nobody is left.
+    compared with the leader alone: the one that shares buckets with the most others,
+    as the text does that the others are copies of. A bucket that the links hold
+    together by then, through any leader, is settled. The nodes of the others meet anew
+    by the rarest of their shingles, as many as two similar sets can't but share one of
+    (rarest()), and what is open then gets four times as many leaders each round; nodes
+    that hang together already are not compared. It ends when all is settled, or all
+    that may lead have led.
     """
-    buckets = lambda n: F.transform(table_keys(F.col("prints")[n]), lambda key: F.struct(F.lit(n).alias("print"), F.xxhash64(F.lit(n), key).alias("bucket")))
-    every = F.flatten(F.array(*[buckets(n) for n in range(prints)]))
-    rows = nodes.select("node", F.explode(every).alias("t")).select("node", "t.print", "t.bucket")
-    links, sets, depth = [], None, 0
+    buckets = lambda n: F.transform(table_keys(F.col("prints")[n]), lambda key: F.xxhash64(F.lit(n), key))
+    rows = nodes.select("node", F.explode(F.flatten(F.array(*[buckets(n) for n in range(prints)]))).alias("bucket"))
+    met = cut(_met(rows))
+    fame = cut(met.groupBy("node").agg(F.sum("n").alias("fame")))
+    sets = cut(shingle_sets(docs, nodes.join(fame, "node", "left_semi"), id_col, text_col, k, seed))
+    met, links, depth = met.join(fame, "node").select("node", "bucket", "n", "fame", F.col("node").alias("root"), F.lit(True).alias("leads")), None, 0
     while True:
-        shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-        met = cut(rows.join(shared, "bucket"))
-        if sets is None:
-            sets = cut(shingle_sets(docs, nodes.join(met.select("node").distinct(), "node", "left_semi"), id_col, text_col, k, seed))
-        small = met.filter(F.col("n") <= few).groupBy("bucket").agg(F.collect_list("node").alias("nodes"))
-        pairs = small.select("nodes", F.explode("nodes").alias("a")).select("a", F.explode("nodes").alias("b")).filter("a > b")
-        leaders = 4 ** max(0, depth - prints + 1)
-        drawn = F.xxhash64("node", "bucket", F.lit(depth))
+        small = met.filter(F.col("n") <= few).groupBy("bucket").agg(F.collect_list(F.struct("node", "root", "leads")).alias("held"))
+        pairs = small.select("held", F.explode("held").alias("a")).select("a", F.explode("held").alias("b")).filter("a.node > b.node and a.root != b.root and (a.leads or b.leads)").select("a.node", "b.node")
         large = met.filter(F.col("n") > few)
-        lead = large.groupBy("bucket", F.pmod(drawn, F.lit(leaders)).alias("j")).agg(F.min(F.struct(drawn.alias("h"), "node"))["node"].alias("leader"))
-        faced = cut(large.join(lead.select("bucket", "leader"), "bucket").select("node", "print", "bucket", F.greatest("node", "leader").alias("a"), F.least("node", "leader").alias("b")))
-        good = cut(similar(cut(pairs.union(faced.filter("a > b").select("a", "b")).distinct()), sets, threshold))
-        links.append(good)
-        gone = faced.join(good.withColumn("linked", F.lit(True)), ["a", "b"], "left").filter("linked or a = b").select("node", "bucket").distinct()
-        left = cut(large.join(gone, ["node", "bucket"], "left_anti").select("node", "print", "bucket"))
-        if left.isEmpty():
-            return reduce(DataFrame.union, links).distinct()
+        lead = cut(_leaders(large.filter("leads"), 4 ** max(0, depth - 1), depth))
+        faced = large.join(lead.select("bucket", "leader", F.col("root").alias("other")), "bucket").filter("root != other").select(F.greatest("node", "leader").alias("a"), F.least("node", "leader").alias("b"))
+        good = cut(similar(cut(pairs.toDF("a", "b").union(faced).distinct()), sets, threshold))
+        if not good.isEmpty():
+            links = good if links is None else cut(links.union(good).distinct())
+            components = connected_components(links)
+        if links is None:
+            links, components = good, good.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        left = _open(large.drop("root", "n"), components)
+        left = left.join(lead.select("bucket", F.col("leader").alias("node")), ["bucket", "node"], "left_anti")
+        if not depth:
+            # from here on by shingles: every pair of open nodes that can be similar meets again
+            roots = cut(left.select("node", "root").distinct())
+            left = rarest(sets.join(roots, "node", "left_semi"), threshold).join(fame, "node").join(roots, "node")
+        held = left.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.max("leads").alias("some"), (F.min("root") != F.max("root")).alias("open"))
+        met = cut(left.join(held.filter("some and open").select("bucket", "n"), "bucket"))
+        if met.isEmpty():
+            return links
         depth += 1
-        if depth < prints:
-            next_print = F.element_at("prints", F.pmod(F.col("print") + depth, F.lit(prints)) + 1)
-            split = left.join(nodes.select("node", "prints"), "node").select("node", "print", "bucket", F.explode(table_keys(next_print)).alias("key"))
-            rows = split.select("node", "print", F.xxhash64("bucket", "key").alias("bucket"))
-        else:
-            rows = left
+
+
+def _met(rows: DataFrame) -> DataFrame:
+    """rows (node, bucket) with n, the size of the bucket, from 2."""
+    return rows.join(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "bucket")
+
+
+def _leaders(large: DataFrame, leaders: int, depth: int) -> DataFrame:
+    """(bucket, leader, root): of each of `leaders` groups of a bucket's nodes (node, bucket, fame, root) the most famous."""
+    group = F.pmod(F.xxhash64("node", "bucket", F.lit(depth)), F.lit(leaders))
+    best = large.groupBy("bucket", group.alias("j")).agg(F.max(F.struct("fame", F.xxhash64("node").alias("h"), "node", "root")).alias("x"))
+    return best.select("bucket", F.col("x.node").alias("leader"), "x.root")
+
+
+def _open(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """The members (node, bucket, fame, leads) of buckets that the links do not hold together, with root, the component of each."""
+    named = members.join(roots, "node", "left").select("node", "bucket", "fame", "leads", F.coalesce("root", "node").alias("root"))
+    apart = named.groupBy("bucket").agg((F.min("root") != F.max("root")).alias("open")).filter("open").select("bucket")
+    return named.join(apart, "bucket", "left_semi")
+
+
+def rarest(sets: DataFrame, threshold: float, step: float = 1.05) -> DataFrame:
+    """(node, bucket, leads): where each of sets (node, s) meets all that can be similar to it; a bucket stands for a shingle and a class of sizes, a factor `step` wide.
+
+    Sets x and y, x the smaller, share at least c = t/(1+t) (|x| + |y|) shingles, so in one
+    order, the rarest first, one of them stands before place |x| - c of x and |y| - c of
+    y. x leads with its shingles before place |x| - 2t/(1+t) |x|, under its own size; y
+    comes by a shingle at place p under all sizes that leave it enough behind p.
+    """
+    each = sets.select("node", F.explode("s").alias("g"))
+    counted = each.groupBy("g").agg(F.count(F.lit(1)).alias("df"))
+    order = each.join(counted, "g").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "g"))).alias("o")).withColumn("size", F.size("o"))
+    share, e = threshold / (1 + threshold), 1e-9
+    placed = order.select("node", "size", F.posexplode(F.slice("o", 1, F.floor(F.col("size") * (1 - threshold) + e).cast("int") + 1)).alias("p", "x")).filter("x.df > 1")
+    class_of = lambda size: F.floor(F.log(size) / F.log(F.lit(step)))
+    least, most = F.greatest(F.lit(1.0), F.col("size") * threshold - e), F.least(F.col("size").cast("double"), (F.col("size") - F.col("p")) / share - F.col("size") + e)
+    comes = F.when(most >= least, F.transform(F.sequence(class_of(least), class_of(most)), lambda c: F.struct(c.alias("class"), F.lit(False).alias("leads")))).otherwise(F.array().cast("array<struct<class:bigint,leads:boolean>>"))
+    leads = F.when(F.col("p") <= F.col("size") * (1 - 2 * share) + e, F.array(F.struct(class_of(F.col("size").cast("double")).alias("class"), F.lit(True).alias("leads")))).otherwise(F.array().cast("array<struct<class:bigint,leads:boolean>>"))
+    met = placed.select("node", "x.g", F.explode(F.concat(comes, leads)).alias("c"))
+    return met.groupBy("node", F.xxhash64("g", "c.class").alias("bucket")).agg(F.max("c.leads").alias("leads"))
 
 
 def similar_rows(docs: DataFrame, id_col: str, text_col: str, k: int, threshold: float, prints: int, few: int, seed: int) -> DataFrame:
