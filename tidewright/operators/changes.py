@@ -185,6 +185,16 @@ def sync_new_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return new_tables(now, now.filter(F.col("table_name").isin(*TABLES[:5])).select("schema_name", "table_name"))
 
 
+@query(" UNION ALL ".join(f"SELECT 'dbo' AS schema_name, table_name, column_name, ordinal_position FROM information_schema.columns WHERE table_schema = 'main' AND table_name = '{t}'" for t in TABLES[5:]))
+def sync_new_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of the tables that appeared since the first five were audited."""
+    from .audit import audit_columns
+
+    columns = audit_columns({t: table(spark, sf_dir, t) for t in TABLES})
+    found = sync_new_tables(spark, sf_dir).filter("row_count >= 0").select("schema_name", "table_name")
+    return columns.join(found, ["schema_name", "table_name"], "left_semi").select("schema_name", "table_name", "column_name", "ordinal_position")
+
+
 @query("""SELECT event_type, user_id, max(n) AS versions FROM (SELECT event_type, user_id, row_number() OVER (PARTITION BY event_type, user_id ORDER BY ts, event_id) AS n FROM events) GROUP BY 1, 2""")
 def cdc_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many versions each key has had."""
