@@ -54,3 +54,12 @@ def test_defined_cases(spark, rough, empty):
     assert li.scan_licenses(empty).count() == 0
     twice = spark.createDataFrame([(1, "mit license")] * 2, "doc_id long, text string")
     assert [r.n_base for r in li.scan_licenses(twice).collect()] == [1, 1]
+
+
+def test_a_template_that_repeats_a_k_gram(spark):
+    """One word put in, or left out, parts the notice in two diagonals; the repeated k-gram's stray hits do not keep them apart."""
+    ws = "under this license the license you may copy and change all of it here the license you may give to whom you like with no fee at all".split()
+    templates = li.Templates(base={}, phrases={}, notices={"own": " ".join(ws)})
+    texts = [(0, " ".join([*ws[:12], "quite", *ws[12:]])), (1, " ".join(ws[:12] + ws[13:])), (2, " ".join(ws)), (3, " ".join(ws[:9])), (4, "the license you may " * 9)]
+    got = {r.doc_id: r.labels for r in li.scan_licenses(spark.createDataFrame(texts, "doc_id long, text string"), templates=templates).collect()}
+    assert got == {0: "own", 1: "own", 2: "own", 3: "", 4: ""}

@@ -106,6 +106,10 @@ def license_spans(scanned: DataFrame, rows: list[tuple], slack: int = 8, share:
     hits = scanned.select("row", F.explode("hits").alias("h")).select("row", "h.p", "h.key")
     votes = hits.join(F.broadcast(positions), "key").withColumn("diagonal", F.col("p") - F.col("q"))
     by = ["row", "template", "label", "kind", "grams"]
+    # a k-gram that a notice repeats votes for several diagonals: only for the one with the most votes does it count, so that strays do not part neighbours
+    backed = votes.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("row", "template", "diagonal")))
+    best = Window.partitionBy("row", "template", "p").orderBy(F.desc("n"), "q")
+    votes = backed.withColumn("best", F.row_number().over(best)).filter("best = 1 or kind != 'notice'")
     diagonals = votes.groupBy(*by, "diagonal").agg(F.count(F.lit(1)).alias("votes"), F.min("p").alias("first"), F.max(F.col("p") + F.col("k")).alias("stop"))
     whole = diagonals.filter((F.col("kind") != "notice") & (F.col("votes") == F.col("grams"))).select("row", "label", "kind", "first", "stop", F.lit(1.0).alias("coverage"))
     order = Window.partitionBy("row", "template").orderBy("first", "diagonal")
