@@ -135,7 +135,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         got = texts.select("y", featured("words").alias("f"), F.filter("words", lambda w: w.isin(named)).alias("named")).toArrow()
     finally:
         texts.unpersist()
-    rows = [np.array(x, np.int64) for x in got["f"].to_pylist()]
+    lists = got["f"].combine_chunks()
+    values, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
+    rows = [values[a:b] for a, b in zip(ends, ends[1:], strict=False)]
     # terms that only a swap brings in get features of their own
     for group in kinds.values():
         for w in group:
