@@ -1,5 +1,10 @@
 import hashlib
+import math
 import random
+import re
+from collections import Counter
+
+import xxhash
 
 from tidewright.llm import fingerprints as fp
 from tidewright.llm.queries import op8_fingerprints
@@ -61,3 +66,15 @@ def test_defined_cases(spark, rough, empty):
     one = fp.edit_fingerprints(unique.filter("doc_id = 4")).collect()
     assert one[0].edited_sha256 == hashlib.sha256(b"Two wTwo ").hexdigest()
     assert fp.simhash(b" ,\n") == (0, 0)
+
+
+def test_fingerprint_bit_by_bit():
+    """The votes written out, one bit at a time."""
+    for text in ("One two, three; one two", "é1 b b b b a", "x", "the tide turns and the tide falls " * 9):
+        words = re.findall(r"[a-z0-9\x80-\U0010ffff]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text))
+        count = Counter(f"{a} {b}" for a, b in zip(["", *words], words, strict=False))
+        bits = ""
+        for k in range(128):
+            vote = sum((1 + math.log(n)) * (1 if xxhash.xxh3_128_intdigest(term.encode(), 42) >> (127 - k) & 1 else -1) for term, n in count.items())
+            bits += "1" if vote > 1e-5 else "0"
+        assert f"{int(bits, 2):032x}" == hexed(text)

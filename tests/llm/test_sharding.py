@@ -53,3 +53,11 @@ def test_defined_cases(rough, empty):
     assert len(got) == rough.count() and max(Counter(r.shard for r in got).values()) - min(Counter(r.shard for r in got).values()) <= 1
     assert len({(r.shard, r.slot) for r in got}) == len(got)
     assert sh.assign_shards(empty).count() == 0
+
+
+def test_rows_of_one_id_are_spread(spark):
+    docs = spark.range(0, 20_000, 1, 4).selectExpr("7L as doc_id", "cast(id as string) as text")
+    got = sh.assign_shards(docs, 16).collect()
+    assert len({(r.shard, r.slot) for r in got}) == 20_000 and {Counter(r.shard for r in got)[s] for s in range(16)} == {1250}
+    whole = docs.selectExpr("xxhash64(doc_id, crc32(cast(text as binary)), cast(octet_length(text) + 1 as bigint)) as h").selectExpr("pmod(shiftrightunsigned(h, 20), 4096) as cell").groupBy("cell").count()
+    assert whole.count() > 3500 and whole.agg({"count": "max"}).first()[0] < 30

@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 import pytest
 
@@ -70,3 +72,35 @@ def test_equal_texts_labelled_differently_count_as_toxic(spark):
     models = [tx.train(docs.repartition(n), labels.repartition(n)) for n in (1, 3, 8)]
     assert models[0] == models[1] == models[2]
     assert models[0].score({b"word3", b"common", b"tide"}) > models[0].score({b"word30", b"common", b"tide"}) or len(models[0].weights) == 0
+
+
+def test_fit_is_the_optimum():
+    """No step from the weights lowers the loss: the conditions of its minimum hold, written out from the definition."""
+    r = np.random.default_rng(2)
+    n, m = 120, 12
+    rows = [np.flatnonzero(r.random(m) < 0.3) for _ in range(n)]
+    y = np.array([float(r.random() < (0.8 if 0 in x else 0.2)) for x in rows])
+    swaps = [(np.array([1]), np.array([2])), (np.array([], np.int64), np.array([3])), (np.array([2]), np.array([1]))]
+    l1 = r.uniform(0.001, 0.02, m)
+    w, b = tx.fit(rows, y, swaps, m, l1, 0.5, steps=3000)
+    slope, at_b = np.zeros(m), 0.0
+    for x, t in zip(rows, y, strict=True):
+        p = 1 / (1 + math.exp(-(b + sum(w[j] for j in x))))
+        e = (p - t) * 0.5 / (y.sum() if t else n - y.sum())
+        at_b += e
+        for j in x:
+            slope[j] += e
+    for plus, minus in swaps:
+        change = sum(w[j] for j in plus) - sum(w[j] for j in minus)
+        for j in plus:
+            slope[j] += 2 * 0.5 / 3 * change
+        for j in minus:
+            slope[j] -= 2 * 0.5 / 3 * change
+    assert abs(at_b) < 1e-4 and 0 < (w != 0).sum() < m
+    assert all(abs(slope[j]) <= l1[j] + 1e-4 if w[j] == 0 else abs(slope[j] + np.sign(w[j]) * l1[j]) < 1e-4 for j in range(m))
+
+
+def test_score_by_hand():
+    model = tx.Model({b"bad": 2.0, b"good": -1.5}, -0.25)
+    assert model.score({b"bad", b"other"}) == pytest.approx(1 / (1 + math.exp(-1.75)))
+    assert model.score({b"bad", b"good"}) == pytest.approx(1 / (1 + math.exp(-0.25))) and model.score(set()) == pytest.approx(1 / (1 + math.exp(0.25)))
