@@ -101,12 +101,12 @@ def longest_copies(levels: list[tuple[int, DataFrame]]) -> DataFrame:
     while step > 1:
         new = begun.filter(F.col("length") == step)
         state, step = new if state is None else state.union(new), step // 2
-        # intervals without an open place are settled
-        state = state.join(state.filter("open").select(*interval).distinct(), interval, "left_semi")
+        # intervals without an open place are settled; what is joined is written out, so that Spark can split an interval that many places share
+        state = state.join(cut(state.filter("open").select(*interval).distinct()), interval, "left_semi")
         ends = at[step].select("row", F.col("i").alias("end"), F.col("r").alias("r2"))
         probed = cut(state.withColumn("end", F.col("i") + F.col("length")).join(ends, ["row", "end"], "left").drop("end"))
         split = probed.filter("r2 is not null").groupBy(*interval, "r2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*PLACE)).alias("behind")).filter("n > 1").drop("n")
-        met = cut(probed.join(split, [*interval, "r2"], "left"))
+        met = cut(probed.join(cut(split), [*interval, "r2"], "left"))
         goes = F.coalesce(F.col("open") & (F.col("behind") != F.struct(*PLACE)), F.lit(False))
         stay = met.select(*PLACE, "length", "first", (F.col("open") & ~goes).alias("open"))
         longer = met.filter("behind is not null").select(*PLACE, (F.col("length") + step).alias("length"), F.col("behind").alias("first"), goes.alias("open"))
