@@ -34,8 +34,6 @@ from .common import cut, hex64, space_words, utf8
 BITS = 64
 #: Shingles voted at once, so that a very long text needs bounded memory.
 CHUNK = 1 << 16
-#: Words whose vectors a task remembers.
-ROOM = 50_000
 
 
 def shingle_hashes(words: list[bytes], k: int, seed: int) -> list[int]:
@@ -182,16 +180,15 @@ def word_prints(docs: DataFrame, id_col: str, text_col: str, prints: int, seed:
     A word votes by the square root of its count: an edit that leaves four of five
     5-word shingles changes one word in fifty, and few of a fingerprint's bits.
     """
-    known: dict[bytes, np.ndarray] = {}
+    times, plus = (np.random.default_rng(seed).integers(0, 1 << 64, (2, prints), np.uint64) for _ in range(2))
 
-    def vector(word: bytes) -> np.ndarray:
-        v = known.get(word)
-        if v is None:
-            digests = b"".join(xxhash.xxh3_64_digest(word, seed + n) for n in range(prints))
-            v = np.unpackbits(np.frombuffer(digests, np.uint8)).view(np.int8)
-            if len(known) < ROOM:
-                known[word] = v
-        return v
+    def bits(words: list[bytes]) -> np.ndarray:
+        """A row of 64 bits for each fingerprint, for each word: its hash, mixed anew for each."""
+        mixed = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))[:, None]
+        for step, add, shift in zip(times | np.uint64(1), plus, (32, 29), strict=True):
+            mixed = mixed * step + add
+            mixed ^= mixed >> np.uint64(shift)
+        return np.unpackbits(mixed.view(np.uint8), axis=1)
 
     @F.arrow_udf("struct<node:binary,prints:array<long>>")
     def made(texts: pa.Array) -> pa.Array:
@@ -204,7 +201,7 @@ def word_prints(docs: DataFrame, id_col: str, text_col: str, prints: int, seed:
             for at in range(0, len(count), 1 << 12):
                 part = count[at : at + (1 << 12)]
                 weight = np.sqrt(np.array([n for _, n in part], np.float32))
-                votes += 2 * (weight @ np.array([vector(w) for w, _ in part]).astype(np.float32)) - weight.sum()
+                votes += 2 * (weight @ bits([w for w, _ in part]).astype(np.float32)) - weight.sum()
             found.append(np.packbits(votes > 1e-3).view(np.int64))
         return pa.StructArray.from_arrays([pa.array(nodes, pa.binary()), pa.array(found, pa.list_(pa.int64()))], ["node", "prints"])
 
@@ -329,7 +326,7 @@ def similar_rows(docs: DataFrame, id_col: str, text_col: str, k: int, threshold:
     return _grouped(rows.select("id", "raw", "node"), similar_links(docs, nodes, id_col, text_col, k, threshold, prints, few, seed))
 
 
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, threshold: float = 0.8, prints: int = 8, few: int = 8, seed: int = 42) -> DataFrame:
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, threshold: float = 0.8, prints: int = 12, few: int = 8, seed: int = 42) -> DataFrame:
     """(id_col, component_id): the group of each row; component_id is the smallest id reachable over pairs whose k-word shingles have the similarity.
 
     SimHash finds the pairs, the shingle sets decide. A pair is missed if it agrees in
@@ -341,7 +338,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 # ------------------------------------------------------------ one of each group
 
 
-def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float | None = 0.8, k: int | None = None, radius: int = 2, prints: int = 8, few: int = 8, seed: int = 42) -> DataFrame:
+def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float | None = 0.8, k: int | None = None, radius: int = 2, prints: int = 12, few: int = 8, seed: int = 42) -> DataFrame:
     """The rows of docs that stand for their groups, one of each: smallest id (nulls last), then smallest hash of the text.
 
     Groups by similarity of k-word shingles (k is 5 if not given); without a threshold,
