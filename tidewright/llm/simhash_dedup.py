@@ -236,7 +236,7 @@ def table_keys(print_: Column) -> Column:
 
 
 def similar_links(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, k: int, threshold: float, prints: int, few: int, seed: int) -> DataFrame:
-    """(a, b), a > b: verified links between nodes (node, pick, prints) that connect what all links between nodes of a bucket connect.
+    """(a, b), a > b: pairs of nodes (node, pick, prints) that connect what all verified links between nodes of a bucket connect: each with the smallest of its component.
 
     Nodes that agree in a covering table of one of their fingerprints share a bucket.
     All pairs of up to `few` nodes are compared. In a larger bucket each node is
@@ -262,8 +262,9 @@ def similar_links(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str,
         faced = large.join(lead.select("bucket", "leader", F.col("root").alias("other")), "bucket").filter("root != other").select(F.greatest("node", "leader").alias("a"), F.least("node", "leader").alias("b"))
         good = cut(similar(cut(pairs.toDF("a", "b").union(faced).distinct()), sets, threshold))
         if not good.isEmpty():
-            links = good if links is None else cut(links.union(good).distinct())
-            components = connected_components(links)
+            components = cut(connected_components(good if links is None else links.union(good)))
+            # from here on a component is a star: what held it together is not walked again
+            links = components.filter("node != root").select(F.col("node").alias("a"), F.col("root").alias("b"))
         if links is None:
             links, components = good, good.select(F.col("a").alias("node"), F.col("b").alias("root"))
         left = _open(large.drop("root", "n"), components)
