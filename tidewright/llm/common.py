@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources.tables import WRITTEN, clear, cut, remove, shared_path, table
 
-__all__ = ["WORD_BYTES", "WRITTEN", "alnum_words", "clear", "cut", "hex64", "remove", "rows_before", "shared_path", "space_words", "table", "utf8"]
+__all__ = ["WORD_BYTES", "WRITTEN", "alnum_words", "clear", "cut", "file_bytes", "hex64", "remove", "rows_before", "shared_path", "space_words", "table", "utf8"]
 
 #: Bytes of UTF-8 text: A-Z become a-z; a-z, 0-9 and whatever is outside ASCII stay; the rest parts words.
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -34,6 +34,14 @@ def hex64(column: str | Column) -> Column:
     return F.lpad(F.lower(F.hex(column)), 16, "0")
 
 
+def file_bytes(spark: SparkSession, path: str) -> bytes:
+    """A small file that its publisher keeps fixed in size, such as a vocabulary: a path with a scheme is read by Spark, another one from the driver's disk."""
+    if "://" in path:
+        return bytes(spark.read.format("binaryFile").load(path).select("content").first()[0])
+    with open(path, "rb") as file:
+        return file.read()
+
+
 def rows_before(counts: DataFrame, of: str) -> DataFrame:
     """(of, __bucket, __before): the rows of the same `of` in smaller buckets. counts: (of, __bucket, n), written out.
 
