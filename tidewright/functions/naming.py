@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 #: Namespaces that a flat name leaves out: fixed values.
 DEFAULT_SCHEMAS = ("dbo", "public", "")
@@ -47,3 +48,16 @@ def unique_names(names: list[str]) -> list[str]:
             free, k = f"{n}_{k}", k + 1
         out.append(free)
     return out
+
+
+def held_names(names: list[str], rule: Callable[[str], str]) -> dict[str, str]:
+    """The name that each of `names` is held under: what the rule makes of it, in lower case. Of those that fall together one keeps it, before all one that has it already; the others get numbers."""
+    out: dict[str, str] = {}
+    taken: set[str] = set()
+    for n in sorted(names, key=lambda n: (rule(n).lower() != n, n)):
+        k, free = 2, rule(n).lower()
+        while free in taken:
+            free, k = f"{rule(n).lower()}_{k}", k + 1
+        taken.add(free)
+        out[n] = free
+    return out

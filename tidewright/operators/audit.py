@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -45,13 +45,19 @@ def audit_columns(tables: dict[str, DataFrame], schema: str = "dbo") -> DataFram
     return next(iter(tables.values())).sparkSession.createDataFrame(rows, COLUMNS)
 
 
+def digest(column: Column, kind: T.DataType) -> Column:
+    """Two 64-bit hashes that tell values apart, null for null. Lists, maps and structs count by their JSON text: their own hash skips nulls inside."""
+    whole = F.to_json(F.struct(column.alias("v")), {"ignoreNullFields": "false"}) if isinstance(kind, (T.ArrayType, T.MapType, T.StructType, T.VariantType)) else column
+    return F.when(column.isNotNull(), F.struct(F.xxhash64(F.lit(1), whole).alias("a"), F.xxhash64(F.lit(2), whole).alias("b")))
+
+
 def value_counts(df: DataFrame, name: str) -> DataFrame:
     """(table_name, column_name, n_rows, n_values, n_distinct, longest) of every column, the table read once. Values are told apart by digests; longest: characters of the longest text, null for other types."""
     text = [isinstance(f.dataType, T.StringType) for f in df.schema]
-    cells = F.array(*[F.struct(F.lit(n).alias("c"), F.sha2(F.col(f"`{f.name}`").cast("string"), 256).alias("h"), (F.length(F.col(f"`{f.name}`")) if t else F.lit(None).cast("int")).alias("l")) for n, (f, t) in enumerate(zip(df.schema, text, strict=True))])
+    cells = F.array(*[F.struct(F.lit(n).alias("c"), digest(F.col(f"`{f.name}`"), f.dataType).alias("h"), (F.length(F.col(f"`{f.name}`")) if t else F.lit(None).cast("int")).alias("l")) for n, (f, t) in enumerate(zip(df.schema, text, strict=True))])
     # a value's rows are counted before the values are: a hot value is one row of each task
-    groups = df.select(F.explode(cells).alias("x")).groupBy("x.c", "x.h").agg(F.count(F.lit(1)).alias("n"), F.max("x.l").alias("l"))
-    counted = groups.groupBy("c").agg(F.sum("n").alias("n_rows"), F.coalesce(F.sum(F.when(F.col("h").isNotNull(), F.col("n"))), F.lit(0)).alias("n_values"), F.count("h").alias("n_distinct"), F.max("l").cast("long").alias("longest"))
+    groups = df.select(F.explode(cells).alias("x")).groupBy("x.c", "x.h.a", "x.h.b").agg(F.count(F.lit(1)).alias("n"), F.max("x.l").alias("l"))
+    counted = groups.groupBy("c").agg(F.sum("n").alias("n_rows"), F.coalesce(F.sum(F.when(F.col("a").isNotNull(), F.col("n"))), F.lit(0)).alias("n_values"), F.count("a").alias("n_distinct"), F.max("l").cast("long").alias("longest"))
     return counted.select(F.lit(name).alias("table_name"), F.element_at(F.array(*[F.lit(c) for c in df.columns]), F.col("c") + 1).alias("column_name"), "n_rows", "n_values", "n_distinct", "longest")
 
 

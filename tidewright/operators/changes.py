@@ -36,17 +36,33 @@ def key_columns(schema: T.StructType, declared: tuple[str, ...] = ()) -> list[st
     raise ValueError("no key is declared, and no column has a key's name")
 
 
+def told(events: DataFrame, column: str, fields: str) -> DataFrame:
+    """(seq, op, table_name, key, data, raw, problem): all events of a change stream, read from JSON.
+
+    problem: why one can't be applied. An update without its document names only what
+    changed, so it can't stand for the row. Drops, creates and the like have no op and
+    no problem.
+    """
+    kind = f"_id struct<_data:string>, operationType string, ns struct<coll:string>, documentKey struct<_id:string>, fullDocument struct<{fields}>"
+    read = events.select(F.col(column).alias("raw"), F.from_json(column, kind).alias("e"))
+    op = F.element_at(F.create_map(*[F.lit(x) for kv in STREAM_OPERATIONS.items() for x in kv]), F.col("e.operationType"))
+    rows = read.select(F.col("e._id._data").alias("seq"), op.alias("op"), F.col("e.ns.coll").alias("table_name"), F.col("e.documentKey._id").alias("key"), F.when(op != "DELETE", F.col("e.fullDocument")).alias("data"), "raw", F.col("e.operationType").alias("__kind"))
+    problem = (
+        F.when(F.try_parse_json("raw").isNull() | F.col("__kind").isNull(), "the event can't be read")
+        .when(F.col("op").isNotNull() & F.col("seq").isNull(), "no position")
+        .when((F.col("op") != "DELETE") & F.col("data").isNull(), "no document")
+        .when((F.col("op") == "DELETE") & F.col("key").isNull(), "no key")
+    )
+    return rows.withColumn("problem", problem).drop("__kind")
+
+
 def document_changes(events: DataFrame, column: str, fields: str, after: str | None = None) -> DataFrame:
     """(seq, op, table_name, key, data): row changes from JSON events of a change stream, those up to the token `after` left out.
 
     fields: DDL of the documents' fields. A replaced document is an update; a delete
-    has a key and no data; drops, creates and broken events are no row changes.
+    has a key and no data; drops, creates and events with a problem are no row changes.
     """
-    kind = f"_id struct<_data:string>, operationType string, ns struct<coll:string>, documentKey struct<_id:string>, fullDocument struct<{fields}>"
-    read = events.select(F.from_json(column, kind).alias("e"))
-    op = F.element_at(F.create_map(*[F.lit(x) for kv in STREAM_OPERATIONS.items() for x in kv]), F.col("e.operationType"))
-    rows = read.select(F.col("e._id._data").alias("seq"), op.alias("op"), F.col("e.ns.coll").alias("table_name"), F.col("e.documentKey._id").alias("key"), F.when(op != "DELETE", F.col("e.fullDocument")).alias("data"))
-    rows = rows.filter(F.col("op").isNotNull())
+    rows = told(events, column, fields).filter("op is not null and problem is null").drop("raw", "problem")
     return rows if after is None else rows.filter(F.col("seq") > after)
 
 
@@ -56,10 +72,20 @@ def log_changes(log: DataFrame, after: bytes | None = None) -> DataFrame:
         log = log.filter(F.col("`__$start_lsn`") > F.lit(after))
     op = F.element_at(F.create_map(*[F.lit(x) for kv in LOG_OPERATIONS.items() for x in kv]), F.col("`__$operation`"))
     # of an update's two images only the one after counts
-    rows = log.filter("`__$operation` != 3").select("*", op.alias("op"), F.concat(F.hex("`__$start_lsn`"), F.hex("`__$seqval`")).alias("seq"))
+    rows = log.filter("`__$operation` != 3").select("*", op.alias("op"), log_position().alias("seq"))
     return rows.drop(*[c for c in rows.columns if c.startswith("__$")])
 
 
+def log_position() -> Column:
+    """A log's position as text: hexadecimal, so that texts sort as the bytes do."""
+    return F.concat(F.hex("`__$start_lsn`"), F.hex("`__$seqval`"))
+
+
+def log_bytes(position: str) -> bytes:
+    """The bytes that a position's text stands for."""
+    return bytes.fromhex(position)
+
+
 def change_time(schema: T.StructType) -> str | None:
     """The column that tells when a row changed: a known name, else the first date or time; None: the table can't be polled."""
     times = [f.name for f in schema if isinstance(f.dataType, (T.DateType, T.TimestampType, T.TimestampNTZType))]
@@ -67,11 +93,26 @@ def change_time(schema: T.StructType) -> str | None:
     return next((known[n] for n in TIME_NAMES if n in known), times[0] if times else None)
 
 
+def has_map(kind: T.DataType) -> bool:
+    """Whether values of the type have no order."""
+    if isinstance(kind, T.ArrayType):
+        return has_map(kind.elementType)
+    if isinstance(kind, T.StructType):
+        return any(has_map(f.dataType) for f in kind)
+    return isinstance(kind, (T.MapType, T.VariantType))
+
+
 def latest(changes: DataFrame, key: list[str], seq: list[str]) -> DataFrame:
-    """The last change of each key. An aggregate rather than a window: each task sends on one row a key, so a hot key costs no large partition."""
+    """The last change of each key; of several at one position the largest. An aggregate rather than a window: each task sends on one row a key, so a hot key costs no large partition."""
     rest = [c for c in changes.columns if c not in (*key, *seq)]
-    best = changes.groupBy(*key).agg(F.max(F.struct(*seq, *rest)).alias("c"))
-    return best.select(*key, *[F.col(f"c.{c}").alias(c) for c in (*seq, *rest)])
+    whole = F.struct(*seq, *[F.col(f"`{c}`") for c in rest])
+    if any(has_map(changes.schema[c].dataType) for c in rest):
+        # maps have no order: their JSON text has
+        text = F.to_json(F.struct(*[F.col(f"`{c}`") for c in rest]))
+        best = changes.groupBy(*key).agg(F.max_by(whole, F.struct(*seq, text.alias("__text"))).alias("c"))
+    else:
+        best = changes.groupBy(*key).agg(F.max(whole).alias("c"))
+    return best.select(*key, *[F.col(f"c.`{c}`").alias(c) for c in (*seq, *rest)])
 
 
 def apply_changes(target: DataFrame, changes: DataFrame, key: list[str], seq: list[str], op: str = "op") -> DataFrame:
@@ -101,16 +142,23 @@ def row_filter(before: str | Column, after: str | Column) -> Column:
     return F.coalesce(F.map_from_entries(F.when(F.size(known) > 0, F.slice(known, 1, 1)).otherwise(F.slice(held, 1, 2))), F.create_map().cast("map<string,string>"))
 
 
+def trigger_told(log: DataFrame, fields: str) -> DataFrame:
+    """(seq, op, schema_name, table_name, data, changed_at, raw, problem): all rows of the log that triggers fill (id, schema_name, table_name, operation, row_data, changed_at)."""
+    payload = F.try_parse_json("row_data")
+    first = F.coalesce(F.try_variant_get(payload, "$[0]", "variant"), F.when(F.schema_of_variant(payload).startswith("OBJECT"), payload))
+    data = F.from_json(F.to_json(first), f"struct<{fields}>")
+    rows = log.select(F.col("id").alias("seq"), F.col("operation").alias("op"), "schema_name", "table_name", data.alias("data"), "changed_at", F.col("row_data").alias("raw"))
+    problem = F.when(F.col("seq").isNull(), "no position").when(F.coalesce(~F.col("op").isin("INSERT", "UPDATE", "DELETE"), F.lit(True)), "unknown operation").when(F.col("data").isNull(), "the payload can't be read")
+    return rows.withColumn("problem", problem)
+
+
 def trigger_changes(log: DataFrame, fields: str, after: int = 0) -> DataFrame:
-    """(seq, op, schema_name, table_name, data, changed_at): row changes from the log that triggers fill (id, schema_name, table_name, operation, row_data, changed_at), those up to the id `after` left out.
+    """(seq, op, schema_name, table_name, data, changed_at): row changes from the log that triggers fill, those up to the id `after` left out.
 
     row_data: the row as JSON, or a list of rows, of which the first counts. fields: DDL
     of the data. Empty and broken payloads give null data.
     """
-    payload = F.try_parse_json("row_data")
-    first = F.coalesce(F.try_variant_get(payload, "$[0]", "variant"), F.when(F.schema_of_variant(payload).startswith("OBJECT"), payload))
-    data = F.from_json(F.to_json(first), f"struct<{fields}>")
-    return log.filter(F.col("id") > after).select(F.col("id").alias("seq"), F.col("operation").alias("op"), "schema_name", "table_name", data.alias("data"), "changed_at")
+    return trigger_told(log.filter(F.col("id") > after), fields).drop("raw", "problem")
 
 
 def source_kind(columns: list[str]) -> str:
@@ -123,8 +171,14 @@ def source_kind(columns: list[str]) -> str:
     return "stream" if "event" in names else "poll"
 
 
-def captured(source: DataFrame, fields: str = "", after: str | int | bytes | None = None) -> DataFrame:
-    """The changes of a source of any kind, from its checkpoint `after` on. A polled table has inserts only, ordered by its change time."""
+def later(at: str, key: str, after: tuple) -> Column:
+    """Rows behind a position (time, key): those of its time come in the order of the key. The plain bound is what a scan can skip files by."""
+    time, last = after
+    return (F.col(f"`{at}`") >= time) & ((F.col(f"`{at}`") > time) | (F.col(f"`{key}`") > last))
+
+
+def captured(source: DataFrame, fields: str = "", after: str | int | bytes | tuple | None = None, key: str | None = None) -> DataFrame:
+    """The changes of a source of any kind, from its checkpoint `after` on. A polled table has inserts only, ordered by its change time, and by its key where one is named: its checkpoint is then (time, key)."""
     kind = source_kind(source.columns)
     if kind == "log":
         return log_changes(source, after)
@@ -135,8 +189,12 @@ def captured(source: DataFrame, fields: str = "", after: str | int | bytes | Non
     at = change_time(source.schema)
     if at is None:
         raise ValueError("no column tells when a row changed")
-    rows = source if after is None else source.filter(F.col(f"`{at}`") > F.lit(after).cast(source.schema[at].dataType))
-    return rows.select("*", F.lit("INSERT").alias("op"), F.col(f"`{at}`").alias("seq"))
+    rows = source
+    if after is not None:
+        when = F.lit(after[0] if key else after).cast(source.schema[at].dataType)
+        rows = source.filter(later(at, key, (when, F.lit(after[1]).cast(source.schema[key].dataType))) if key else F.col(f"`{at}`") > when)
+    seq = F.struct(F.col(f"`{at}`").alias("at"), F.col(f"`{key}`").alias("key")) if key else F.col(f"`{at}`")
+    return rows.select("*", F.lit("INSERT").alias("op"), seq.alias("seq"))
 
 
 def operation(event_type: Column) -> Column:

@@ -165,10 +165,10 @@ def xml_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nodes.select("conv_id", F.col("n._turn").alias("turn"), F.col("n.role").alias("role"))
 
 
-@query("""SELECT conv_id, turn, word, count(*) AS n, role || string_agg(word, '' ORDER BY k) AS whole FROM (SELECT conv_id, turn, role, word, k FROM (SELECT conv_id, turn, role, unnest(string_split(text, ' ')[1:3]) AS word, unnest(generate_series(1, least(3, len(string_split(text, ' '))))) AS k FROM conversations) WHERE regexp_full_match(word, '[a-z]+')) GROUP BY conv_id, turn, role, word""")
+@query("""SELECT conv_id, turn, word, count(*) AS n, role || string_agg(word, '' ORDER BY k) AS whole FROM (SELECT conv_id, turn, role, word, k FROM (SELECT conv_id, turn, role, unnest(string_split(text, ' ')) AS word, unnest(generate_series(1, len(string_split(text, ' ')))) AS k FROM conversations) WHERE regexp_full_match(word, '[a-z]+')) GROUP BY conv_id, turn, role, word""")
 def xml_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nodes of nodes of XML whose names have a prefix; the text of a node is that of all nodes below it."""
-    words = F.filter(F.slice(F.split("text", " "), 1, 3), lambda w: w.rlike("^[a-z]+$"))
+    words = F.filter(F.split("text", " "), lambda w: w.rlike("^[a-z]+$"))
     turn = F.concat(F.lit('<c:turn n="'), F.col("turn").cast("string"), F.lit('"><c:role>'), "role", F.lit("</c:role>"), F.array_join(F.transform(words, lambda w: F.concat(F.lit("<c:word>"), w, F.lit("</c:word>"))), ""), F.lit("</c:turn>"))
     docs = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_join(F.collect_list(turn), "").alias("x"))
     xml = docs.select("conv_id", F.concat(F.lit('<c:conversation xmlns:c="urn:c">'), "x", F.lit("</c:conversation>")).alias("x"))

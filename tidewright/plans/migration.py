@@ -8,13 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.naming import DEFAULT_SCHEMAS, flat_name, quote, sanitized, table_name
+from ..functions.naming import DEFAULT_SCHEMAS, flat_name, held_names, parse_table, quote, sanitized, table_name
 from ..functions.types import create_table as create_table_text
 from ..functions.types import spark_type
 from ..operators.catalog_audit import audit_tables
 from ..operators.changes import apply_changes
 from ..operators.documents import document_rows, infer_fields, read_collection, write_collection
-from ..sources.tables import TABLES, copy_table, cut, shared_path, table
+from ..sources.tables import TABLES, copy_table, cut, remove, shared_path, table
 from .registry import query
 
 REPORT = "step string, object_name string, status string, rows_migrated long, error string"
@@ -48,18 +48,26 @@ def deploy_views(spark: SparkSession, views: dict[str, str]) -> list[tuple]:
     return rows
 
 
+def flat(name: str, schema: str = "dbo") -> str:
+    """The name of a table in a flat namespace: that of its schema goes before it, unless it is the default one."""
+    return flat_name(*parse_table(name, schema))
+
+
 def migrate(spark: SparkSession, source: dict[str, DataFrame], target: str, mode: str = "full", replace: bool = False, views: dict[str, str] | None = None) -> DataFrame:
     """The report of a move of all tables of source into the database target.
 
+    Names may have a schema before a dot; those that fall together, as Orders and orders,
+    are told apart by numbers.
+
     schema: empty tables; data: tables with their rows; full: views too. A table that
     fails is a row of the report, and the others go on.
     """
     if mode not in MODES:
         raise ValueError(f"mode: one of {', '.join(MODES)}")
     create_database(spark, target, replace)
-    rows = []
+    rows, held = [], held_names(list(source), flat)
     for name, df in sorted(source.items()):
-        full = f"{target}.{name.lower()}"
+        full = f"{target}.`{held[name]}`"
         if mode == "schema":
             rows.append(("schema", name, create_table(spark, full, df.schema), None, None))
         else:
@@ -99,9 +107,9 @@ def migrate_documents(spark: SparkSession, collections: dict[str, DataFrame], ta
     is a row of the report, and the others go on.
     """
     create_database(spark, target)
-    rows = []
+    rows, names = [], held_names(list(collections), sanitized)
     for name, documents in sorted(collections.items()):
-        held = sanitized(name)
+        held = names[name]
         try:
             fields = [(r.path, r.inferred) for r in infer_fields(documents, column).collect()]  # one row a field
         except Exception as e:  # one collection's failure is a row of the report
@@ -117,13 +125,13 @@ def migrate_documents(spark: SparkSession, collections: dict[str, DataFrame], ta
 
 def export_documents(spark: SparkSession, tables: dict[str, DataFrame], folder: str, schema: str = "dbo") -> DataFrame:
     """(table_name, collection_name, status, documents, error): tables as collections, one folder of JSON lines each."""
-    rows = []
+    rows, names = [], held_names(list(tables), lambda n: flat(n, schema))
     for name, df in sorted(tables.items()):
-        held = flat_name(schema, name)
+        held = names[name]
         try:
-            rows.append((f"{schema}.{name}", held, "success", write_collection(df, f"{folder}/{held}"), None))
+            rows.append((".".join(parse_table(name, schema)), held, "success", write_collection(df, f"{folder}/{held}"), None))
         except Exception as e:  # one table's failure is a row of the report
-            rows.append((f"{schema}.{name}", "", "failed", 0, str(e)[:500]))
+            rows.append((".".join(parse_table(name, schema)), "", "failed", 0, str(e)[:500]))
     return spark.createDataFrame(rows, "table_name string, collection_name string, status string, documents long, error string")
 
 
@@ -214,6 +222,7 @@ def documents_to_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
         return cut(spark.table(f"{target}.events"))
     finally:
         spark.sql(f"DROP DATABASE IF EXISTS `{target}` CASCADE")
+        remove(spark, folder)
 
 
 @query("SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS o_orderdate, o_orderpriority FROM orders")
@@ -221,7 +230,10 @@ def tables_to_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as a collection, and the collection as rows again."""
     folder = shared_path(spark, "export")
     orders = table(spark, sf_dir, "orders")
-    if failed := export_documents(spark, {"orders": orders}, folder).filter("status != 'success'").collect():
-        raise RuntimeError(str(failed))
-    read = read_collection(spark, f"{folder}/orders").select(F.from_json("document", orders.schema).alias("d")).select("d.*")
-    return read.withColumn("o_orderdate", F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss"))
+    try:
+        if failed := export_documents(spark, {"orders": orders}, folder).filter("status != 'success'").collect():
+            raise RuntimeError(str(failed))
+        read = read_collection(spark, f"{folder}/orders").select(F.from_json("document", orders.schema).alias("d")).select("d.*")
+        return cut(read.withColumn("o_orderdate", F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss")))
+    finally:
+        remove(spark, folder)

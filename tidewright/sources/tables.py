@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 
 from py4j.protocol import Py4JError
@@ -37,22 +38,31 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-#: Paths that cut() has written, in order.
-WRITTEN: list[str] = []
+class Written(threading.local):
+    """Paths that cut() has written in this thread, in order: what one thread clears is never another one's."""
+
+    def __init__(self):
+        self.paths: list[str] = []
+
+    def __len__(self) -> int:
+        return len(self.paths)
+
+
+WRITTEN = Written()
 
 
 def cut(df: DataFrame) -> DataFrame:
     """df as a table written to the shared folder: its lineage ends there, a lost executor costs no recomputation, and nothing is computed twice."""
     path = shared_path(df.sparkSession, "cut")
-    WRITTEN.append(path)
+    WRITTEN.paths.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def clear(spark: SparkSession, since: int) -> None:
-    """Deletes what cut() wrote after the first `since` tables. Only for tables that nothing will read again."""
+    """Deletes what cut() wrote in this thread after the first `since` tables. Only for tables that nothing will read again."""
     while len(WRITTEN) > since:
-        remove(spark, WRITTEN.pop())
+        remove(spark, WRITTEN.paths.pop())
 
 
 def ordered_scan(df: DataFrame, order: list[str] | None = None, as_text: tuple[str, ...] = ()) -> DataFrame:
@@ -112,13 +122,30 @@ def write_jdbc(df: DataFrame, options: dict[str, str], name: str, mode: str = "a
     df.write.format("jdbc").options(**options).option("dbtable", name).mode(mode).save()
 
 
+def beside(target: str) -> str:
+    """A new name in the database of the table `target`."""
+    return ".".join(f"`{p}`" for p in f"{target.replace('`', '')}__{uuid.uuid4().hex[:8]}".split("."))
+
+
+def swap_in(spark: SparkSession, made: str, target: str) -> None:
+    """Puts the table `made` in the place of target. The old rows are set aside and dropped last: if the new ones can't take the name, the old ones get it back."""
+    aside = beside(target)
+    spark.sql(f"ALTER TABLE {target} RENAME TO {aside}")
+    try:
+        spark.sql(f"ALTER TABLE {made} RENAME TO {target}")
+    except Exception:
+        spark.sql(f"ALTER TABLE {aside} RENAME TO {target}")
+        raise
+    spark.sql(f"DROP TABLE {aside}")
+
+
 def copy_table(df: DataFrame, target: str, mode: str = "overwrite", binary_as_hex: bool = False) -> dict:
     """Writes df as a catalog table, names in lower case; the result row of the copy.
 
     overwrite: the rows are written under a new name, and the table is swapped for them
     when all are there: a copy that fails leaves the table as it was.
     """
-    spark, name, made = df.sparkSession, target.split(".")[-1], f"{target}__{uuid.uuid4().hex[:8]}"
+    spark, name, made = df.sparkSession, target.split(".")[-1].strip("`"), beside(target)
     try:
         columns = [(F.hex(f"`{f.name}`") if binary_as_hex and isinstance(f.dataType, T.BinaryType) else F.col(f"`{f.name}`")).alias(f.name.lower()) for f in df.schema]
         observed = Observation()
@@ -126,8 +153,7 @@ def copy_table(df: DataFrame, target: str, mode: str = "overwrite", binary_as_he
         if mode == "overwrite" and spark.catalog.tableExists(target):
             try:
                 rows.write.saveAsTable(made)
-                spark.sql(f"DROP TABLE {target}")
-                spark.sql(f"ALTER TABLE {made} RENAME TO {target}")
+                swap_in(spark, made, target)
             finally:
                 spark.sql(f"DROP TABLE IF EXISTS {made}")
         else:
