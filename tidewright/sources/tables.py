@@ -34,8 +34,45 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a folder of the shared file system; nothing happens where there is none."""
+    where, files = _held(spark, path)
+    files.delete(where, True)
+
+
+def _held(spark: SparkSession, path: str):
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def listed(spark: SparkSession, path: str) -> list[str]:
+    """The names in a folder of the shared file system; none where there is no such folder."""
+    where, files = _held(spark, path)
+    return [s.getPath().getName() for s in files.listStatus(where)] if files.exists(where) else []
+
+
+def rename(spark: SparkSession, path: str, to: str) -> bool:
+    """Gives a folder another name, if no folder has it."""
+    (where, files), there = _held(spark, path), _held(spark, to)[0]
+    return not files.exists(there) and files.rename(where, there)
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small file of the shared file system, read by the driver."""
+    where, files = _held(spark, path)
+    stream = files.open(where)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file in the shared file system, written by the driver; an error if it is there."""
+    where, files = _held(spark, path)
+    stream = files.create(where, False)
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
 
 
 class Written(threading.local):
