@@ -3,6 +3,7 @@ import random
 import re
 import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidewright.llm import secret_scan as ss
@@ -83,3 +84,38 @@ def test_many_finds_and_very_long_tokens(spark):
     assert time.monotonic() - began < 60
     assert [tuple(x) for x in got[1].base] == base(text) and len(got[1].spans) == 3 * 32_000
     assert [tuple(x) for x in got[2].spans] == [(0, 3, "markov", 2_000_000)] and got[3].spans == []
+
+
+def sampled_words(spark, rows, **more):
+    """The words that each model learned from."""
+    seen, real = [], ss._bigrams
+    ss._bigrams = lambda words: seen.append({r.w for r in words.collect()}) or real(words)
+    try:
+        ss.train_models(spark.createDataFrame(rows, "doc_id long, text string"), **more)
+    finally:
+        ss._bigrams = real
+    return seen
+
+
+@pytest.mark.parametrize("ids", ["none", "one"])
+def test_the_sample_is_bounded_by_rows_of_id_and_text(spark, ids):
+    """Texts that share an id, or have none, bring in no more than `sample`; a text with a secret is never ordinary."""
+    rows = [(None if ids == "none" else 7, f"plain words number{i} here") for i in range(3000)] + [(None if ids == "none" else 7, 'password = "abc123secretvalue"')]
+    random, upper, ordinary = sampled_words(spark, rows, sample=5)
+    assert random == {"abc123secretvalue"} and upper == {"ABC123SECRETVALUE"}
+    assert len({w for w in ordinary if w.startswith("number")}) == 5 and "password" not in ordinary
+
+
+def test_recall_of_every_alphabet(spark, sf_dir):
+    """Made tokens of each kind, by the models of the documents: nine of ten secrets are found, identifiers of their words are not."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    models, r = ss.train_models(docs), random.Random(9)
+    kinds = {"hex": ("0123456789abcdef", 24), "HEX": ("0123456789ABCDEF", 24), "base64": ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", 24), "base36": ("abcdefghijklmnopqrstuvwxyz0123456789", 32), "BASE36": ("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", 32)}
+    words = sorted({w for (t,) in docs.select("text").collect() for w in re.findall(r"[a-z]{2,}", t or "")})
+    name = {"snake": "_".join, "joined": "".join, "path": "/".join, "camel": lambda ws: ws[0] + "".join(w.title() for w in ws[1:])}
+    made = [(k, "".join(r.choices(a, k=n))) for k, (a, n) in kinds.items() for _ in range(400)] + [(k, t) for k, f in name.items() for _ in range(400) if len(t := f(r.choices(words, k=5))) >= 20]
+    df = spark.createDataFrame(made, "kind string, w string")
+    found = df.select("kind", (ss.likelihood_ratio(ss.F.col("w"), models) >= 12.0).cast("double").alias("f")).groupBy("kind").agg(ss.F.avg("f").alias("share")).collect()
+    share = {x.kind: x.share for x in found}
+    assert all(share[k] >= 0.9 for k in kinds), share
+    assert all(share[k] <= 0.01 for k in name), share

@@ -1,15 +1,18 @@
-"""Secret scans: patterns, and two character Markov models compared by log-likelihood ratio.
+"""Secret scans: patterns, and character Markov models compared by log-likelihood ratio.
 
-One first-order model is trained on random strings (what the patterns found in
-labelled sample texts), the other on ordinary identifiers and words (of sample texts
-without a find). A long token is a secret when its characters are likelier by a margin
-under the first. DataFrame functions only; the scan itself needs no shuffle, and its
-steps grow with the characters of a text and, but for a logarithm, with its finds.
+First-order models of random strings stand against one of ordinary identifiers and words
+(of labelled sample texts without a find). The random ones are trained on what the patterns
+found in labelled sample texts, in both cases of letters; the alphabets that the patterns
+allow have one each, as a sample need not hold every kind of secret. A long token is a
+secret when its characters are likelier by a margin under one of them. DataFrame functions
+only; the scan itself needs no shuffle, and its steps grow with the characters of a text
+and, but for a logarithm, with its finds.
 
 Defined cases: a null text counts as empty; a text without finds gets zero counts,
 the digest of the empty string and empty spans; repeated rows are each scanned;
 characters outside the models' alphabet part tokens; without any labelled find the
-random model is uniform.
+trained random model is uniform; the sample takes rows by id and text, so that ids which
+repeat, or are null, bring in no more than others.
 """
 
 from __future__ import annotations
@@ -29,6 +32,8 @@ BASE = (
 )
 #: The models' characters: fixed values.
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
+#: Alphabets that secrets are drawn from evenly, where no sample says otherwise: those of the patterns.
+EVEN = ("0123456789abcdef", "0123456789ABCDEF", "abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-")
 TOKEN = r"[A-Za-z0-9+/_=-]"
 SPAN = "struct<start:int,kind_no:int,kind:string,stop:int>"
 FOUND = "struct<start:int,kind_no:int,kind:string,stop:int,find:string>"
@@ -94,58 +99,71 @@ def _bigrams(words: DataFrame) -> dict[str, int]:
     return {r.p: r.n for r in pairs.groupBy("p").agg(F.count(F.lit(1)).alias("n")).collect()}
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = 2000, smooth: float = 0.5, flat: float = 0.2) -> list[float]:
-    """Log-likelihood ratios of all character pairs, row by row of the alphabet.
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = 2000, smooth: float = 0.5, flat: float = 0.02) -> list[float]:
+    """The first of train_models(): what the sample's own finds say."""
+    return train_models(docs, id_col, text_col, sample, smooth, flat)[0]
 
-    Labels: in at most `sample` texts with a pattern find and `sample` without (those
-    whose id hashes lowest), finds are random strings and other words identifiers.
-    flat: weight of the uniform model mixed into both, so that a kind of random
-    string that the sample lacks keeps some likelihood.
+
+def train_models(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = 2000, smooth: float = 0.5, flat: float = 0.02) -> list[list[float]]:
+    """For each random model the log-likelihood ratios of all character pairs, row by row of the alphabet.
+
+    Labels: in at most `sample` rows with a pattern find and `sample` without (those
+    whose id hashes lowest, then whose text does), finds are random strings and other words
+    identifiers. flat: weight of the uniform model mixed into the trained ones.
     """
-    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).withColumn("th", F.xxhash64("t"))
     # every find has one of these
-    marked = cut(texts.select("id", F.xxhash64("id").alias("h"), F.col("t").rlike("|".join(f"(?:{p})" for _, p, _, _ in BASE)).alias("found")))
-    lowest = [marked.filter(F.col("found") == x).orderBy("h", "id").limit(sample) for x in (True, False)]
-    # 2 * sample ids at most; their texts come by a join, not through the sort
-    picked = texts.join(F.broadcast(lowest[0].union(lowest[1]).select(F.col("id").alias("picked"), "found").distinct()), F.col("id").eqNullSafe(F.col("picked")))
-    random = _bigrams(_base_secrets(picked.filter("found")))
+    marked = cut(texts.select("id", "th", F.xxhash64("id").alias("h"), F.col("t").rlike("|".join(f"(?:{p})" for _, p, _, _ in BASE)).alias("found")))
+    lowest = [marked.filter(F.col("found") == x).orderBy("h", "id", "th").limit(sample) for x in (True, False)]
+    # 2 * sample rows at most; their texts come by a join, not through the sort
+    rows = lowest[0].union(lowest[1]).select(F.col("id").alias("picked"), F.col("th").alias("picked_th"), "found").distinct()
+    picked = texts.join(F.broadcast(rows), F.col("id").eqNullSafe(F.col("picked")) & (F.col("th") == F.col("picked_th"))).select("t", "found")
+    secrets = _base_secrets(picked.filter("found"))
+    random = _bigrams(secrets)
+    upper = _bigrams(secrets.select(F.upper("w").alias("w")).filter(F.lower("w") != F.col("w")))
     words = picked.filter(~F.col("found")).select(F.explode(F.regexp_extract_all("t", F.lit(f"{TOKEN}+"), F.lit(0))).alias("w")).filter(F.length("w") >= 4).distinct()
-    ordinary = _bigrams(words)
     size = len(ALPHABET)
 
-    def log_share(counts: dict[str, int], a: str, b: str, row: float) -> float:
-        return math.log((1 - flat) * (counts.get(a + b, 0) + smooth) / (row + smooth * size) + flat / size)
+    def trained(counts: dict[str, int]) -> list[float]:
+        """Log probabilities of the second character of each pair."""
+        out = []
+        for a in ALPHABET:
+            row = sum(counts.get(a + b, 0) for b in ALPHABET)
+            out += [math.log((1 - flat) * (counts.get(a + b, 0) + smooth) / (row + smooth * size) + flat / size) for b in ALPHABET]
+        return out
 
-    out = []
-    for a in ALPHABET:
-        rows = [sum(c.get(a + b, 0) for b in ALPHABET) for c in (random, ordinary)]
-        out += [log_share(random, a, b, rows[0]) - log_share(ordinary, a, b, rows[1]) for b in ALPHABET]
-    return out
+    ordinary = trained(_bigrams(words))
+    even = [[math.log((1 - flat / 4) / len(own) * (b in own) + flat / 4 / size) for _ in ALPHABET for b in ALPHABET] for own in EVEN]
+    return [[x - y for x, y in zip(model, ordinary, strict=True)] for model in (trained(random), trained(upper), *even)]
 
 
-def likelihood_ratio(token: Column, ratios: list[float]) -> Column:
-    """The sum of the ratios of the token's character pairs."""
-    table = F.array(*[F.lit(round(x, 6)) for x in ratios])
+def likelihood_ratio(token: Column, ratios: list[list[float]]) -> Column:
+    """The largest of the sums of each model's ratios over the token's character pairs."""
+    tables = [F.array(*[F.lit(round(x, 6)) for x in model]) for model in ratios]
     # the place of each character with that of the one before it (0: none)
+    at = lambda acc, c: F.greatest(F.lit(1), (acc["last"] - 1) * len(ALPHABET) + F.instr(F.lit(ALPHABET), c))
     pair = lambda acc, c: F.struct(
-        (acc["sum"] + F.when(acc["last"] > 0, F.element_at(table, F.greatest(F.lit(1), (acc["last"] - 1) * len(ALPHABET) + F.instr(F.lit(ALPHABET), c)))).otherwise(0.0)).alias("sum"),
+        *[(acc[f"s{n}"] + F.when(acc["last"] > 0, F.element_at(t, at(acc, c))).otherwise(0.0)).alias(f"s{n}") for n, t in enumerate(tables)],
         F.instr(F.lit(ALPHABET), c).alias("last"),
     )
-    return F.aggregate(characters(token), F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("last")), pair, lambda acc: acc["sum"])
+    start = F.struct(*[F.lit(0.0).alias(f"s{n}") for n in range(len(tables))], F.lit(0).alias("last"))
+    return F.aggregate(characters(token), start, pair, lambda acc: F.greatest(F.lit(-math.inf), *[acc[f"s{n}"] for n in range(len(tables))]))
 
 
-def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ratios: list[float] | None = None, least: int = 20, margin: float = 12.0) -> DataFrame:
+def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ratios: list[float] | list[list[float]] | None = None, least: int = 20, margin: float = 12.0) -> DataFrame:
     """(id_col, base, spans): arrays of SPAN in order of start, then kind; spans also has the Markov finds, which overlap no base find.
 
+    ratios: the tables of train_models(), or one of them; learned from docs if not given.
     least: characters of a token; margin: log-likelihood ratio from which it is a secret.
     """
-    ratios = train(docs, id_col, text_col) if ratios is None else ratios
+    ratios = train_models(docs, id_col, text_col) if ratios is None else ratios
+    tables = ratios if isinstance(ratios[0], list) else [ratios]
     df = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     for n, (kind, pattern, whole, group) in enumerate(BASE):
         df = found_spans(df, n, kind, pattern, whole, group)
     df = found_spans(df, len(BASE), "markov", f"{TOKEN}{{{least},}}", least)
     df = df.withColumn("listed", F.array_sort(F.concat(*[k for k, _, _, _ in BASE])))
-    likely = F.filter(free_of(F.col("markov"), F.col("listed")), lambda x: likelihood_ratio(x["find"], ratios) >= margin)
+    likely = F.filter(free_of(F.col("markov"), F.col("listed")), lambda x: likelihood_ratio(x["find"], tables) >= margin)
     spans = F.when(F.size("markov") > 0, F.array_sort(F.concat("listed", likely))).otherwise(F.col("listed"))
     plain = lambda found: F.transform(found, lambda x: F.struct(*[x[f].alias(f) for f in ("start", "kind_no", "kind", "stop")]))
     return df.select(F.col("id").alias(id_col), plain(F.col("listed")).alias("base"), plain(spans).alias("spans"))
