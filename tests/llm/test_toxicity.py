@@ -104,3 +104,14 @@ def test_score_by_hand():
     model = tx.Model({b"bad": 2.0, b"good": -1.5}, -0.25)
     assert model.score({b"bad", b"other"}) == pytest.approx(1 / (1 + math.exp(-1.75)))
     assert model.score({b"bad", b"good"}) == pytest.approx(1 / (1 + math.exp(-0.25))) and model.score(set()) == pytest.approx(1 / (1 + math.exp(0.25)))
+
+
+def test_the_sample_bounds_the_texts(spark, monkeypatch):
+    """Four labelled ids over four thousand differing texts: four texts are learned from, the same in any order of the rows."""
+    rows = [(i % 4, f"text number{i} of some words word{i % 40}") for i in range(4000)]
+    labels = spark.createDataFrame([(0, 1), (1, 0), (2, 1), (3, 0)], "doc_id long, toxic int")
+    learned, real = [], tx.fit
+    monkeypatch.setattr(tx, "fit", lambda rows, y, *more, **kw: learned.append(len(rows)) or real(rows, y, *more, **kw))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    models = [tx.train(docs.repartition(n), labels, sample=2, least_texts=1) for n in (1, 5)]
+    assert learned == [4, 4] and models[0] == models[1]

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import alnum_words, utf8
+from .common import alnum_words, cut, utf8
 
 #: Identity terms by kind; a term is swapped for the others of its kind: fixed values.
 IDENTITY_TERMS = (
@@ -100,8 +100,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
           identity: tuple[tuple[str, ...], ...] = IDENTITY_TERMS, sample: int = 5000, features: int = 20_000, least_texts: int = 4, l1: float = 5e-5, counterfactual: float = 10.0) -> Model:
     """Fits the model on at most `sample` labelled texts of each class (those whose id hashes lowest) and `features` words.
 
-    usable: which rows of labels may be learned from. What reaches the driver is
-    bounded by sample and features; words are weighed and counted by Spark.
+    usable: which rows of labels may be learned from. Of an id that several texts have,
+    the text of the smallest hash counts, so that `sample` bounds the texts too. What
+    reaches the driver is bounded by sample and features; words are weighed and counted by
+    Spark.
     """
     given = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & (F.lit(True) if usable is None else usable))
     given = given.groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("y"))
@@ -112,7 +114,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     def distinct(texts: pa.Array) -> pa.Array:
         return pa.array([sorted(set(alnum_words(t))) for t in texts.to_pylist()], pa.list_(pa.binary()))
 
-    texts = docs.select(F.col(id_col).alias("id"), utf8(text_col).alias("t")).join(ids, "id").groupBy("t").agg(F.max("y").alias("y")).select("y", distinct("t").alias("words")).persist()
+    held = docs.select(F.col(id_col).alias("id"), utf8(text_col).alias("t")).withColumn("h", F.xxhash64("t"))
+    # one text for each id: found by hashes, before any text is moved
+    one = F.broadcast(cut(held.join(ids, "id").groupBy("id", "y").agg(F.min("h").alias("h"))))
+    texts = held.join(one, ["id", "h"]).groupBy("h").agg(F.max("y").alias("y"), F.first("t").alias("t")).select("y", distinct("t").alias("words")).persist()
     try:
         n = dict(texts.groupBy("y").count().collect())
         if not n.get(0) or not n.get(1):
