@@ -223,11 +223,13 @@ def shingle_sets(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str,
 
 
 def similar(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """(a, b): the pairs whose shingle sets have the similarity."""
+    """(a, b): the pairs whose shingle sets have the similarity. Those whose sizes rule it out are gone before any set is moved."""
+    sizes = sets.select("node", F.size("s").alias("n"))
+    sized = pairs.join(sizes.select(F.col("node").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b")
+    pairs = sized.filter(F.least("na", "nb") >= threshold * F.greatest("na", "nb") - 1).select("a", "b")
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
     common, total = F.size(F.array_intersect("sa", "sb")), F.size("sa") + F.size("sb")
-    fits = F.least(F.size("sa"), F.size("sb")) >= threshold * F.greatest(F.size("sa"), F.size("sb")) - 1
-    return both.filter(fits).filter(common / F.greatest(F.lit(1), total - common) >= threshold).select("a", "b")
+    return both.filter(common / F.greatest(F.lit(1), total - common) >= threshold).select("a", "b")
 
 
 def table_keys(print_: Column) -> Column:
