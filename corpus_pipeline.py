@@ -16,19 +16,31 @@ from tidewright.llm.common import WRITTEN, clear, cut, remove, shared_path, tabl
 WEIGHTS: dict[str | None, float] | None = None
 
 
+#: Rows of text that Python gets at a time: what a worker holds goes with them.
+BATCH = 1000
+
+
+def _bounded(spark: SparkSession) -> None:
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
+
+
 def civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the toxicity model rejects. It learns from the table `labels`, held-out rows apart."""
+    _bounded(spark)
     model = toxicity.train(docs, table(spark, sf_dir, "labels"), usable=~toxicity.held_out())
     return toxicity.keep_civil(docs, model)
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of smallest id of each group of near copies: similarity 0.8 or more of five-word shingles."""
+    _bounded(spark)
     return simhash_dedup.keep_one_of_each(docs)
 
 
 def unseen(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the benchmark contaminates."""
+    _bounded(spark)
     return decontaminate.keep_clean(docs, table(spark, sf_dir, "benchmark"))
 
 
