@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import json
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -54,35 +59,98 @@ def json_type(value: Column) -> Column:
     )
 
 
+#: Pairs of path and type that a task counts before it hands them on.
+HELD = 100_000
+
+
+def _number(digits: str) -> str:
+    """The type of a whole number, by its digits."""
+    size = len(digits.lstrip("-"))
+    if size < 19:
+        return "BIGINT"
+    return "BIGINT" if size == 19 and -(1 << 63) <= int(digits) < 1 << 63 else WIDE if size <= 38 else "DOUBLE"
+
+
+class _Marked(str):
+    """A number's type in place of the number."""
+
+
+def _fields(pairs: list[tuple]) -> dict:
+    made = dict(pairs)
+    if len(made) < len(pairs):
+        raise ValueError("a name comes twice")
+    return made
+
+
+def _no_constant(name: str) -> None:
+    raise ValueError(f"{name} is no JSON")
+
+
+def typed_leaves(text: str) -> list[tuple[tuple[str, ...], str]]:
+    """(path, type) of the fields of a JSON document that are no objects, as json_type() names them; none for what is no object, or can't be read."""
+    try:
+        root = json.loads(text, parse_int=lambda n: _Marked(_number(n)), parse_float=lambda _: _Marked("DOUBLE"), parse_constant=_no_constant, object_pairs_hook=_fields)
+    except (ValueError, RecursionError):
+        return []
+    out, waiting = [], [((), root)] if isinstance(root, dict) else []
+    while waiting:
+        path, value = waiting.pop()
+        for name, v in value.items():
+            if isinstance(v, dict):
+                waiting.append(((*path, name), v))
+            else:
+                out.append(((*path, name), v if type(v) is _Marked else "STRING" if isinstance(v, str) else "VOID" if v is None else "BOOLEAN" if isinstance(v, bool) else "ARRAY"))
+    return out
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counts: Counter = Counter()
+
+    def made() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([list(p) for p, _ in counts], pa.list_(pa.string())), pa.array([k for _, k in counts], pa.string()), pa.array(list(counts.values()), pa.int64())], ["path", "kind", "n"])
+
+    for batch in batches:
+        for text in batch.column(0).to_pylist():
+            if text:
+                counts.update(typed_leaves(text))
+        if len(counts) > HELD:
+            yield made()
+            counts.clear()
+    yield made()
+
+
 def infer_fields(documents: DataFrame, column: str) -> DataFrame:
-    """(path, field, inferred, n_documents): the fields of JSON documents, at any depth, by the set of types over all documents.
+    """(path, field, inferred, n_documents): the fields of JSON documents, at any depth, by the set of types over all documents, which are read once.
 
-    field: the names of the path joined by underscores. Objects are walked into, level
-    by level, and are no fields themselves; an empty one leaves nothing.
+    field: the names of the path joined by underscores. Objects are walked into and are no
+    fields themselves; an empty one leaves nothing. How deep documents go is not known
+    before, so each is walked in Python; a task hands on one row for each path and type.
     """
-    level = documents.select(F.array().cast("array<string>").alias("path"), F.try_parse_json(column).alias("v")).filter(F.schema_of_variant("v").startswith("OBJECT"))
-    found = None
-    while True:
-        entries = level.select("path", F.explode(F.map_entries(F.try_variant_get("v", "$", "map<string,variant>"))).alias("e"))
-        typed = entries.select(F.array_append("path", F.col("e.key")).alias("path"), F.col("e.value").alias("v"), json_type(F.col("e.value")).alias("kind"))
-        typed = typed.withColumn("kind", F.coalesce("kind", F.lit("VOID")))
-        leaves = typed.filter("kind != 'OBJECT'").groupBy("path").agg(F.collect_set("kind").alias("kinds"), F.count(F.lit(1)).alias("n_documents"))
-        found = leaves if found is None else found.unionByName(leaves)
-        level = typed.filter("kind = 'OBJECT'").select("path", "v")
-        if level.isEmpty():
-            break
+    kinds = documents.select(column).mapInArrow(_counted, "path array<string>, kind string, n long")
+    kinds = kinds.groupBy("path", "kind").agg(F.sum("n").alias("n"))
+    found = kinds.groupBy("path").agg(F.collect_set("kind").alias("kinds"), F.sum("n").alias("n_documents"))
     return found.select("path", F.array_join("path", "_").alias("field"), value_type(F.col("kinds")).alias("inferred"), "n_documents")
 
 
+def variant_path(path: list[str]) -> str | None:
+    """A path as variant_get() reads it, its names quoted; None if a name has both kinds of quotes, or a closing bracket behind one."""
+    if any("'" in p and '"' in p for p in path):
+        return None
+    return "$" + "".join(f'["{p}"]' if "'" in p else f"['{p}']" for p in path)
+
+
 def field_value(document: Column, path: list[str], kind: str) -> Column:
     """The value of a field of a parsed document, as the inferred type; lists, and mixtures, as text; null where the document lacks it."""
-    here = document
-    for name in path:
-        here = F.try_variant_get(here, "$", "map<string,variant>")[F.lit(name)]
+    at = variant_path(path)
+    here, at = (document, at) if at else (document, "$")
+    if at == "$":
+        for name in path:
+            here = F.try_variant_get(here, "$", "map<string,variant>")[F.lit(name)]
     if kind in ("BIGINT", "DOUBLE", "BOOLEAN", WIDE):
-        return F.try_variant_get(here, "$", kind)
-    shape = F.schema_of_variant(here)
-    text = F.when(shape.startswith("ARRAY") | shape.startswith("OBJECT"), F.to_json(here)).otherwise(F.try_variant_get(here, "$", "string"))
+        return F.try_variant_get(here, at, kind)
+    held = here if at == "$" else F.try_variant_get(here, at, "variant")
+    shape = F.schema_of_variant(held)
+    text = F.when(shape.startswith("ARRAY") | shape.startswith("OBJECT"), F.to_json(held)).otherwise(F.try_variant_get(held, "$", "string"))
     return F.when(shape != "VOID", text)
 
 
@@ -136,14 +204,14 @@ def document_array_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT 'k' AS field, 'BIGINT' AS inferred, count(*) AS n_documents FROM events WHERE json_extract(props, '$.k') IS NOT NULL
-UNION ALL SELECT unnest(['kind', 'mixed', 'zip', 'flag', 'wide', 'in_a', 'in_deep_b', 'list', 'nothing', 'either']), unnest(['STRING', 'DOUBLE', 'STRING', 'STRING', 'DECIMAL(38,0)', 'BIGINT', 'BOOLEAN', 'ARRAY', 'STRING', 'STRING']), count(*) FROM events""")
+UNION ALL SELECT unnest(['kind', 'mixed', 'zip', 'flag', 'wide', 'in_a', 'in_deep_b', 'in_deep_c_d_e_f', 'list', 'nothing', 'either']), unnest(['STRING', 'DOUBLE', 'STRING', 'STRING', 'DECIMAL(38,0)', 'BIGINT', 'BOOLEAN', 'DOUBLE', 'ARRAY', 'STRING', 'STRING']), count(*) FROM events""")
 def infer_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fields at any depth; text that looks like a number or a truth value stays text."""
     events = table(spark, sf_dir, "events")
     number = F.col("event_id").cast("string")
     mixed = F.when(F.col("event_id") % 2 == 0, number).otherwise(F.concat(number, F.lit(".5")))
     either = F.when(F.col("event_id") % 2 == 0, "1").otherwise('"one"')
-    parts = (', "kind": "', F.col("event_type"), '", "mixed": ', mixed, ', "zip": "0', number, '", "flag": "true", "wide": 1234567890123456789012, "in": {"a": 1, "deep": {"b": true, "none": {}}}, "list": [1, "x"], "nothing": null, "either": ', either, "}")
+    parts = (', "kind": "', F.col("event_type"), '", "mixed": ', mixed, ', "zip": "0', number, '", "flag": "true", "wide": 1234567890123456789012, "in": {"a": 1, "deep": {"b": true, "none": {}, "c": {"d": {"e": {"f": 0.5}}}}}, "list": [1, "x"], "nothing": null, "either": ', either, "}")
     text = F.concat(F.rtrim(F.regexp_replace("props", r"\}\s*$", "")), *[F.lit(p) if isinstance(p, str) else p for p in parts])
     return infer_fields(events.select(text.alias("d")), "d").select("field", "inferred", "n_documents")
 

@@ -92,21 +92,23 @@ def as_of(facts: DataFrame, periods: DataFrame, key: list[str], at: str, start:
     """valid_at() for periods of a key that do not overlap: each fact meets the last period that starts no later, if it has not ended.
 
     Facts and periods are sorted together, so a key costs its rows, not their product. A
-    key is cut into buckets of time; what holds at a bucket's start is handed on to it.
+    key is cut into buckets of time; the last period that starts in each bucket goes into the
+    later ones as a row that starts them, so that one shuffle by key and bucket carries all.
     """
     own = [c for c in periods.columns if c not in key]
     period = F.struct(F.col(start).alias("__at"), *[F.col(c).alias(f"__{c}") for c in own])
     days = lambda c: F.floor(F.unix_timestamp(F.col(c).cast("timestamp")) / (86400 * bucket_days))
     # an empty period holds at no time
-    begun = periods.filter(F.col(end).isNull() | (F.col(end) >= F.col(start))).select(*key, days(start).alias("__b"), F.col(start).alias("__t"), F.lit(0).alias("__kind"), period.alias("__p"))
-    asked = facts.select(*key, days(at).alias("__b"), F.col(at).alias("__t"), F.lit(1).alias("__kind"), F.struct(*[F.col(c) for c in facts.columns]).alias("__f"))
-    both = begun.unionByName(asked, allowMissingColumns=True)
-    inside = both.withColumn("__held", F.last("__p", ignorenulls=True).over(Window.partitionBy(*key, "__b").orderBy("__t", "__kind")))
+    begun = periods.filter(F.col(end).isNull() | (F.col(end) >= F.col(start))).select(*key, days(start).alias("__b"), F.col(start).alias("__t"), F.lit(1).alias("__kind"), period.alias("__p"))
+    asked = facts.select(*key, days(at).alias("__b"), F.col(at).alias("__t"), F.lit(2).alias("__kind"), F.struct(*[F.col(c) for c in facts.columns]).alias("__f"))
+    # what stands at a bucket's start, by narrow rows: one for each bucket of a key that has any
     last = begun.groupBy(*key, "__b").agg(F.max("__p").alias("__p"))
-    # the last period of all buckets before: one row for each bucket of a key that has any
-    marks = asked.select(*key, "__b").distinct().join(last, [*key, "__b"], "full")
-    before = marks.withColumn("__was", F.last("__p", ignorenulls=True).over(Window.partitionBy(*key).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1))).select(*key, "__b", "__was")
-    found = inside.filter("__kind = 1").join(before, [*key, "__b"]).withColumn("__held", F.coalesce("__held", "__was"))
+    wanted = asked.select(*key, "__b").distinct().select(*key, "__b", F.lit(None).cast(last.schema["__p"].dataType).alias("__p"))
+    marks = last.unionByName(wanted).groupBy(*key, "__b").agg(F.max("__p").alias("__p"), F.count_if(F.col("__p").isNull()).alias("__n"))
+    before = marks.withColumn("__p", F.last("__p", ignorenulls=True).over(Window.partitionBy(*key).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1))).filter("__n > 0 and __p is not null")
+    started = before.select(*key, "__b", F.lit(None).cast(facts.schema[at].dataType).alias("__t"), F.lit(0).alias("__kind"), "__p")
+    both = started.unionByName(begun).unionByName(asked, allowMissingColumns=True)
+    found = both.withColumn("__held", F.last("__p", ignorenulls=True).over(Window.partitionBy(*key, "__b").orderBy(F.col("__t").asc_nulls_first(), "__kind"))).filter("__kind = 2")
     holds = F.col("__held").isNotNull() & (F.col(f"__held.__{end}").isNull() | (F.col("__t") <= F.col(f"__held.__{end}")))
     return found.filter(holds).select("__f.*", *[F.col(f"__held.__{c}").alias(c) for c in own])
 
