@@ -5,7 +5,7 @@ from __future__ import annotations
 from .operators import audit, changes, documents, hierarchy, relational, scalar_queries  # noqa: F401
 from .plans import feeds, migration  # noqa: F401
 from .plans.registry import QUERIES, SQL, Query
-from .streaming import capture  # noqa: F401
+from .streaming import capture, late, polling  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
