@@ -223,10 +223,7 @@ def shingle_sets(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str,
 
 
 def similar(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """(a, b): the pairs whose shingle sets have the similarity. Those whose sizes rule it out are gone before any set is moved."""
-    sizes = sets.select("node", F.size("s").alias("n"))
-    sized = pairs.join(sizes.select(F.col("node").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b")
-    pairs = sized.filter(F.least("na", "nb") >= threshold * F.greatest("na", "nb") - 1).select("a", "b")
+    """(a, b): the pairs whose shingle sets have the similarity."""
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
     common, total = F.size(F.array_intersect("sa", "sb")), F.size("sa") + F.size("sb")
     return both.filter(common / F.greatest(F.lit(1), total - common) >= threshold).select("a", "b")
@@ -253,15 +250,18 @@ def similar_links(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str,
     buckets = lambda n: F.transform(table_keys(F.col("prints")[n]), lambda key: F.xxhash64(F.lit(n), key))
     rows = nodes.select("node", F.explode(F.flatten(F.array(*[buckets(n) for n in range(prints)]))).alias("bucket"))
     met = cut(_met(rows))
-    fame = cut(met.groupBy("node").agg(F.sum("n").alias("fame")))
-    sets = cut(shingle_sets(docs, nodes.join(fame, "node", "left_semi"), id_col, text_col, k, seed))
-    met, links, depth = met.join(fame, "node").select("node", "bucket", "n", "fame", F.col("node").alias("root"), F.lit(True).alias("leads")), None, 0
+    shared = met.groupBy("node").agg(F.sum("n").alias("fame"))
+    sets = cut(shingle_sets(docs, nodes.join(shared, "node", "left_semi"), id_col, text_col, k, seed))
+    # with the size of each set, so that pairs whose sizes rule the similarity out are never made
+    fame = cut(shared.join(sets.select("node", F.size("s").alias("size")), "node"))
+    near = lambda a, b: F.least(a, b) >= threshold * F.greatest(a, b) - 1
+    met, links, depth = met.join(fame, "node").select("node", "bucket", "n", "fame", "size", F.col("node").alias("root"), F.lit(True).alias("leads")), None, 0
     while True:
-        small = met.filter(F.col("n") <= few).groupBy("bucket").agg(F.collect_list(F.struct("node", "root", "leads")).alias("held"))
-        pairs = small.select("held", F.explode("held").alias("a")).select("a", F.explode("held").alias("b")).filter("a.node > b.node and a.root != b.root and (a.leads or b.leads)").select("a.node", "b.node")
+        small = met.filter(F.col("n") <= few).groupBy("bucket").agg(F.collect_list(F.struct("node", "root", "leads", "size")).alias("held"))
+        pairs = small.select("held", F.explode("held").alias("a")).select("a", F.explode("held").alias("b")).filter("a.node > b.node and a.root != b.root and (a.leads or b.leads)").filter(near(F.col("a.size"), F.col("b.size"))).select("a.node", "b.node")
         large = met.filter(F.col("n") > few)
         lead = cut(_leaders(large.filter("leads"), 4 ** max(0, depth - 1), depth))
-        faced = large.join(lead.select("bucket", "leader", F.col("root").alias("other")), "bucket").filter("root != other").select(F.greatest("node", "leader").alias("a"), F.least("node", "leader").alias("b"))
+        faced = large.join(lead.select("bucket", "leader", F.col("root").alias("other"), F.col("size").alias("own")), "bucket").filter("root != other").filter(near(F.col("size"), F.col("own"))).select(F.greatest("node", "leader").alias("a"), F.least("node", "leader").alias("b"))
         good = cut(similar(cut(pairs.toDF("a", "b").union(faced).distinct()), sets, threshold))
         if not good.isEmpty():
             components = cut(connected_components(good if links is None else links.union(good)))
@@ -288,15 +288,15 @@ def _met(rows: DataFrame) -> DataFrame:
 
 
 def _leaders(large: DataFrame, leaders: int, depth: int) -> DataFrame:
-    """(bucket, leader, root): of each of `leaders` groups of a bucket's nodes (node, bucket, fame, root) the most famous."""
+    """(bucket, leader, root, size): of each of `leaders` groups of a bucket's nodes (node, bucket, fame, root, size) the most famous."""
     group = F.pmod(F.xxhash64("node", "bucket", F.lit(depth)), F.lit(leaders))
-    best = large.groupBy("bucket", group.alias("j")).agg(F.max(F.struct("fame", F.xxhash64("node").alias("h"), "node", "root")).alias("x"))
-    return best.select("bucket", F.col("x.node").alias("leader"), "x.root")
+    best = large.groupBy("bucket", group.alias("j")).agg(F.max(F.struct("fame", F.xxhash64("node").alias("h"), "node", "root", "size")).alias("x"))
+    return best.select("bucket", F.col("x.node").alias("leader"), "x.root", "x.size")
 
 
 def _open(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """The members (node, bucket, fame, leads) of buckets that the links do not hold together, with root, the component of each."""
-    named = members.join(roots, "node", "left").select("node", "bucket", "fame", "leads", F.coalesce("root", "node").alias("root"))
+    """The members (node, bucket, fame, size, leads) of buckets that the links do not hold together, with root, the component of each."""
+    named = members.join(roots, "node", "left").select("node", "bucket", "fame", "size", "leads", F.coalesce("root", "node").alias("root"))
     apart = named.groupBy("bucket").agg((F.min("root") != F.max("root")).alias("open")).filter("open").select("bucket")
     return named.join(apart, "bucket", "left_semi")
 
