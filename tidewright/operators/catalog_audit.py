@@ -28,6 +28,24 @@ def audit_tables(spark: SparkSession, database: str) -> DataFrame:
     return out
 
 
+def register_server(spark: SparkSession, name: str, options: dict[str, str]) -> None:
+    """Makes a server a catalog of the session: its tables can then be listed, read and counted as name.schema.table; counts are left to the server."""
+    spark.conf.set(f"spark.sql.catalog.{name}", "org.apache.spark.sql.execution.datasources.v2.jdbc.JDBCTableCatalog")
+    for k, v in ({"pushDownAggregate": "true"} | options).items():
+        spark.conf.set(f"spark.sql.catalog.{name}.{k}", v)
+
+
+def audit_server(spark: SparkSession, catalog: str, schema: str) -> dict[str, DataFrame]:
+    """tables and columns of a schema of a registered server, as run_audit() gives them for a database; names in lower case."""
+    names = sorted(r.tableName for r in spark.sql(f"SHOW TABLES IN `{catalog}`.`{schema}`").collect())
+    held = {n: spark.table(f"`{catalog}`.`{schema}`.`{n}`") for n in names}
+    tables = spark.createDataFrame([], "schema_name string, table_name string, row_count long")
+    for n, df in held.items():
+        tables = tables.unionByName(df.agg(F.count(F.lit(1)).alias("row_count")).select(F.lit(schema.lower()).alias("schema_name"), F.lit(n.lower()).alias("table_name"), "row_count"))
+    columns = audit_columns({n.lower(): df for n, df in held.items()}, schema.lower()).withColumn("column_name", F.lower("column_name")) if held else spark.createDataFrame([], COLUMNS)
+    return {"tables": tables, "columns": columns}
+
+
 def audit_views(spark: SparkSession, database: str) -> DataFrame:
     """(schema_name, view_name, definition)."""
     names = sorted(x.name for x in spark.catalog.listTables(database) if x.tableType == "VIEW" and not x.isTemporary)

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import functools
+import threading
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -53,26 +58,58 @@ def flat(name: str, schema: str = "dbo") -> str:
     return flat_name(*parse_table(name, schema))
 
 
-def migrate(spark: SparkSession, source: dict[str, DataFrame], target: str, mode: str = "full", replace: bool = False, views: dict[str, str] | None = None) -> DataFrame:
+def together(spark: SparkSession, jobs: dict[str, Callable[[], object]], workers: int = 4, seconds: float | None = None) -> dict[str, object]:
+    """What each of the jobs returns or raises, `workers` of them at a time on threads of the driver.
+
+    Each has a job group and a scheduler pool of its own name: under fair scheduling they
+    share the cluster evenly, and one that takes longer than `seconds` is cancelled alone.
+    """
+    context, run = spark.sparkContext, uuid.uuid4().hex[:8]
+
+    def one(name: str, job: Callable[[], object]) -> object:
+        group, late = f"{run}-{name}", threading.Event()
+        context.setLocalProperty("spark.scheduler.pool", group)
+        context.setJobGroup(group, name, True)
+        # what starts after the first cancelled job is cancelled too
+        watch = threading.Timer(seconds, lambda: (late.set(), context.cancelJobGroupAndFutureJobs(group))) if seconds else None
+        if watch:
+            watch.start()
+        try:
+            return job()
+        except Exception as e:
+            return TimeoutError(f"cancelled after {seconds} s") if late.is_set() else e
+        finally:
+            if watch:
+                watch.cancel()
+            context.setLocalProperty("spark.scheduler.pool", None)
+
+    with ThreadPoolExecutor(workers) as pool:
+        running = {name: pool.submit(inheritable_thread_target(spark)(one), name, job) for name, job in jobs.items()}
+        return {name: f.result() for name, f in running.items()}
+
+
+def migrate(spark: SparkSession, source: dict[str, DataFrame], target: str, mode: str = "full", replace: bool = False, views: dict[str, str] | None = None, workers: int = 1, seconds: float | None = None) -> DataFrame:
     """The report of a move of all tables of source into the database target.
 
     Names may have a schema before a dot; those that fall together, as Orders and orders,
     are told apart by numbers.
 
     schema: empty tables; data: tables with their rows; full: views too. A table that
-    fails is a row of the report, and the others go on.
+    fails is a row of the report, and the others go on. workers: tables that are copied at
+    a time; seconds: after which a copy is given up.
     """
     if mode not in MODES:
         raise ValueError(f"mode: one of {', '.join(MODES)}")
     create_database(spark, target, replace)
     rows, held = [], held_names(list(source), flat)
-    for name, df in sorted(source.items()):
-        full = f"{target}.`{held[name]}`"
-        if mode == "schema":
-            rows.append(("schema", name, create_table(spark, full, df.schema), None, None))
-        else:
-            got = copy_table(df, full)
-            rows.append(("data", name, got["status"], got["rows_migrated"], got["error"]))
+    full = {name: f"{target}.`{held[name]}`" for name in sorted(source)}
+    if mode == "schema":
+        rows += [("schema", name, create_table(spark, at, source[name].schema), None, None) for name, at in full.items()]
+    else:
+        jobs = {name: functools.partial(copy_table, source[name], at) for name, at in full.items()}
+        for name, got in together(spark, jobs, workers, seconds).items():
+            failed = isinstance(got, Exception)
+            rows.append(("data", name, "failed", 0, str(got)[:500]) if failed else ("data", name, got["status"], got["rows_migrated"], got["error"]))
     if mode == "full":
         rows += deploy_views(spark, views or {})
     return spark.createDataFrame(rows, REPORT)

@@ -154,6 +154,41 @@ def read_jdbc(spark: SparkSession, options: dict[str, str], name: str, partition
     return reader.load()
 
 
+def literal(value: object) -> str:
+    """A value as SQL text."""
+    return str(value) if isinstance(value, (int, float)) else "'" + str(value).replace("'", "''") + "'"
+
+
+def equal_ranges(spark: SparkSession, options: dict[str, str], name: str, column: str, parts: int) -> list[str]:
+    """Conditions that part a server's table into ranges of about equally many rows, whatever the spread of its values.
+
+    The server says which values stand at the borders, one small question each. Rows without
+    a value are in the first range; rows of one value are never parted.
+    """
+    ask = lambda q: spark.read.format("jdbc").options(**options).option("query", q).load().first()
+    n = ask(f"SELECT count({column}) AS n FROM {name}")[0]
+    tail = "LIMIT 1 OFFSET {k}" if options["url"].startswith("jdbc:mysql") else "OFFSET {k} ROWS FETCH NEXT 1 ROWS ONLY"
+    borders = sorted({ask(f"SELECT {column} AS v FROM {name} WHERE {column} IS NOT NULL ORDER BY {column} " + tail.format(k=n * i // parts))[0] for i in range(1, parts)}) if n >= parts else []
+    if not borders:
+        return ["1 = 1"]
+    first, last = f"{column} < {literal(borders[0])} OR {column} IS NULL", f"{column} >= {literal(borders[-1])}"
+    return [first, *[f"{column} >= {literal(a)} AND {column} < {literal(b)}" for a, b in zip(borders, borders[1:], strict=False)], last]
+
+
+@retry(exceptions=(Py4JError, PySparkException))
+def read_jdbc_evenly(spark: SparkSession, options: dict[str, str], name: str, column: str, parts: int) -> DataFrame:
+    """A server's table, read by ranges of equally many rows at once."""
+    properties = {k: v for k, v in options.items() if k != "url"}
+    return spark.read.jdbc(options["url"], name, predicates=equal_ranges(spark, options, name, column, parts), properties=properties)
+
+
+def drop_table(spark: SparkSession, target: str) -> str:
+    """Drops a table; whether there was one."""
+    there = spark.catalog.tableExists(target)
+    spark.sql(f"DROP TABLE IF EXISTS {target}")
+    return "success" if there else "none"
+
+
 def write_jdbc(df: DataFrame, options: dict[str, str], name: str, mode: str = "append") -> None:
     """Rows into a server's table, in batches of the options' batchsize."""
     df.write.format("jdbc").options(**options).option("dbtable", name).mode(mode).save()
