@@ -70,8 +70,7 @@ def together(spark: SparkSession, jobs: dict[str, Callable[[], object]], workers
         group, late = f"{run}-{name}", threading.Event()
         context.setLocalProperty("spark.scheduler.pool", group)
         context.setJobGroup(group, name, True)
-        # what starts after the first cancelled job is cancelled too
-        watch = threading.Timer(seconds, lambda: (late.set(), context.cancelJobGroupAndFutureJobs(group))) if seconds else None
+        watch = threading.Timer(seconds, lambda: (late.set(), context.cancelJobGroup(group))) if seconds else None
         if watch:
             watch.start()
         try:
