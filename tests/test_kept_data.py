@@ -85,3 +85,25 @@ def test_position_texts_keep_the_order_of_bytes(spark):
     got = changes.log_changes(log).orderBy("seq").collect()
     assert [(r.seq, r.op, r.id) for r in got] == [("000901", "INSERT", 7), ("000A00", "DELETE", 8), ("000A03", "UPDATE", 9)]
     assert changes.log_bytes("000A03") == bytes([0, 10, 3])
+
+
+def test_changes_by_filter_one_after_the_other(spark):
+    """Against changes made one at a time, each to one row that agrees."""
+    rows = [(i, f"n{i % 4}", float(i % 3)) for i in range(12)] + [(3, "n3", 0.0), (3, "n3", 0.0)]
+    target = spark.createDataFrame(rows, "id int, name string, v double")
+    made = [
+        (1, "UPDATE", {"id": "5"}, (5, "new", 1.0)), (2, "UPDATE", {"id": "5"}, (5, "newer", 2.0)), (3, "DELETE", {"id": "6"}, None), (4, "UPDATE", {"id": "77"}, (77, "added", 0.5)),
+        (5, "INSERT", {"id": "5"}, (5, "twice", 9.0)), (6, "DELETE", {"id": "3"}, None), (7, "UPDATE", {}, (88, "no filter", None)), (8, "DELETE", {}, None),
+        (9, "UPDATE", {"name": "n2", "v": "1.0"}, (10, "both", 4.0)), (10, "DELETE", {"name": "none", "v": "0.0"}, None), (11, "DELETE", {"nothing": "1"}, None),
+    ]
+    df = spark.createDataFrame(made, "seq int, op string, filter map<string,string>, data struct<id:int,name:string,v:double>")
+    want = list(rows)
+    for _, op, by, data in made:
+        at = None if op == "INSERT" or not by else next((i for i, r in enumerate(want) if all({"id": str(r[0]), "name": r[1], "v": str(r[2])}.get(k) == v for k, v in by.items())), None)
+        if at is not None:
+            del want[at]
+        if op != "DELETE":
+            want.append(data)
+    got = sorted(map(tuple, changes.apply_by_filter(target, df, ["seq"]).collect()), key=str)
+    assert got == sorted(want, key=str)
+    assert sorted(map(tuple, changes.apply_by_filter(target, df.filter("seq > 99"), ["seq"]).collect())) == sorted(rows)

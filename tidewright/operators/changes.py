@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..plans.registry import query
-from ..sources.tables import TABLES, table
+from ..sources.tables import TABLES, cut, table
 
 #: Operations by the code of a log-based changelog: fixed values.
 LOG_OPERATIONS = {1: "DELETE", 2: "INSERT", 3: "UPDATE", 4: "UPDATE"}
@@ -142,6 +142,32 @@ def row_filter(before: str | Column, after: str | Column) -> Column:
     return F.coalesce(F.map_from_entries(F.when(F.size(known) > 0, F.slice(known, 1, 1)).otherwise(F.slice(held, 1, 2))), F.create_map().cast("map<string,string>"))
 
 
+def apply_by_filter(target: DataFrame, changes: DataFrame, seq: list[str]) -> DataFrame:
+    """The target after changes that find their row by a filter (row_filter()) in place of a key.
+
+    changes: op, filter (map of column names to values as text), data (a struct of the
+    target's columns), and seq. An insert adds a row. Of the updates and deletes of one filter
+    the last counts: an update takes the place of one row that agrees, or adds one if none
+    does; a delete takes one row away. Without a filter an update adds a row, and a delete
+    does nothing. Filters over different columns are applied one after the other.
+    """
+    columns, named = [F.col(f"`{c}`") for c in target.columns], {c.lower(): c for c in target.columns}
+    added = changes.filter((F.col("op") == "INSERT") | ((F.size("filter") == 0) & (F.col("op") != "DELETE"))).select("data.*")
+    found = changes.filter((F.col("op") != "INSERT") & (F.size("filter") > 0)).withColumn("names", F.array_sort(F.map_keys("filter")))
+    # one row for each set of columns that filters name
+    sets = [r.names for r in found.select("names").distinct().collect() if set(r.names) <= named.keys()]
+    for names in sorted(sets):
+        values = [f"__f{n}" for n in range(len(names))]
+        part = found.filter(F.col("names") == F.array(*[F.lit(n) for n in names])).select(*[F.col("filter")[n].alias(v) for n, v in zip(names, values, strict=True)], *seq, "op", "data")
+        last = latest(part, values, seq).select(*values, "op", "data")
+        order = Window.partitionBy(*[F.col(f"`{named[n]}`") for n in names]).orderBy(F.xxhash64(F.to_json(F.struct(*columns))))
+        numbered = target.withColumn("__nth", F.row_number().over(order))
+        same = reduce(Column.__and__, [F.col(f"`{named[n]}`").cast("string") == F.col(v) for n, v in zip(names, values, strict=True)]) & (F.col("__nth") == 1)
+        kept = numbered.join(last.select(*values), same, "left_anti").select(*columns)
+        target = cut(kept.unionByName(last.filter("op != 'DELETE'").select("data.*")))
+    return target.unionByName(added)
+
+
 def trigger_told(log: DataFrame, fields: str) -> DataFrame:
     """(seq, op, schema_name, table_name, data, changed_at, raw, problem): all rows of the log that triggers fill (id, schema_name, table_name, operation, row_data, changed_at)."""
     payload = F.try_parse_json("row_data")
@@ -314,3 +340,20 @@ def update_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = table(spark, sf_dir, "orders").filter("o_orderstatus = 'O'").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"))
     joined = table(spark, sf_dir, "customer").join(named, F.col("o_custkey") == F.col("c_custkey"), "left")
     return joined.select("c_custkey", F.when(F.col("n") > 0, "ACTIVE").otherwise(F.col("c_mktsegment")).alias("c_mktsegment"), (F.col("c_acctbal") + F.coalesce("n", F.lit(0)).cast("double")).alias("c_acctbal"))
+
+
+@query("""WITH last AS (SELECT * FROM (SELECT user_id, event_id, value, event_type = 'error' AS gone, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events WHERE event_type <> 'signup') WHERE n = 1),
+t AS (SELECT c_custkey AS id, c_custkey + 1000000 AS customerid, c_acctbal AS value FROM customer)
+SELECT id, customerid, value FROM t WHERE NOT EXISTS (SELECT 1 FROM last WHERE user_id = id) UNION ALL SELECT user_id, user_id + 1000000, value FROM last WHERE NOT gone
+UNION ALL SELECT -event_id, NULL, value FROM events WHERE event_type = 'signup'""")
+def cdc_filtered_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changes that find their rows by the image before them, some by one column, some by another; inserts are added."""
+    events, customer = table(spark, sf_dir, "events"), table(spark, sf_dir, "customer")
+    target = customer.select(F.col("c_custkey").alias("id"), (F.col("c_custkey") + 1000000).alias("customerid"), F.col("c_acctbal").alias("value"))
+    fresh, user = F.col("event_type") == "signup", F.col("user_id")
+    pair = lambda name, v: F.create_map(F.lit(name), v.cast("string"))
+    before = F.when(user % 2 == 0, pair("Id", user)).otherwise(pair("CustomerID", user + 1000000))
+    data = F.struct(F.when(fresh, -F.col("event_id")).otherwise(user).alias("id"), F.when(~fresh, user + 1000000).alias("customerid"), "value")
+    op = F.when(fresh, "INSERT").when(F.col("event_type") == "error", "DELETE").otherwise("UPDATE")
+    made = events.select(op.alias("op"), row_filter(before, F.create_map().cast("map<string,string>")).alias("filter"), data.alias("data"), "ts", "event_id")
+    return apply_by_filter(target, made, ["ts", "event_id"])

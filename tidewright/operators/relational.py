@@ -229,3 +229,10 @@ def composite_key_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines, keys = table(spark, sf_dir, "lineitem"), ["l_partkey", "l_suppkey", "l_returnflag"]
     counts = lines.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_same"))
     return lines.select("l_orderkey", "l_linenumber", *keys).join(counts, keys).select("l_orderkey", "l_linenumber", "n_same")
+
+
+@query("SELECT l_partkey, sum(l_quantity) AS stock, count(*) AS n FROM lineitem WHERE l_linenumber = 6 GROUP BY 1")
+def text_number_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A number compared with a text that names one: the text is read as a number, once, so that the scan can skip files."""
+    here = table(spark, sf_dir, "lineitem").filter(F.col("l_linenumber") == F.lit("6").cast("int"))
+    return here.groupBy("l_partkey").agg(F.sum("l_quantity").alias("stock"), F.count(F.lit(1)).alias("n"))
