@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewright.operators.changes import latest
-from tidewright.streaming import late, polling
+from tidewright.streaming import capture, late, polling
 
 CHANGES = "k int, at timestamp, n int, v string"
 
@@ -97,3 +97,26 @@ def test_ranges_are_the_same_when_asked_again(tmp_path):
     assert reader.partitions(end, end) == [] and reader.partitions({"t": None}, {"t": None}) == []
     with pytest.raises(ValueError):
         polling.Polled(options | {"tables": options["tables"].replace('"t", "at"', '"t; drop", "at"')})
+
+
+def test_a_guarded_stream_goes_on_after_a_failure(spark, tmp_path):
+    """The second batch fails when its bad rows are set aside already; run again, everything is there once, and counted."""
+    batches = [[(1, "INSERT", '{"v": 1}'), (2, "UPDATE", "{broken"), (3, "DELETE", None)], [(4, "UPDATE", '{"v": 4}'), (5, "UPDATE", "nonsense")], [(6, "DELETE", '{"v": 6}')]]
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, "id int, op string, p string").coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
+    stream = lambda: spark.readStream.schema("id int, op string, p string").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    failed = []
+
+    def keep(batch, n):
+        if n == 1 and not failed:
+            failed.append(n)
+            raise OSError("stopped")
+        batch.select("id", "op", "data.v").write.mode("overwrite").parquet(f"{tmp_path}/applied/batch={n}")
+
+    run = lambda: capture.apply_guarded(stream(), "p", "v int", keep, f"{tmp_path}/aside", f"{tmp_path}/offsets")
+    with pytest.raises(Exception, match="stopped"):
+        run()
+    counts = run()
+    assert sorted((r.id, r.v) for r in spark.read.parquet(f"{tmp_path}/applied").collect()) == [(1, 1), (4, 4), (6, 6)]
+    assert sorted((r.id, r.problem) for r in spark.read.parquet(f"{tmp_path}/aside").collect()) == [(2, "the payload can't be read"), (3, "no payload"), (5, "the payload can't be read")]
+    assert counts[1] == {"n_changes": 2, "n_failed": 1, "n_insert": 0, "n_update": 1, "n_delete": 0} and counts[2]["n_delete"] == 1
