@@ -113,8 +113,11 @@ def discovered_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _references_sql() -> str:
     columns = [(t, c, k) for t, own in _OWN.items() for c, k in own]
-    each = [f"SELECT '{t}' AS table_name, '{c}' AS column_name, '{r}' AS ref_table, '{d}' AS ref_column, (SELECT count(*) FROM (SELECT DISTINCT {c} AS v FROM {t} WHERE {c} IS NOT NULL) WHERE v NOT IN (SELECT {d} FROM {r} WHERE {d} IS NOT NULL)) = 0 AND (SELECT count({c}) FROM {t}) > 0 AND (SELECT count(DISTINCT {d}) = count(*) FROM {r}) AS held" for t, c, k in columns for r, d, m in columns if k == m and (t, c) != (r, d)]
-    return f"SELECT table_name, column_name, ref_table, ref_column FROM ({' UNION ALL '.join(each)}) WHERE held"
+    values = " UNION ALL ".join(f"SELECT DISTINCT '{t}' AS t, '{c}' AS c, '{k}' AS f, CAST({c} AS VARCHAR) AS v FROM {t} WHERE {c} IS NOT NULL" for t, c, k in columns)
+    keys = " UNION ALL ".join(f"SELECT '{t}' AS t, '{c}' AS c, count(DISTINCT {c}) = count(*) AS u FROM {t}" for t, c, _ in columns)
+    return f"""WITH v AS ({values}), n AS (SELECT t, c, count(*) AS n FROM v GROUP BY 1, 2), k AS (SELECT t, c FROM ({keys}) WHERE u),
+r AS (SELECT v.* FROM v JOIN k USING (t, c)), m AS (SELECT v.t, v.c, r.t AS rt, r.c AS rc, count(*) AS n FROM v JOIN r ON v.f = r.f AND v.v = r.v AND (v.t <> r.t OR v.c <> r.c) GROUP BY 1, 2, 3, 4)
+SELECT m.t AS table_name, m.c AS column_name, rt AS ref_table, rc AS ref_column FROM m JOIN n ON n.t = m.t AND n.c = m.c AND n.n = m.n"""
 
 
 @query(_references_sql())
