@@ -3,6 +3,7 @@ from collections import Counter
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tidewright.llm import sharding as sh
 from tidewright.llm.queries import op9_sharding
@@ -61,3 +62,23 @@ def test_rows_of_one_id_are_spread(spark):
     assert len({(r.shard, r.slot) for r in got}) == 20_000 and {Counter(r.shard for r in got)[s] for s in range(16)} == {1250}
     whole = docs.selectExpr("xxhash64(doc_id, crc32(cast(text as binary)), cast(octet_length(text) + 1 as bigint)) as h").selectExpr("pmod(shiftrightunsigned(h, 20), 4096) as cell").groupBy("cell").count()
     assert whole.count() > 3500 and whole.agg({"count": "max"}).first()[0] < 30
+
+
+def test_query_against_a_ring_walked_key_by_key(spark, sf_dir):
+    """Every document's shard and slot, from a ring written out anew: each key goes clockwise to the first shard with room."""
+    from hashlib import sha256
+
+    point = lambda name: int.from_bytes(sha256(name.encode()).digest()[:8], "big")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    keys = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("crc")).withColumn("h", F.xxhash64("doc_id", "crc", "size")).collect()
+    nodes = sorted((point(f"node/{s}/{v}") % 4096, s) for s in range(16) for v in range(64))
+    more = sorted(range(16), key=lambda s: point(f"more/{s}") % (1 << 62))[: len(keys) % 16]
+    room, used, want = [len(keys) // 16 + (s in more) for s in range(16)], [0] * 16, {}
+    cell = lambda r: ((r.h % (1 << 64)) >> 20) % 4096
+    for r in sorted(keys, key=lambda r: (point(f"cell/{cell(r)}") % (1 << 62), r.h, r.doc_id, r.size, r.crc)):
+        start = next((i for i, (c, _) in enumerate(nodes) if c >= cell(r)), 0)
+        s = next(s for _, s in nodes[start:] + nodes[:start] if used[s] < room[s])
+        want[r.doc_id] = (s, used[s])
+        used[s] += 1
+    assert {r.doc_id: (r.shard, r.slot) for r in op9_sharding(spark, sf_dir).collect()} == want
