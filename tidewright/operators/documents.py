@@ -63,18 +63,21 @@ def json_type(value: Column) -> Column:
 HELD = 100_000
 
 
-def _number(digits: str) -> str:
-    """The type of a whole number, by its digits."""
-    size = len(digits.lstrip("-"))
-    if size < 19:
-        return "BIGINT"
-    return "BIGINT" if size == 19 and -(1 << 63) <= int(digits) < 1 << 63 else WIDE if size <= 38 else "DOUBLE"
-
-
 class _Marked(str):
     """A number's type in place of the number."""
 
 
+_WHOLE, _WIDE, _BROKEN = _Marked("BIGINT"), _Marked(WIDE), _Marked("DOUBLE")
+
+
+def _number(digits: str) -> _Marked:
+    """The type of a whole number, by its digits."""
+    if len(digits) < 19:
+        return _WHOLE
+    size = len(digits.lstrip("-"))
+    return _WHOLE if size <= 19 and -(1 << 63) <= int(digits) < 1 << 63 else _WIDE if size <= 38 else _BROKEN
+
+
 def _fields(pairs: list[tuple]) -> dict:
     made = dict(pairs)
     if len(made) < len(pairs):
@@ -86,33 +89,43 @@ def _no_constant(name: str) -> None:
     raise ValueError(f"{name} is no JSON")
 
 
-def typed_leaves(text: str) -> list[tuple[tuple[str, ...], str]]:
-    """(path, type) of the fields of a JSON document that are no objects, as json_type() names them; none for what is no object, or can't be read."""
+_READ = json.JSONDecoder(parse_int=_number, parse_float=lambda _: _BROKEN, parse_constant=_no_constant, object_pairs_hook=_fields).decode
+_KINDS = {str: "STRING", _Marked: None, bool: "BOOLEAN", type(None): "VOID", list: "ARRAY"}
+
+
+def _walk(text: str) -> list[tuple[tuple[str, ...], str, str]]:
+    """(path above, name, type) of the fields that are no objects."""
     try:
-        root = json.loads(text, parse_int=lambda n: _Marked(_number(n)), parse_float=lambda _: _Marked("DOUBLE"), parse_constant=_no_constant, object_pairs_hook=_fields)
+        root = _READ(text)
     except (ValueError, RecursionError):
         return []
     out, waiting = [], [((), root)] if isinstance(root, dict) else []
     while waiting:
         path, value = waiting.pop()
         for name, v in value.items():
-            if isinstance(v, dict):
+            kind = type(v)
+            if kind is dict:
                 waiting.append(((*path, name), v))
             else:
-                out.append(((*path, name), v if type(v) is _Marked else "STRING" if isinstance(v, str) else "VOID" if v is None else "BOOLEAN" if isinstance(v, bool) else "ARRAY"))
+                out.append((path, name, _KINDS[kind] or v))
     return out
 
 
+def typed_leaves(text: str) -> list[tuple[tuple[str, ...], str]]:
+    """(path, type) of the fields of a JSON document that are no objects, as json_type() names them; none for what is no object, or can't be read."""
+    return [((*path, name), str(kind)) for path, name, kind in _walk(text)]
+
+
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: Counter = Counter()
 
     def made() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([list(p) for p, _ in counts], pa.list_(pa.string())), pa.array([k for _, k in counts], pa.string()), pa.array(list(counts.values()), pa.int64())], ["path", "kind", "n"])
+        return pa.RecordBatch.from_arrays([pa.array([[*p, n] for p, n, _ in counts], pa.list_(pa.string())), pa.array([str(k) for _, _, k in counts], pa.string()), pa.array(list(counts.values()), pa.int64())], ["path", "kind", "n"])
 
     for batch in batches:
         for text in batch.column(0).to_pylist():
             if text:
-                counts.update(typed_leaves(text))
+                counts.update(_walk(text))
         if len(counts) > HELD:
             yield made()
             counts.clear()
