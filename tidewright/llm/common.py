@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import WRITTEN, clear, cut, remove, shared_path, table
 
-__all__ = ["WORD_BYTES", "WRITTEN", "alnum_words", "clear", "cut", "file_bytes", "hex64", "remove", "rows_before", "shared_path", "space_words", "table", "utf8"]
+__all__ = ["WORD_BYTES", "WRITTEN", "alnum_words", "clear", "cut", "file_bytes", "hex64", "remove", "rows_before", "shared_path", "space_words", "table", "unused", "utf8"]
 
 #: Bytes of UTF-8 text: A-Z become a-z; a-z, 0-9 and whatever is outside ASCII stay; the rest parts words.
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -23,6 +23,16 @@ def space_words(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with more underscores before it where df has a column of that name, in any case of letters."""
+    held, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in held:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 def utf8(column: str | Column) -> Column:
     """The text as bytes; null counts as the empty text."""
     column = F.col(column) if isinstance(column, str) else column

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import alnum_words, cut, utf8
+from .common import alnum_words, cut, unused, utf8
 from .kgrams import Scanner, key_of
 
 FOUND = "struct<n_words:long,cand:array<struct<p:int,key:long,around:array<int>>>>"
@@ -180,5 +180,6 @@ def _found(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, it
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = 13, k: int = 5, per: int = 20, block_bytes: int = 16 << 20) -> DataFrame:
     """The rows of docs that are not contaminated. Of rows that share an id, or have none, those go whose own text is."""
-    bad = _found(docs, benchmark, id_col, text_col, item_col, item_text, window, k, per, block_bytes).filter("contaminated").select(F.col("id").alias("__bad"), F.col("raw").alias("__raw")).distinct()
-    return docs.join(bad, docs[id_col].eqNullSafe(F.col("__bad")) & (F.xxhash64(utf8(docs[text_col])) == F.col("__raw")), "left_anti")
+    name, digest = unused(docs, "__bad", "__raw")
+    bad = _found(docs, benchmark, id_col, text_col, item_col, item_text, window, k, per, block_bytes).filter("contaminated").select(F.col("id").alias(name), F.col("raw").alias(digest)).distinct()
+    return docs.join(bad, docs[id_col].eqNullSafe(F.col(name)) & (F.xxhash64(utf8(docs[text_col])) == F.col(digest)), "left_anti")

@@ -118,8 +118,10 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, id_col:
 
 def in_mix_order(docs: DataFrame, weights: dict[str | None, float] | None = None, id_col: str = "doc_id", source_col: str = "source", blocks: int = 100_000, temperature: float = 0.5) -> DataFrame:
     """All rows and columns of docs in the order of the mixture: a reader that takes them in turn gets the target shares."""
-    placed = _placed(docs, id_col, source_col, weights, blocks, temperature, content(docs))
-    return placed.orderBy("__slot", "__nth").select(*[F.col(f"`{c}`") for c in docs.columns])
+    # docs' columns stay in one of their own, so that none is taken for a column of the schedule
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc"), F.col(id_col).alias("__id"), F.col(source_col).alias("__source"), content(docs).alias("__tie"))
+    placed = _placed(held, "__id", "__source", weights, blocks, temperature, F.col("__tie"))
+    return placed.orderBy("__slot", "__nth").select(*[F.col(f"__doc.`{c}`") for c in docs.columns])
 
 
 def with_places(docs: DataFrame, weights: dict[str | None, float] | None = None, id_col: str = "doc_id", source_col: str = "source", blocks: int = 100_000, temperature: float = 0.5, tie: str | None = None) -> DataFrame:

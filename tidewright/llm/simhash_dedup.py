@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, hex64, space_words, utf8
+from .common import cut, hex64, space_words, unused, utf8
 
 BITS = 64
 #: Shingles voted at once, so that a very long text needs bounded memory.
@@ -353,11 +353,13 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     else:
         found = similar_rows(docs, id_col, text_col, k or 5, threshold, prints, few, seed)
     stands = F.col("id").eqNullSafe(F.col("pick.id")) & (F.col("raw") == F.col("pick.raw"))
-    keys = cut(found.filter(stands).groupBy("id", "raw").agg(F.count(F.lit(1)).alias("__n")).select(F.col("id").alias("__id"), F.col("raw").alias("__raw"), "__n"))
+    name, raw, n, text = unused(docs, "__id", "__raw", "__n", "__text")
+    keys = cut(found.filter(stands).groupBy("id", "raw").agg(F.count(F.lit(1)).alias(n)).select(F.col("id").alias(name), F.col("raw").alias(raw), n))
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    same = docs[id_col].eqNullSafe(F.col("__id")) & (F.xxhash64(utf8(docs[text_col])) == F.col("__raw"))
-    kept = docs.join(keys.filter("__n = 1"), same, "left_semi")
-    if keys.filter("__n > 1").isEmpty():
+    same = docs[id_col].eqNullSafe(F.col(name)) & (F.xxhash64(utf8(docs[text_col])) == F.col(raw))
+    kept = docs.join(keys.filter(F.col(n) == 1), same, "left_semi")
+    several = keys.filter(F.col(n) > 1)
+    if several.isEmpty():
         return kept
-    repeated = docs.withColumn("__text", F.xxhash64(utf8(docs[text_col]))).join(keys.filter("__n > 1"), F.col(f"`{id_col}`").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__raw")), "left_semi")
-    return kept.union(repeated.dropDuplicates([id_col, "__text"]).select(*columns))
+    repeated = docs.withColumn(text, F.xxhash64(utf8(docs[text_col]))).join(several, F.col(f"`{id_col}`").eqNullSafe(F.col(name)) & (F.col(text) == F.col(raw)), "left_semi")
+    return kept.union(repeated.dropDuplicates([id_col, text]).select(*columns))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import alnum_words, cut, utf8
+from .common import alnum_words, cut, unused, utf8
 
 #: Identity terms by kind; a term is swapped for the others of its kind: fixed values.
 IDENTITY_TERMS = (
@@ -182,4 +182,5 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 def keep_civil(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """The rows of docs that score below the threshold, with their columns as they were."""
-    return docs.select([F.col(f"`{c}`") for c in docs.columns] + [score(docs, model, text_col).alias("__score")]).filter(F.col("__score") < threshold).drop("__score")
+    (own,) = unused(docs, "__score")
+    return docs.select([F.col(f"`{c}`") for c in docs.columns] + [score(docs, model, text_col).alias(own)]).filter(F.col(own) < threshold).drop(own)
