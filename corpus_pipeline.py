@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewright.llm import decontaminate, mixing, sharding, simhash_dedup, toxicity
-from tidewright.llm.common import WRITTEN, clear, cut, remove, shared_path, table
+from tidewright.llm.common import WRITTEN, clear, cut, remove, shared_path, table, unused
 
 #: Target weights of the sources in the mixture; None: the square roots of their sizes.
 WEIGHTS: dict[str | None, float] | None = None
@@ -51,11 +51,12 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with their size, checksum, shard and place there: a shard's slots follow the mixture, found again from the same rows. These four take the place of columns that have their names."""
-    rows = cut(docs.withColumn("__row", F.monotonically_increasing_id()).withColumn("__tie", mixing.content(docs)))
-    assigned = sharding.assign_shards(rows, keep=("source", "__row", "__tie"))
-    placed = sharding.slots_in_order(mixing.with_places(assigned, WEIGHTS, tie="__tie"))
+    row, tie = unused(docs, "__row", "__tie")
+    rows = cut(docs.withColumn(row, F.monotonically_increasing_id()).withColumn(tie, mixing.content(docs)))
+    assigned = sharding.assign_shards(rows, keep=("source", row, tie))
+    placed = sharding.slots_in_order(mixing.with_places(assigned, WEIGHTS, tie=tie))
     own = ("size", "text_crc32", "shard", "slot")
-    return rows.drop("__tie", *own).join(placed.select("__row", *own), "__row").drop("__row")
+    return rows.drop(tie, *own).join(placed.select(row, *own), row).drop(row)
 
 
 STAGES = [("toxicity", civil), ("near duplicates", distinct), ("benchmark", unseen), ("mixture", mixed), ("shards", sharded)]
