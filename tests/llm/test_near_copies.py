@@ -59,5 +59,19 @@ def test_small_edits_and_buckets_of_many(spark):
     assert {x.doc_id for x in corpus_pipeline.distinct(spark, docs, "").collect()} == {0, 25, 50, 75}
 
 
+def test_short_texts_lose_no_link(spark):
+    """A word more or less at an end of a short text, which one fingerprint alone often tells apart; some bases share phrases."""
+    r = random.Random(8)
+    words = [f"w{i}" for i in range(60)]
+    rows = []
+    for n in range(60):
+        base = r.choices(words, k=r.randrange(1, 28)) if n % 3 or not n else rows[-1][1].split()[: r.randrange(1, 24)] + ["then"]
+        for a, b in ((0, 0), (0, 1), (1, 0), (1, 1)):
+            text = base[a : len(base) - b] if n % 2 else ["first"] * a + base + ["last"] * b
+            rows.append((len(rows), " ".join(text)))
+    docs = spark.createDataFrame(r.sample(rows, len(rows)), "doc_id long, text string")
+    assert len(check(docs, prints=1)) == len(check(docs, prints=1, few=2)) == len(check(docs)) < len(rows)
+
+
 def test_empty(empty):
     assert nc.similar_groups(empty).count() == 0 and nc.keep_one_of_each(empty).count() == 0

@@ -83,3 +83,20 @@ def test_stages_take_rough_rows(spark, rough, sf_dir, tmp_path):
     loads = [sum(r.shard == s for r in placed) for s in range(16)]
     assert max(loads) - min(loads) <= 1
     assert all(sorted(r.slot for r in placed if r.shard == s) == list(range(loads[s])) for s in range(16))
+
+
+#: Names that the stages give columns of their own.
+OWN = ("__score", "__id", "__raw", "__n", "__text", "__bad", "__doc", "__source", "__tie", "__row", "__src", "__h", "__bucket", "__before", "__i", "__block", "__slot", "__nth", "__at", "__keep0", "node", "raw", "pick", "cell", "nth", "h", "lo", "hi", "at")
+
+
+def test_columns_named_like_the_stages_own(spark, rough, sf_dir, tmp_path):
+    """Each stage hands on the values of columns that are named like its own."""
+    docs = rough.select("doc_id", "text", "lang", "source", "n_chars", *[F.concat(F.lit(n), F.col("doc_id")).alias(n) for n in OWN])
+    docs.write.parquet(f"{tmp_path}/documents")
+    docs = spark.read.parquet(f"{tmp_path}/documents")
+    held = set(map(tuple, docs.collect()))
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, sf_dir)
+        got = [tuple(r) for r in out.select(*docs.columns).collect()]
+        assert got and set(got) <= held, name
+        assert out.columns[: len(docs.columns)] == docs.columns, name

@@ -32,6 +32,8 @@ from pyspark.sql import functions as F
 from .common import cut, hex64, space_words, unused, utf8
 
 BITS = 64
+#: Texts of up to so many words meet by rare shingles too: a word more or less is much of a short text's fingerprint, and little of the similarity.
+BRIEF = 30
 #: Shingles voted at once, so that a very long text needs bounded memory.
 CHUNK = 1 << 16
 
@@ -174,8 +176,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 # ------------------------------------------------------------ by similarity
 
 
-def word_prints(docs: DataFrame, id_col: str, text_col: str, prints: int, seed: int) -> DataFrame:
-    """(id, raw, node, prints): node, a digest of the words; raw, a hash of the text as it is; prints, independent fingerprints voted by the words.
+def shingle_set(words: list[bytes], k: int, seed: int) -> np.ndarray:
+    """The distinct shingle hashes."""
+    return np.unique(np.array(shingle_hashes(words, k, seed), np.uint64)).view(np.int64)
+
+
+def word_prints(docs: DataFrame, id_col: str, text_col: str, k: int, prints: int, seed: int) -> DataFrame:
+    """(id, raw, node, prints, brief): node, a digest of the words; raw, a hash of the text as it is; prints, independent fingerprints voted by the words; brief, the shingle set of a text of up to BRIEF words.
 
     A word votes by the square root of its count: an edit that leaves four of five
     5-word shingles changes one word in fifty, and few of a fingerprint's bits.
@@ -190,12 +197,13 @@ def word_prints(docs: DataFrame, id_col: str, text_col: str, prints: int, seed:
             mixed ^= mixed >> np.uint64(shift)
         return np.unpackbits(mixed.view(np.uint8), axis=1)
 
-    @F.arrow_udf("struct<node:binary,prints:array<long>>")
+    @F.arrow_udf("struct<node:binary,prints:array<long>,brief:array<long>>")
     def made(texts: pa.Array) -> pa.Array:
-        nodes, found = [], []
+        nodes, found, brief = [], [], []
         for t in texts.to_pylist():
             words = space_words(t)
             nodes.append(xxhash.xxh3_128_digest(b" ".join(words)))
+            brief.append(shingle_set(words, k, seed) if len(words) <= BRIEF else None)
             count = list(Counter(words).items())
             votes = np.zeros(BITS * prints, np.float32)
             for at in range(0, len(count), 1 << 12):
@@ -203,10 +211,11 @@ def word_prints(docs: DataFrame, id_col: str, text_col: str, prints: int, seed:
                 weight = np.sqrt(np.array([n for _, n in part], np.float32))
                 votes += 2 * (weight @ bits([w for w, _ in part]).astype(np.float32)) - weight.sum()
             found.append(np.packbits(votes > 1e-3).view(np.int64))
-        return pa.StructArray.from_arrays([pa.array(nodes, pa.binary()), pa.array(found, pa.list_(pa.int64()))], ["node", "prints"])
+        lists = pa.list_(pa.int64())
+        return pa.StructArray.from_arrays([pa.array(nodes, pa.binary()), pa.array(found, lists), pa.array(brief, lists)], ["node", "prints", "brief"])
 
     text = utf8(text_col)
-    return docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("raw"), made(text).alias("s")).select("id", "raw", "s.node", "s.prints")
+    return docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("raw"), made(text).alias("s")).select("id", "raw", "s.node", "s.prints", "s.brief")
 
 
 def shingle_sets(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, k: int, seed: int) -> DataFrame:
@@ -214,7 +223,7 @@ def shingle_sets(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str,
 
     @F.arrow_udf("array<long>")
     def hashed(texts: pa.Array) -> pa.Array:
-        return pa.array([np.unique(np.array(shingle_hashes(space_words(t), k, seed), np.uint64)).view(np.int64) for t in texts.to_pylist()], pa.list_(pa.int64()))
+        return pa.array([shingle_set(space_words(t), k, seed) for t in texts.to_pylist()], pa.list_(pa.int64()))
 
     texts = docs.select(F.col(id_col).alias("id"), utf8(text_col).alias("t")).withColumn("raw", F.xxhash64("t"))
     wanted = nodes.select("node", F.col("pick.id").alias("pid"), F.col("pick.raw").alias("praw"))
@@ -235,9 +244,10 @@ def table_keys(print_: Column) -> Column:
 
 
 def similar_links(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, k: int, threshold: float, prints: int, few: int, seed: int) -> DataFrame:
-    """(a, b), a > b: pairs of nodes (node, pick, prints) that connect what all verified links between nodes of a bucket connect: each with the smallest of its component.
+    """(a, b), a > b: pairs of nodes (node, pick, prints, brief) that connect what all verified links between nodes of a bucket connect: each with the smallest of its component.
 
-    Nodes that agree in a covering table of one of their fingerprints share a bucket.
+    Nodes that agree in a covering table of one of their fingerprints share a bucket, and
+    so do short texts by the rarest of their shingles, with which no pair of them is missed.
     All pairs of up to `few` nodes are compared. In a larger bucket each node is
     compared with the leader alone: the one that shares buckets with the most others,
     as the text does that the others are copies of. A bucket that the links hold
@@ -248,14 +258,15 @@ def similar_links(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str,
     that may lead have led.
     """
     buckets = lambda n: F.transform(table_keys(F.col("prints")[n]), lambda key: F.xxhash64(F.lit(n), key))
-    rows = nodes.select("node", F.explode(F.flatten(F.array(*[buckets(n) for n in range(prints)]))).alias("bucket"))
-    met = cut(_met(rows))
+    rows = nodes.select("node", F.explode(F.flatten(F.array(*[buckets(n) for n in range(prints)]))).alias("bucket"), F.lit(True).alias("leads"))
+    short = nodes.filter(F.size("brief") > 0).select("node", F.col("brief").alias("s"))
+    met = cut(_met(rows.unionByName(rarest(short, threshold))))
     shared = met.groupBy("node").agg(F.sum("n").alias("fame"))
     sets = cut(shingle_sets(docs, nodes.join(shared, "node", "left_semi"), id_col, text_col, k, seed))
     # with the size of each set, so that pairs whose sizes rule the similarity out are never made
     fame = cut(shared.join(sets.select("node", F.size("s").alias("size")), "node"))
     near = lambda a, b: F.least(a, b) >= threshold * F.greatest(a, b) - 1
-    met, links, depth = met.join(fame, "node").select("node", "bucket", "n", "fame", "size", F.col("node").alias("root"), F.lit(True).alias("leads")), None, 0
+    met, links, depth = met.join(fame, "node").select("node", "bucket", "n", "fame", "size", F.col("node").alias("root"), "leads"), None, 0
     while True:
         small = met.filter(F.col("n") <= few).groupBy("bucket").agg(F.collect_list(F.struct("node", "root", "leads", "size")).alias("held"))
         pairs = small.select("held", F.explode("held").alias("a")).select("a", F.explode("held").alias("b")).filter("a.node > b.node and a.root != b.root and (a.leads or b.leads)").filter(near(F.col("a.size"), F.col("b.size"))).select("a.node", "b.node")
@@ -283,8 +294,9 @@ def similar_links(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str,
 
 
 def _met(rows: DataFrame) -> DataFrame:
-    """rows (node, bucket) with n, the size of the bucket, from 2."""
-    return rows.join(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "bucket")
+    """rows (node, bucket, leads) with n, the size of the bucket: buckets of two and more, one of which may lead."""
+    held = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.max("leads").alias("some"))
+    return rows.join(held.filter("n > 1 and some").select("bucket", "n"), "bucket")
 
 
 def _leaders(large: DataFrame, leaders: int, depth: int) -> DataFrame:
@@ -324,8 +336,8 @@ def rarest(sets: DataFrame, threshold: float, step: float = 1.05) -> DataFrame:
 
 def similar_rows(docs: DataFrame, id_col: str, text_col: str, k: int, threshold: float, prints: int, few: int, seed: int) -> DataFrame:
     """_grouped() by links of the similarity."""
-    rows = cut(word_prints(docs, id_col, text_col, prints, seed))
-    nodes = cut(rows.groupBy("node").agg(F.min(F.struct("id", "raw")).alias("pick"), F.first("prints").alias("prints")))
+    rows = cut(word_prints(docs, id_col, text_col, k, prints, seed))
+    nodes = cut(rows.groupBy("node").agg(F.min(F.struct("id", "raw")).alias("pick"), F.first("prints").alias("prints"), F.first("brief").alias("brief")))
     return _grouped(rows.select("id", "raw", "node"), similar_links(docs, nodes, id_col, text_col, k, threshold, prints, few, seed))
 
 
@@ -333,7 +345,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """(id_col, component_id): the group of each row; component_id is the smallest id reachable over pairs whose k-word shingles have the similarity.
 
     SimHash finds the pairs, the shingle sets decide. A pair is missed if it agrees in
-    no table of any of `prints` fingerprints.
+    no table of any of `prints` fingerprints, and one of the two has more than BRIEF words.
     """
     return similar_rows(docs, id_col, text_col, k, threshold, prints, few, seed).select(F.col("id").alias(id_col), "component_id")
 
