@@ -49,7 +49,8 @@ class TextIndex:
         n = len(listed(self.spark, f"{self.folder}/totals"))
         made = f"{self.folder}/postings/batch={n}"
         rows = postings(docs, key, text).withColumn("bucket", self._bucket(F.col("term")))
-        rows.repartition(self.buckets, "bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(made)
+        # a bucket grows with the texts, a task does not: large buckets are parted, small ones have one file
+        rows.hint("rebalance", F.col("bucket")).sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(made)
         sizes = self.spark.read.parquet(made).groupBy("key").agg(F.first("size").alias("size")) if listed(self.spark, made) != ["_SUCCESS"] else None
         words = sizes.agg(F.sum("size")).first()[0] if sizes is not None else 0
         self.spark.createDataFrame([(n, docs.count(), words or 0)], "batch int, docs long, words long").write.parquet(f"{self.folder}/totals/{n}")
