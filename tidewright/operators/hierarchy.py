@@ -39,13 +39,14 @@ def roots(edges: DataFrame, child: str, parent: str) -> DataFrame:
     depth: cyclic. Null nodes are left out.
     """
     up = edges.filter(F.col(child).isNotNull() & F.col(parent).isNotNull()).groupBy(F.col(child).alias("node")).agg(F.min(parent).alias("at"))
-    top = up.select(F.col("at").alias("node")).distinct().join(up, "node", "left_anti").select("node", F.col("node").alias("at"), F.lit(0).cast("long").alias("depth"), F.lit(True).alias("done"))
+    # the joins are merges: files of nodes are small for their rows, and Spark would send them all through the driver in each round
+    top = up.select(F.col("at").alias("node")).distinct().join(up.hint("merge"), "node", "left_anti").select("node", F.col("node").alias("at"), F.lit(0).cast("long").alias("depth"), F.lit(True).alias("done"))
     state = cut(up.select("node", "at", F.lit(1).cast("long").alias("depth"), F.lit(False).alias("done")).union(top))
     nodes, steps = state.count(), 1
     while steps < 2 * nodes:
         held, open_ = state.filter("done"), state.filter("not done")
         place = state.select(F.col("node").alias("at"), F.col("at").alias("__at"), F.col("depth").alias("__depth"), F.col("done").alias("__done"))
-        moved = open_.join(place, "at").select("node", F.col("__at").alias("at"), (F.col("depth") + F.col("__depth")).alias("depth"), F.col("__done").alias("done"))
+        moved = open_.join(place.hint("merge"), "at").select("node", F.col("__at").alias("at"), (F.col("depth") + F.col("__depth")).alias("depth"), F.col("__done").alias("done"))
         state = cut(held.union(moved))
         if state.filter("not done").isEmpty():
             break
