@@ -11,10 +11,16 @@ from pyspark.sql import types as T
 
 from ..plans.registry import query
 from ..sources.tables import TABLES, cut, table
-from .audit import AUDITED, digest, key_candidate
+from .audit import AUDITED, key_candidate
 
 #: Relative error of a distinct-count sketch; a set of columns is given up when its sketch is six errors short of the rows.
 ERROR = 0.02
+#: The sketches have two to this power registers, which makes their error 1.7 %.
+LOG_SIZE = 12
+#: One in so many values of a set of columns is looked at for repeats before all are counted.
+PARTS = 64
+#: Columns that one whole number has bits for.
+BITS = 62
 KEYS = "table_name string, key string, n_columns int"
 
 
@@ -32,11 +38,10 @@ def candidate_keys(df: DataFrame, most: int = 2) -> list[tuple[str, ...]]:
 
     Level by level: one pass sketches the distinct counts of all sets of a size that no
     smaller key is in; a set is left out if its columns' counts can't multiply to the rows.
-    What the sketches leave is verified by exact counts.
+    What the sketches leave is verified by exact counts, unless a part of its values repeats.
     """
     own = [f.name for f in df.schema if family(f.dataType)]
-    kinds = {f.name: f.dataType for f in df.schema}
-    sketch = lambda names: F.approx_count_distinct(F.struct(*[digest(F.col(f"`{n}`"), kinds[n]) for n in names]), ERROR)
+    sketch = lambda names: F.hll_sketch_estimate(F.hll_sketch_agg(F.xxhash64(*[F.col(f"`{n}`") for n in names]), F.lit(LOG_SIZE)))
     first = df.agg(F.count(F.lit(1)), *[x for n in own for x in (sketch((n,)), F.count(f"`{n}`"))]).first()
     n_rows, distinct, keys = first[0], {}, []
     for i, n in enumerate(own):
@@ -52,10 +57,22 @@ def candidate_keys(df: DataFrame, most: int = 2) -> list[tuple[str, ...]]:
             # the sketches err by 2 % or so: a factor of two a column is far beyond
             sets = [s for s in sets if reduce(lambda a, b: a * b, (2 * distinct[c] for c in s)) >= n_rows]
             counts = dict(zip(sets, df.agg(*[sketch(s) for s in sets]).first(), strict=True)) if sets else {}
-        keys += [s for s, n in counts.items() if n >= n_rows * (1 - 6 * ERROR) and key_candidate(df.select(*[f"`{c}`" for c in s]), list(s)).first().is_key]
+        left = [s for s, n in counts.items() if n >= n_rows * (1 - 6 * ERROR)]
+        repeats = repeated(df, left)
+        keys += [s for s in left if s not in repeats and key_candidate(df.select(*[f"`{c}`" for c in s]), list(s)).first().is_key]
     return keys
 
 
+def repeated(df: DataFrame, sets: list[tuple[str, ...]]) -> set[tuple[str, ...]]:
+    """Those of the sets of columns that are seen to be no keys: a value among one in PARTS of theirs is there twice. All rows of such a value are looked at, so a set that is named here is none for certain."""
+    found = []
+    for i, s in enumerate(sets):
+        own = [F.col(f"`{c}`") for c in s]
+        few = df.select(*own).filter(F.pmod(F.xxhash64(*own), F.lit(PARTS)) == 0)
+        found.append(few.groupBy(*own).agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1").limit(1).select(F.lit(i).alias("i")))
+    return {sets[r.i] for r in reduce(DataFrame.unionAll, found).collect()} if found else set()
+
+
 def discover_keys(tables: dict[str, DataFrame], most: int = 2) -> DataFrame:
     """KEYS: the candidate keys of each table; key: its columns, sorted, comma-joined."""
     rows = [(t, ",".join(sorted(k)), len(k)) for t, df in sorted(tables.items()) for k in candidate_keys(df, most)]
@@ -65,24 +82,28 @@ def discover_keys(tables: dict[str, DataFrame], most: int = 2) -> DataFrame:
 def inclusions(tables: dict[str, DataFrame]) -> DataFrame:
     """(table_name, column_name, ref_table, ref_column): each column all of whose values another column of its family has, and that one is a key. Columns without values are in none.
 
-    All cells are met by value once: a value's columns are a small set, and equal sets are
-    counted together, so what the pairs are made of are sets, not values.
+    All cells are met by value once: a value's columns are the bits of a few whole numbers,
+    which each task joins before it sends them on, and equal sets of columns are counted
+    together, so what the pairs are made of are sets, not values.
     """
     spark = next(iter(tables.values())).sparkSession
     columns = [(t, f.name, family(f.dataType)) for t, df in sorted(tables.items()) for f in df.schema if family(f.dataType)]
     keyed = {(t, k[0]) for t, df in tables.items() for k in candidate_keys(df, 1)}
     place = {c[:2]: i for i, c in enumerate(columns)}
+    words = [f"w{i}" for i in range(-(-len(columns) // BITS))]
     each = []
     for t, df in sorted(tables.items()):
         own = [f for f in df.schema if family(f.dataType)]
         if own:
             wide = lambda f: F.col(f"`{f.name}`").cast({"number": "long", "time": "timestamp_ntz"}.get(family(f.dataType), "string"))
-            kind = lambda f: {"number": T.LongType(), "time": T.TimestampNTZType()}.get(family(f.dataType), T.StringType())
-            cells = F.array(*[F.struct(F.lit(place[t, f.name]).alias("c"), F.lit(family(f.dataType)).alias("family"), digest(wide(f), kind(f)).alias("v")) for f in own])
-            each.append(df.select(F.explode(cells).alias("x")).select("x.*").filter("v is not null").distinct())
-    # a value has at most one row for each column
-    sets = reduce(DataFrame.unionByName, each).groupBy("family", "v").agg(F.array_sort(F.collect_set("c")).alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("n"))
-    sets = cut(sets)
+            # values of two families are never the same
+            value = lambda f: [F.when(F.col(f"`{f.name}`").isNotNull(), F.xxhash64(F.lit(f"{n}{family(f.dataType)}"), wide(f))).alias(n) for n in "ab"]
+            bit = lambda f: [F.lit(1 << place[t, f.name] % BITS if place[t, f.name] // BITS == i else 0).cast("long").alias(w) for i, w in enumerate(words)]
+            each.append(df.select(F.explode(F.array(*[F.struct(*value(f), *bit(f)) for f in own])).alias("x")).select("x.*").filter("a is not null"))
+    values = reduce(DataFrame.unionByName, each).groupBy("a", "b").agg(*[F.bit_or(w).alias(w) for w in words])
+    sets = cut(values.groupBy(*words).agg(F.count(F.lit(1)).alias("n")))
+    held = F.array(*[F.when(F.col(words[c // BITS]).bitwiseAND(F.lit(1 << c % BITS)) != 0, F.lit(c)) for c in range(len(columns))])
+    sets = sets.select("n", F.array_compact(held).alias("s"))
     pairs = sets.select("n", "s", F.explode("s").alias("c")).select("n", "c", F.explode("s").alias("d"))
     held = pairs.groupBy("c", "d").agg(F.sum("n").alias("n"))
     whole = held.filter("c = d").select("c", F.col("n").alias("total"))
