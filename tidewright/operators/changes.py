@@ -137,9 +137,12 @@ def row_filter(before: str | Column, after: str | Column) -> Column:
     """
     image = F.coalesce(*[F.when(F.size(x) > 0, x) for x in (F.col(before) if isinstance(before, str) else before, F.col(after) if isinstance(after, str) else after)])
     held = F.transform(F.filter(F.map_entries(image), lambda e: e["value"].isNotNull()), lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value")))
-    named = lambda n: F.filter(held, lambda e: e["key"] == n)
-    known = F.flatten(F.array(*[named(n) for n in KEY_NAMES]))
-    return F.coalesce(F.map_from_entries(F.when(F.size(known) > 0, F.slice(known, 1, 1)).otherwise(F.slice(held, 1, 2))), F.create_map().cast("map<string,string>"))
+    # what is used more than once is the one element of a list that is gone through: Spark would compute it anew for each use
+    once = lambda column, use: F.transform(F.array(column), use)[0]
+    rank = lambda e, i: F.struct(F.array_position(F.array(*[F.lit(n) for n in KEY_NAMES]), e["key"]).alias("rank"), i.alias("i"), e["key"].alias("key"), e["value"].alias("value"))
+    best = lambda h: F.array_min(F.filter(F.transform(h, rank), lambda e: e["rank"] > 0))
+    found = once(held, lambda h: once(best(h), lambda b: F.when(b.isNotNull(), F.array(F.struct(b["key"].alias("key"), b["value"].alias("value")))).otherwise(F.slice(h, 1, 2))))
+    return F.coalesce(F.map_from_entries(found), F.create_map().cast("map<string,string>"))
 
 
 def apply_by_filter(target: DataFrame, changes: DataFrame, seq: list[str]) -> DataFrame:
@@ -152,6 +155,8 @@ def apply_by_filter(target: DataFrame, changes: DataFrame, seq: list[str]) -> Da
     does nothing. Filters over different columns are applied one after the other.
     """
     columns, named = [F.col(f"`{c}`") for c in target.columns], {c.lower(): c for c in target.columns}
+    # each set of columns reads the changes: what a filter costs, it costs once
+    changes = cut(changes.select("op", "filter", "data", *[F.col(f"`{s}`") for s in seq]))
     added = changes.filter((F.col("op") == "INSERT") | ((F.size("filter") == 0) & (F.col("op") != "DELETE"))).select("data.*")
     found = changes.filter((F.col("op") != "INSERT") & (F.size("filter") > 0)).withColumn("names", F.array_sort(F.map_keys("filter")))
     # one row for each set of columns that filters name
