@@ -1,6 +1,7 @@
 import datetime as dt
 import random
 import sqlite3
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -52,6 +53,40 @@ def test_state_expires_behind_the_watermark(spark, tmp_path):
     assert sorted(passed) == [(1, "a"), (1, "new"), (2, "b"), (3, "c")]
 
 
+def test_many_keys_cost_no_call_each(spark, tmp_path):
+    """20,000 keys in two batches; the second has older, equal and newer positions, keys that differ in null alone, and whole numbers that a double can't hold beside nulls."""
+    kind, big = "k long, j string, at timestamp, n long, v long", 2**60 + 1
+    day = lambda n: dt.datetime(2024, 1, 1 + n)
+    key = lambda i: (big + i if i % 5 else None, str(i) if i % 7 else None)
+    rows = {key(i): i for i in range(20_000)}
+    for b in range(2):
+        made = [(*k, day(1 + (b and i % 3 - 1)), big, big + i if i % 2 else None) for k, i in rows.items()]
+        spark.createDataFrame(made, kind).coalesce(1).write.parquet(f"{tmp_path}/in/{b}")
+    stream = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    began = time.monotonic()
+    counts = late.keep_newest(spark, stream, ["k", "j"], ["at", "n"], "900 days", f"{tmp_path}/out", f"{tmp_path}/offsets")
+    assert time.monotonic() - began < 60  # one call a key took minutes
+    newer = [k for k, i in rows.items() if i % 3 == 2]
+    assert (counts["passed"], counts["refused"]) == (len(rows) + len(newer), len(rows) - len(newer))
+    got = spark.read.parquet(f"{tmp_path}/out").filter("passed").select("batch", "k", "j", F.dayofmonth("at"), "n", "v").collect()
+    want = [(0, *k, 2, big, big + i if i % 2 else None) for k, i in rows.items()] + [(1, *k, 3, big, big + rows[k] if rows[k] % 2 else None) for k in newer]
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
+def test_an_hour_that_comes_twice(spark, tmp_path):
+    """In the zone's autumn the newer change is the older one by the clock."""
+    zone, kind = spark.conf.get("spark.sql.session.timeZone"), "k int, at timestamp, n int"
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        for n, at in enumerate(("05:50", "06:10", "05:55")):
+            spark.createDataFrame([(1, f"2024-11-03T{at}:00Z", n)], "k int, at string, n int").withColumn("at", F.col("at").cast("timestamp")).coalesce(1).write.parquet(f"{tmp_path}/in/{n}")
+        stream = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+        late.keep_newest(spark, stream, ["k"], ["at", "n"], "1 day", f"{tmp_path}/out", f"{tmp_path}/offsets")
+        assert [(x.n, x.passed) for x in spark.read.parquet(f"{tmp_path}/out").orderBy("batch").collect()] == [(0, True), (1, True), (2, False)]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
 def server(path, rows):
     with sqlite3.connect(path) as db:
         db.execute("CREATE TABLE IF NOT EXISTS t (id INTEGER, changed TEXT, v TEXT)")

@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.changes import FOLD_SQL, latest, operation
 from ..plans.registry import query
-from ..sources.tables import cut, remove, shared_path, table
+from ..sources.tables import cut, listed, remove, shared_path, table
 from .capture import _pattern
 
+#: Rows are kept as JSON; times to the microsecond.
+TIMES = {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
 STORE = "spark.sql.streaming.stateStore.providerClass"
 
 
@@ -30,60 +32,68 @@ def rocksdb(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(STORE, was)
 
 
-class Newest(StatefulProcessor):
-    """Lets the newest change of a key pass if it is newer than what has passed before.
+def _newest(order: list[str]) -> Callable[[tuple, Iterator[pd.DataFrame], GroupState], Iterator[pd.DataFrame]]:
+    """Lets the newest change of a key pass if it is newer than what has passed before, for all keys of a bucket at once.
 
-    The state of a key is the position that passed last. A timer ends it when the watermark
-    has passed that time: whatever is older is late by then, and never gets here.
+    The state of a bucket is the position of each of its keys that passed last. A key's position
+    ends when the watermark has passed that time: whatever is older is late by then, and
+    never gets here. A timer sees to buckets that get no more rows.
     """
 
-    def __init__(self, position: T.StructType, names: list[str]):
-        self.position, self.names = position, names
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.held = handle.getValueState("position", self.position)
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        held = tuple(self.held.get()) if self.held.exists() else None
-        seq, best, n = [f.name for f in self.position], None, 0
-        for part in rows:
-            n += len(part)
-            top = part.sort_values(seq, na_position="first").iloc[-1:]
-            place = tuple(x.to_pydatetime() if isinstance(x, pd.Timestamp) else x.item() if hasattr(x, "item") else x for x in top[seq].iloc[0])
-            if best is None or place > best[0]:
-                best = (place, top)
-        fresh = best is not None and (held is None or best[0] > held)
-        if fresh:
-            self.held.update(best[0])
-            for timer in list(self.handle.listTimers()):
-                self.handle.deleteTimer(timer)
-            ends = int(pd.Timestamp(best[0][0]).timestamp() * 1000) + 1
-            if ends > timerValues.getCurrentWatermarkInMs():
-                self.handle.registerTimer(ends)
-        out = best[1].assign(n_refused=n - fresh, passed=fresh)
-        yield out[[*self.names, "passed", "n_refused"]]
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        self.held.clear()
-        return iter(())
-
-    def close(self) -> None:
-        pass
-
-
-def newest_changes(stream: DataFrame, key: list[str], seq: list[str], delay: str) -> DataFrame:
+    def last(rows: pd.DataFrame) -> pd.DataFrame:
+        n = rows.groupby("__key")["__n"].sum()
+        top = rows.sort_values(order).drop_duplicates("__key", keep="last")
+        return top.assign(__n=top["__key"].map(n))
+
+    def fold(bucket: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = pd.DataFrame(dict(zip(["__key", *order], state.get, strict=True))) if state.exists else None
+        if not state.hasTimedOut:
+            # a part is folded before the next one is read, so a hot key costs no memory
+            best = last(pd.concat([last(part.assign(__n=1)) for part in parts], ignore_index=True)).assign(__new=True)
+            both = best if held is None else pd.concat([held.assign(__new=False), best], ignore_index=True)
+            # of equal positions the held one stays
+            held = both.sort_values([*order, "__new"], ascending=[True] * len(order) + [False]).drop_duplicates("__key", keep="last")
+            passed = best["__key"].isin(held.loc[held["__new"], "__key"])
+            yield pd.DataFrame({"row": best["__row"], "passed": passed, "n_refused": best["__n"] - passed})
+        now = max(state.getCurrentWatermarkMs(), 0)
+        held = held[(held[order[0]] // 1000 + 1 > now) | (held[order[0]] < 0)]  # no timer is there for times before 1970
+        if held.empty:
+            if state.exists:
+                state.remove()
+            return
+        state.update(tuple(held[c].tolist() for c in ("__key", *order)))
+        ends = held[order[0]].where(held[order[0]] >= 0).min()
+        if ends == ends:
+            state.setTimeoutTimestamp(int(ends) // 1000 + 1)
+
+    return fold
+
+
+def newest_changes(stream: DataFrame, key: list[str], seq: list[str], delay: str, buckets: int = 512) -> DataFrame:
     """The columns of stream, passed and n_refused: for each key of a batch its newest change, and whether it is newer than all that passed before; n_refused: changes that are not.
 
     seq: what orders changes, a time first (no nulls). A change may come `delay` after later
     ones; beyond that Spark drops it as late, and counts it in the stream's progress.
+    buckets: groups of keys whose state is kept together, since a call of Python for each
+    key costs more than the key; a checkpoint keeps to its number.
     """
-    at = seq[0]
-    position = T.StructType([stream.schema[s] for s in seq])
-    timed = stream.withWatermark(at, delay)
-    out = T.StructType([*stream.schema.fields, T.StructField("passed", T.BooleanType()), T.StructField("n_refused", T.LongType())])
-    made = timed.groupBy(*key).transformWithStateInPandas(Newest(position, stream.columns), out, "Update", "EventTime")
-    return made
+    order, kinds = [], []
+    for s in seq:
+        c, kind = F.col(f"`{s}`"), stream.schema[s].dataType
+        if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+            # pandas has times without a zone, where an hour may come twice
+            c, kind = F.unix_micros(c if isinstance(kind, T.TimestampType) else F.to_timestamp_ltz(F.concat(c.cast("string"), F.lit("Z")))), T.LongType()
+        order.append(c.alias(f"__{len(order)}"))
+        kinds.append(kind)
+    names = [f"__{i}" for i in range(len(order))]
+    position = T.StructType([T.StructField("__key", T.ArrayType(T.StringType())), *[T.StructField(n, T.ArrayType(k)) for n, k in zip(names, kinds, strict=True)]])
+    # a row goes through Python as text: pandas would make doubles of whole numbers beside nulls
+    keys = [F.col(f"`{k}`") for k in key]
+    timed = stream.withWatermark(seq[0], delay).select(
+        F.pmod(F.xxhash64(*keys), F.lit(buckets)).alias("__bucket"), F.to_json(F.struct(*keys), TIMES).alias("__key"), *order, F.to_json(F.struct("*"), TIMES).alias("__row"), F.col(f"`{seq[0]}`").alias("__at")
+    )
+    made = timed.groupBy("__bucket").applyInPandasWithState(_newest(names), "row string, passed boolean, n_refused long", position, "update", GroupStateTimeout.EventTimeTimeout)
+    return made.select(F.from_json("row", stream.schema, TIMES).alias("row"), "passed", "n_refused").select("row.*", "passed", "n_refused")
 
 
 def keep_newest(spark: SparkSession, stream: DataFrame, key: list[str], seq: list[str], delay: str, out: str, checkpoint: str) -> dict:
@@ -107,10 +117,11 @@ def stream_late_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_path(spark, "late")
     events = table(spark, sf_dir, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"), "event_id", "value", operation(F.col("event_type")).alias("op"))
     twice = events.withColumn("n", F.explode(F.array(F.lit(1), F.lit(2))))
-    # the batch goes with a hash of event and copy
-    dealt = twice.repartition(4, F.xxhash64("event_id", "n")).drop("n")
+    # the batch goes with a hash of event and copy; each has files for all tasks
+    dealt = twice.repartition(4 * spark.sparkContext.defaultParallelism, F.xxhash64("event_id", "n")).drop("n")
     dealt.write.parquet(f"{folder}/in")
-    stream = spark.readStream.schema(dealt.schema).option("maxFilesPerTrigger", 1).parquet(_pattern(f"{folder}/in"))
+    files = sum(n.startswith("part-") for n in listed(spark, f"{folder}/in"))
+    stream = spark.readStream.schema(dealt.schema).option("maxFilesPerTrigger", -(-files // 4)).parquet(_pattern(f"{folder}/in"))
     # batches come in no order of time, so all of history may come late
     keep_newest(spark, stream, ["user_id"], ["ts", "event_id"], "36500 days", f"{folder}/out", f"{folder}/offsets")
     passed = spark.read.parquet(f"{folder}/out").filter("passed")
