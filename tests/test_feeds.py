@@ -131,3 +131,37 @@ def test_a_load_starts_where_the_source_stands(spark, folder):
     assert listed_of(feeds.sync_feeds(spark, {"a": (feed("a", more), more), "b": (feed("b", now), now)}, folder, buckets=2)) == [("a", 1, 2, 2), ("b", 0, 0, 2)]
     assert held(spark, folder, feed("a", now), ("id", "v")) == [(1, "x"), (2, "z"), (3, "w")]
     assert listed_of(feeds.sync_feeds(spark, {"a": (feed("a", more), more)}, folder, buckets=2)) == []
+
+
+@pytest.mark.parametrize("n", range(4))
+@pytest.mark.parametrize("far_off", [False, True])
+def test_a_batch_ends_at_the_same_position_by_ranges(spark, events, folder, monkeypatch, n, far_off):
+    """Batches of a sample and several ranges have the counts and positions that sorting all changes tells, also when the sample is far off."""
+    feed = feeds.event_feeds(events)[n]
+    seqs = [r.p for r in feeds.feed_changes(feed).orderBy("seq").select(F.to_json(F.struct("seq"), feeds.TIMES).alias("p")).collect()]
+    want, at = [], 0
+    while at < len(seqs):
+        last = seqs[min(at + 170, len(seqs)) - 1]
+        end = max(i for i, p in enumerate(seqs) if p == last) + 1
+        want, at = [*want, (end - at, last)], end
+    monkeypatch.setattr(feeds, "RANGE", 20)
+    monkeypatch.setattr(feeds, "SAMPLE", len(seqs) // 2)
+    if far_off:
+        monkeypatch.setattr(feeds, "_surely", lambda feed, position, most: seqs[seqs.index(position) + 1 if position else 0])
+    report = feeds.run_feeds(spark, [feed], folder, 170, None if not far_off else 2, 2).collect()
+    assert [(r.n_changes, r.position) for r in report] == (want if not far_off else want[:2])
+
+
+def test_no_task_sorts_a_whole_batch(spark):
+    """The n-th position is met in ranges: no limit over all changes, ties and nulls kept apart."""
+    changes = spark.range(300_000).select(F.when(F.col("id") % 10 == 0, 7).when(F.col("id") % 101 != 0, F.col("id")).alias("seq"))
+    held = sorted(r.seq for r in changes.filter("seq is not null").collect())
+    for n in (1, 9, 20_000, 30_009, 200_000, len(held)):
+        assert json.loads(feeds.nth_position(changes, n)) == {"seq": held[n - 1]}
+    assert feeds.nth_position(changes, len(held) + 1) is None
+
+
+def test_an_event_is_parsed_once(spark, events):
+    feed = feeds.event_feeds(events)[3]
+    plan = feeds.feed_changes(feed).filter("seq > '0000000000000000100'")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(") == 1

@@ -44,7 +44,8 @@ def told(events: DataFrame, column: str, fields: str) -> DataFrame:
     no problem.
     """
     kind = f"_id struct<_data:string>, operationType string, ns struct<coll:string>, documentKey struct<_id:string>, fullDocument struct<{fields}>"
-    read = events.select(F.col(column).alias("raw"), F.from_json(column, kind).alias("e"))
+    # made a row of its own, an event is parsed once; filters on it would else parse it again for each field
+    read = events.select(F.col(column).alias("raw"), F.explode(F.array(F.from_json(column, kind))).alias("e"))
     op = F.element_at(F.create_map(*[F.lit(x) for kv in STREAM_OPERATIONS.items() for x in kv]), F.col("e.operationType"))
     rows = read.select(F.col("e._id._data").alias("seq"), op.alias("op"), F.col("e.ns.coll").alias("table_name"), F.col("e.documentKey._id").alias("key"), F.when(op != "DELETE", F.col("e.fullDocument")).alias("data"), "raw", F.col("e.operationType").alias("__kind"))
     problem = (

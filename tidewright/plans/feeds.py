@@ -14,10 +14,11 @@ On stores whose rename is no single step one writer a table must be ensured from
 from __future__ import annotations
 
 import json
+import math
 import uuid
 from dataclasses import asdict, dataclass, field, replace
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,6 +28,10 @@ from .registry import query
 
 #: Positions are kept as JSON; times to the microsecond.
 TIMES = {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
+#: Rows of a feed that are looked at to tell about where a batch ends.
+SAMPLE = 10_000
+#: Positions that one task sorts to tell exactly.
+RANGE = 100_000
 REPORT = "source string, table_name string, batch long, status string, n_changes long, n_put long, n_deleted long, n_aside long, position string, error string"
 
 
@@ -172,8 +177,7 @@ def _after(changes: DataFrame, feed: Feed, position: str | None) -> DataFrame:
     """The changes behind a position. A polled table is filtered by its own columns, which a scan can skip files by."""
     if position is None:
         return changes
-    kind = changes.schema["seq"].dataType
-    held = F.from_json(F.lit(position), T.StructType([T.StructField("seq", kind)]), TIMES)["seq"]
+    held = _held(position, changes)
     if source_kind(feed.rows.columns) == "poll":
         at = change_time(feed.rows.schema)
         later_rows = later(at, feed.tie, (held["at"], held["key"])) if feed.tie else F.col(f"`{at}`") > held["at"]
@@ -182,6 +186,52 @@ def _after(changes: DataFrame, feed: Feed, position: str | None) -> DataFrame:
     return changes.filter((F.col("seq") > held) | F.col("seq").isNull())
 
 
+def _held(position: str, changes: DataFrame) -> Column:
+    """A position as a value."""
+    return F.from_json(F.lit(position), T.StructType([T.StructField("seq", changes.schema["seq"].dataType)]), TIMES)["seq"]
+
+
+def _told(seq: Column) -> Column:
+    """A position as JSON."""
+    return F.to_json(F.struct(seq.alias("seq")), TIMES)
+
+
+def _upto(changes: DataFrame, position: str) -> DataFrame:
+    """The changes up to a position, and those without one."""
+    return changes.filter((F.col("seq") <= _held(position, changes)) | F.col("seq").isNull())
+
+
+def _surely(feed: Feed, position: str | None, most: int) -> str | None:
+    """A position that the next `most` changes hardly reach, by a sample of the rows; None: nothing can be left out."""
+    share = SAMPLE / max(feed.rows.count(), 1)
+    if share >= 1:
+        return None
+    sample = _after(feed_changes(replace(feed, rows=feed.rows.sample(share))), feed, position).filter("seq is not null")
+    n = math.ceil(most * share + 4 * math.sqrt(most * share)) + 4
+    # no more of the sample than the n smallest are kept by a task
+    found, last = sample.select("seq").orderBy("seq").limit(n).agg(F.count("seq"), _told(F.max("seq"))).first()
+    return last if found == n else None
+
+
+def nth_position(changes: DataFrame, n: int) -> str | None:
+    """The position of the n-th change, exactly; None if there are fewer. Ranges of positions are counted, and only the one where it lies is sorted; changes at one position are one row of it."""
+    placed = changes.filter("seq is not null").select("seq")
+    size = placed.count()
+    if size < n:
+        return None
+    below, parts = 0, min(-(-size // RANGE), 1000)
+    if parts > 1:
+        # ranges are numbered in their order
+        counted = placed.repartitionByRange(parts, "seq").groupBy(F.spark_partition_id().alias("i")).agg(F.count("seq"), _told(F.min("seq")), _told(F.max("seq")))
+        for _, here, low, high in sorted(counted.collect()):
+            if below + here >= n:
+                placed = placed.filter((F.col("seq") >= _held(low, placed)) & (F.col("seq") <= _held(high, placed)))
+                break
+            below += here
+    reached = placed.groupBy("seq").count().withColumn("upto", F.sum("count").over(Window.orderBy("seq")))
+    return reached.filter(F.col("upto") >= n - below).agg(_told(F.min("seq"))).first()[0]
+
+
 def apply_batch(feed: Feed, folder: str, most: int | None = None, buckets: int = 64) -> Entry | None:
     """Applies the next changes of a feed, all or about `most` of them (changes at one position stay together), and makes the ledger's entry; None if there are none."""
     spark, written = feed.rows.sparkSession, len(WRITTEN)
@@ -192,12 +242,17 @@ def apply_batch(feed: Feed, folder: str, most: int | None = None, buckets: int =
     if entry is None:
         entry = Entry(feed.source, feed.table, -1, None, feed.key, buckets, changes.select(*[f"`{c}`" for c in columns]).schema.json())
     fresh = _after(changes, feed, entry.position)
+    # what a change was read from is kept for those that can't be applied
+    fresh = fresh.withColumn("raw", F.when(F.col("problem").isNotNull(), F.col("raw")))
+    end = None if most is None else _surely(feed, entry.position, most)
+    rest, fresh = fresh, cut(fresh if end is None else _upto(fresh, end))
     if most is not None:
-        upto = fresh.filter("seq is not null").select("seq").orderBy("seq").limit(most).agg(F.max("seq").alias("seq"))
-        held = F.from_json(F.lit(upto.select(F.to_json(F.struct("seq"), TIMES)).first()[0]), T.StructType([T.StructField("seq", changes.schema["seq"].dataType)]), TIMES)["seq"]
-        fresh = fresh.filter((F.col("seq") <= held) | F.col("seq").isNull())
-    fresh = cut(fresh)
-    n_read, position, n_bad = fresh.agg(F.count("seq"), F.to_json(F.struct(F.max("seq").alias("seq")), TIMES), F.count("problem")).first()
+        last = nth_position(fresh, most)
+        if last is None and end is not None:  # the sample was far off
+            fresh = cut(rest)
+            last = nth_position(fresh, most)
+        fresh = fresh if last is None else _upto(fresh, last)
+    n_read, position, n_bad = fresh.agg(F.count("seq"), _told(F.max("seq")), F.count("problem")).first()
     after = replace(entry, batch=entry.batch + 1, position=position if n_read else entry.position, aside=None, n_changes=n_read, n_aside=0)
     if n_bad:
         after = _put_aside(spark, folder, after, fresh.filter("problem is not null"))
