@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import re
+from collections.abc import Iterator
+from functools import lru_cache, reduce
+from zlib import crc32
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..plans.registry import query
 from ..sources.tables import cut, listed, remove, shared_path, table
@@ -23,13 +28,47 @@ def stem(word: Column) -> Column:
     return word
 
 
-def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(term, key, tf, positions, size): one row for each stem of each text; positions count its words from 0; size: words of the text. Null texts have none."""
-    words = F.regexp_extract_all(F.lower(text), F.lit("[a-z]+"), F.lit(0))
-    each = docs.select(F.col(key).alias("key"), words.alias("w")).select("key", F.size("w").alias("size"), F.posexplode("w").alias("at", "word"))
-    # stems are found once a text and form, not once a word; a text is a group of its own rows only
-    found = each.groupBy("key", "size", "word").agg(F.collect_list("at").alias("at")).withColumn("term", stem(F.col("word")))
-    return found.groupBy("term", "key", "size").agg(F.array_sort(F.flatten(F.collect_list("at"))).alias("positions")).select("term", "key", F.size("positions").alias("tf"), "positions", "size")
+@lru_cache(1 << 16)
+def stemmed(word: str) -> str:
+    """stem() of one word of letters a-z, for tasks that meet it often."""
+    for pattern, put in ENDINGS:
+        word = re.sub(pattern, rf"\g<1>{put}", word)
+    return word
+
+
+def _lines(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """(key, words), words parted by blanks, as (key, size, bucket, lines): a text's part of a bucket, with a line "stem position ..." for each stem."""
+    for batch in batches:
+        rows, sizes, held, lines = [], [], [], []
+        for row, words in enumerate(batch.column("words").to_pylist()):
+            forms, terms, parts = {}, {}, {}
+            for at, word in enumerate(found := (words or "").split()):
+                forms.setdefault(word, []).append(at)
+            for word, at in forms.items():
+                terms.setdefault(stemmed(word), []).extend(at)
+            for term, at in terms.items():
+                parts.setdefault(crc32(term.encode()) % buckets, []).append(f"{term} {' '.join(map(str, sorted(at)))}")
+            for bucket, each in parts.items():
+                rows.append(row)
+                sizes.append(len(found))
+                held.append(bucket)
+                lines.append(",".join(each))
+        keys = batch.column("key").take(pa.array(rows, pa.int32()))
+        yield pa.RecordBatch.from_arrays([keys, pa.array(sizes, pa.int32()), pa.array(held, pa.int32()), pa.array(lines, pa.string())], ["key", "size", "bucket", "lines"])
+
+
+def postings(docs: DataFrame, key: str, text: str, buckets: int) -> DataFrame:
+    """(term, key, tf, positions, size, bucket): one row for each stem of each text; positions count its words from 0; size: words of the text. Null texts have none. In a task, rows are in the order of their bucket and term.
+
+    A text's words are put together in its own row, and only its lines are shuffled, to their
+    buckets: a bucket grows with the texts, a task does not; large ones are parted, small ones are one part.
+    """
+    words = docs.select(F.col(key).alias("key"), F.regexp_replace(F.lower(text), "[^a-z]+", " ").alias("words"))
+    made = T.StructType([words.schema["key"]]).add("size", "integer").add("bucket", "integer").add("lines", "string")
+    parts = words.mapInArrow(lambda batches: _lines(batches, buckets), made).hint("rebalance", F.col("bucket"))
+    # a line begins with its term, and sorts as its term does; read into columns, rows would be half as large again in the sort
+    each = parts.select("key", "size", "bucket", F.explode(F.split("lines", ",")).alias("line")).sortWithinPartitions("bucket", "line").withColumn("line", F.split("line", " "))
+    return each.select(F.get("line", F.lit(0)).alias("term"), "key", (F.size("line") - 1).alias("tf"), F.slice("line", F.lit(2), F.size("line")).cast("array<int>").alias("positions"), "size", "bucket")
 
 
 class TextIndex:
@@ -42,17 +81,14 @@ class TextIndex:
         self.spark, self.folder, self.buckets = spark, folder, buckets
 
     def _bucket(self, term: Column) -> Column:
-        return F.pmod(F.xxhash64(term), F.lit(self.buckets)).cast("int")
+        return F.pmod(F.crc32(term.cast("binary")), F.lit(self.buckets)).cast("int")
 
     def add(self, docs: DataFrame, key: str, text: str) -> None:
         """Adds the texts. The totals are written last: a batch that stopped before is not searched; it is to be added again to a new folder of postings."""
         n = len(listed(self.spark, f"{self.folder}/totals"))
         made = f"{self.folder}/postings/batch={n}"
-        rows = postings(docs, key, text).withColumn("bucket", self._bucket(F.col("term")))
-        # a bucket grows with the texts, a task does not: large buckets are parted, small ones have one file
-        rows.hint("rebalance", F.col("bucket")).sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(made)
-        sizes = self.spark.read.parquet(made).groupBy("key").agg(F.first("size").alias("size")) if listed(self.spark, made) != ["_SUCCESS"] else None
-        words = sizes.agg(F.sum("size")).first()[0] if sizes is not None else 0
+        postings(docs, key, text, self.buckets).write.mode("overwrite").partitionBy("bucket").parquet(made)
+        words = self.spark.read.parquet(made).agg(F.sum("tf")).first()[0] if listed(self.spark, made) != ["_SUCCESS"] else 0
         self.spark.createDataFrame([(n, docs.count(), words or 0)], "batch int, docs long, words long").write.parquet(f"{self.folder}/totals/{n}")
 
     def _of(self, terms: list[str]) -> DataFrame:
